@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from fleetlens.session import staged
 
 
+SMALL_RANK = 1_000_000
+
+
 def ordered_scan(
     df: DataFrame,
     keys: list[str],
@@ -81,11 +84,16 @@ def ordered_scan(
 
 
 def ranked(df: DataFrame, order: list[tuple[str, bool]], name: str = "rank") -> DataFrame:
-    """Number all rows 1..n by `order` [(column, descending)] without a one-task sort.
+    """Number all rows 1..n by `order` [(column, descending)].
 
-    The order must be total. Numeric descending columns are negated so that one
-    ascending scan serves every mix of directions.
+    The order must be total. Up to SMALL_RANK rows, counted first, are sorted in
+    one task; more go through a sliced scan. Numeric descending columns are
+    negated so that one ascending scan serves every mix of directions.
     """
+    df = staged(df, "rank")
+    if df.limit(SMALL_RANK + 1).count() <= SMALL_RANK:
+        sort = [F.col(c).desc() if desc else F.col(c).asc() for c, desc in order]
+        return df.withColumn(name, F.row_number().over(Window.orderBy(*sort)).cast("bigint"))
     cols, tmp = [], df.withColumn("_one", F.lit(1).cast("bigint"))
     for i, (col, desc) in enumerate(order):
         tmp = tmp.withColumn(f"_k{i}", -F.col(col) if desc else F.col(col))

@@ -1,6 +1,6 @@
 """Importing this package registers every query."""
 
-from fleetlens.queries import logs, monitor  # noqa: F401
+from fleetlens.queries import content, logs, monitor, redirects  # noqa: F401
 from fleetlens.queries.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
