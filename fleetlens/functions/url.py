@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -23,14 +24,19 @@ def strip_fragment(col: Column) -> Column:
     return F.regexp_replace(col, r"#.*$", "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with `value` evaluated once, however often the body reads it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def rooted(path: Column) -> Column:
+    return F.regexp_replace(path, r"^(?!/)", "/")
+
+
 def relative_path(url: Column) -> Column:
     """Path plus query, always starting with '/'; '' and null become '/'."""
     bare = strip_fragment(F.regexp_replace(F.trim(F.coalesce(url, F.lit(""))), ORIGIN, ""))
-    return (
-        F.when(bare == "", F.lit("/"))
-        .when(bare.startswith("/"), bare)
-        .otherwise(F.concat(F.lit("/"), bare))
-    )
+    return rooted(bare)
 
 
 def _split_query(bare: Column) -> tuple[Column, Column]:
@@ -48,11 +54,9 @@ def compare_path(url: Column) -> Column:
     text = F.trim(F.coalesce(url, F.lit("")))
     bare = strip_fragment(F.regexp_replace(text, r"^([a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*", ""))
     path, query = _split_query(bare)
-    path = F.when(path == "", F.lit("/")).otherwise(path)
-    path = F.when(path.rlike(r"^/+$"), F.lit("/")).otherwise(F.regexp_replace(path, r"/+$", ""))
-    params = _sorted_query(query)
-    full = F.when(params != "", F.concat(path, F.lit("?"), params)).otherwise(path)
-    return F.when(text == "", F.lit("")).otherwise(full)
+    path = F.regexp_replace(F.regexp_replace(path, r"/+$", ""), r"^$", "/")
+    full = F.regexp_replace(F.concat(path, F.lit("?"), _sorted_query(query)), r"\?$", "")
+    return F.when(F.trim(F.coalesce(url, F.lit(""))) == "", F.lit("")).otherwise(full)
 
 
 def percent_decode(col: Column) -> Column:
@@ -75,15 +79,12 @@ def match_path(url: Column, unicode_form: bool = False) -> Column:
     `unicode_form` adds NFC through a Python worker; leave it off for ASCII data.
     """
     text = F.trim(F.coalesce(url, F.lit("")))
-    bare = strip_fragment(F.regexp_replace(text, r"^https?://[^/?#]*", ""))
-    bare = F.when(text.rlike(r"^https?://"), bare).otherwise(text)
-    path = percent_decode(F.regexp_extract(bare, r"^[^?]*", 0))
+    bare = F.regexp_replace(text, r"(?s)^https?://[^/?#]*([^#]*).*$", "$1")
+    path = let(F.regexp_extract(bare, r"^[^?]*", 0), percent_decode)
     query = F.regexp_extract(bare, r"^[^?]*\?([^?]*)", 1)
     if unicode_form:
         path = nfc(path)
-    path = F.lower(path)
-    trimmed = F.when(path == "/", path).otherwise(F.regexp_replace(path, r"/$", ""))
-    rooted = F.when(trimmed.startswith("/"), trimmed).otherwise(F.concat(F.lit("/"), trimmed))
+    path = rooted(F.regexp_replace(F.lower(path), r"(?s)^(.+)/$", "$1"))
     # Parameters sort by name only and keep their order within one name.
     pairs = F.transform(
         F.filter(F.split(query, "&"), lambda p: p != ""),
@@ -91,8 +92,8 @@ def match_path(url: Column, unicode_form: bool = False) -> Column:
                               F.when(p.contains("="), p).otherwise(F.concat(p, F.lit("="))).alias("p")),
     )
     params = F.concat_ws("&", F.transform(F.array_sort(pairs), lambda s: s["p"]))
-    full = F.when(params != "", F.concat(rooted, F.lit("?"), params)).otherwise(rooted)
-    return F.when(text == "", F.lit("")).otherwise(full)
+    full = F.regexp_replace(F.concat(path, F.lit("?"), params), r"\?$", "")
+    return F.when(F.coalesce(url, F.lit("")) == "", F.lit("")).otherwise(full)
 
 
 def crawl_url(url: Column) -> Column:
@@ -131,11 +132,8 @@ def cert_name_matches(pattern: Column, host_col: Column) -> Column:
 
 def slug(url: Column) -> Column:
     """Last path segment, lower-case, without its extension."""
-    path = strip_fragment(F.regexp_replace(F.coalesce(url, F.lit("")), r"^https?://[^/?#]*", ""))
-    path = F.when(url.startswith("http"), F.regexp_extract(path, r"^[^?]*", 0)).otherwise(path)
-    parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    last = F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit(""))
-    return F.regexp_replace(F.lower(last), r"\.[^/.]+$", "")
+    path = F.regexp_replace(F.coalesce(url, F.lit("")), r"(?s)^https?://[^/?#]*([^?#]*).*$", "$1")
+    return F.regexp_replace(F.lower(F.regexp_extract(path, r"([^/]*)/*$", 1)), r"\.[^/.]+$", "")
 
 
 def title_from_url(url: Column) -> Column:
@@ -153,18 +151,15 @@ def page_slug(path: Column) -> Column:
         F.regexp_replace(F.lower(s), r"[^a-z0-9_-]+", "-"), r"^-+|-+$", ""
     )
     parts = F.filter(F.transform(F.split(bare, "/"), clean), lambda s: s != "")
-    joined = F.array_join(parts, "/")
-    return F.when(joined == "", F.lit("index")).otherwise(joined)
+    return F.regexp_replace(F.array_join(parts, "/"), r"^$", "index")
 
 
 def upload_path(url: Column, bases: tuple[str, ...] = ()) -> Column:
     """Path of an upload below the uploads folder; decoded, no query, no leading slash."""
-    text = percent_decode(F.trim(F.coalesce(url, F.lit(""))))
+    text = let(F.trim(F.coalesce(url, F.lit(""))), percent_decode)
     for base in bases:
-        text = F.when(text.startswith(base), F.substr(text, F.lit(len(base) + 1))).otherwise(text)
-    marker = "wp-content/uploads/"
-    at = F.locate(marker, text)
-    text = F.when(at > 0, F.substr(text, at + len(marker))).otherwise(text)
+        text = F.regexp_replace(text, rf"^\Q{base}\E", "")
+    text = F.regexp_replace(text, r"(?s)^.*?wp-content/uploads/", "")
     text = F.regexp_replace(text, r"^([a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*", "")
     return F.regexp_replace(F.regexp_extract(text, r"^[^?#]*", 0), r"^/+", "")
 
@@ -192,12 +187,13 @@ def dirname(path: Column) -> Column:
 
 def ancestors(path: Column) -> Column:
     """'a/b/c.txt' -> ['.', 'a', 'a/b']; '.' and '' have none."""
-    parts = F.filter(F.slice(F.split(path, "/"), 1, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0))),
-                     lambda p: p != "")
-    named = F.when(
-        F.size(parts) > 0,
-        F.transform(F.sequence(F.lit(1), F.size(parts)),
-                    lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/")),
-    ).otherwise(F.array().cast("array<string>"))
-    full = F.array_distinct(F.concat(F.array(F.lit(".")), named))
+    parts = F.filter(F.split(F.regexp_replace(path, r"[^/]*$", ""), "/"), lambda p: p != "")
+
+    def prefixes(p: Column) -> Column:
+        return F.when(
+            F.size(p) > 0,
+            F.transform(F.sequence(F.lit(1), F.size(p)), lambda i: F.array_join(F.slice(p, F.lit(1), i), "/")),
+        ).otherwise(F.array().cast("array<string>"))
+
+    full = F.array_distinct(F.concat(F.array(F.lit(".")), let(parts, prefixes)))
     return F.when((path == ".") | (path == ""), F.array().cast("array<string>")).otherwise(full)

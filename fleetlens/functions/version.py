@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from fleetlens.functions.url import let
+
 
 def numbers(version: Column) -> Column:
     """Every digit run as bigint; a missing version is [0]."""
@@ -11,7 +13,7 @@ def numbers(version: Column) -> Column:
         F.regexp_extract_all(F.coalesce(version, F.lit("")), F.lit(r"\d+"), F.lit(0)),
         lambda d: d.cast("bigint"),
     )
-    return F.when(F.size(runs) == 0, F.array(F.lit(0).cast("bigint"))).otherwise(runs)
+    return let(runs, lambda r: F.when(F.size(r) == 0, F.array(F.lit(0).cast("bigint"))).otherwise(r))
 
 
 def _padded(nums: Column, width: Column) -> Column:
@@ -19,11 +21,17 @@ def _padded(nums: Column, width: Column) -> Column:
     return F.concat(nums, zeros)
 
 
+def _padded_less(x: Column, y: Column) -> Column:
+    def compare(pair: Column) -> Column:
+        width = F.greatest(F.size(pair["x"]), F.size(pair["y"]))
+        return _padded(pair["x"], width) < _padded(pair["y"], width)
+
+    return let(F.struct(x.alias("x"), y.alias("y")), compare)
+
+
 def less_than(a: Column, b: Column) -> Column:
     """Numeric comparison of all digit runs, the shorter one padded with zeros."""
-    x, y = numbers(a), numbers(b)
-    width = F.greatest(F.size(x), F.size(y))
-    return _padded(x, width) < _padded(y, width)
+    return _padded_less(numbers(a), numbers(b))
 
 
 SEMVER = r"^(\d+)(?:\.(\d+))?(?:\.(\d+))?(?:[.\-+].*)?$"
@@ -50,18 +58,19 @@ def split_numbers(version: Column) -> Column:
 
 def older_than(a: Column, b: Column) -> Column:
     """Part-wise comparison of split_numbers, the shorter side padded with zeros."""
-    x, y = split_numbers(a), split_numbers(b)
-    width = F.greatest(F.size(x), F.size(y))
-    return _padded(x, width) < _padded(y, width)
+    return _padded_less(split_numbers(a), split_numbers(b))
 
 
 def jump(current: Column, latest: Column) -> Column:
     """major / minor / patch / none / unknown; a current version ahead of latest is none."""
-    c, n = semver(current), semver(latest)
-    return (
-        F.when(c.isNull() | n.isNull(), "unknown")
-        .when(c >= n, "none")
-        .when(n[0] > c[0], "major")
-        .when(n[1] > c[1], "minor")
-        .otherwise("patch")
-    )
+    def classify(pair: Column) -> Column:
+        c, n = pair["c"], pair["n"]
+        return (
+            F.when(c.isNull() | n.isNull(), "unknown")
+            .when(c >= n, "none")
+            .when(n[0] > c[0], "major")
+            .when(n[1] > c[1], "minor")
+            .otherwise("patch")
+        )
+
+    return let(F.struct(semver(current).alias("c"), semver(latest).alias("n")), classify)

@@ -33,7 +33,7 @@ def duplicate_members(rows: DataFrame, key: Column, member: str, min_size: int =
     sizes = keyed.groupBy("group_id").agg(
         F.count("*").alias("n"), F.min(member).alias("first_member")
     ).where(F.col("n") >= min_size)
-    return lookup(keyed, sizes, "group_id", [member], how="inner")
+    return lookup(keyed, sizes, "group_id", [member], how="inner", weight="n")
 
 
 def collisions(entries: DataFrame, source: Column, target: Column, status: Column) -> DataFrame:

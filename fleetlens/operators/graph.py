@@ -17,7 +17,7 @@ def last_edge(entries: DataFrame, src: str, dst: str, seq: str) -> DataFrame:
     return entries.groupBy(F.col(src).alias("src")).agg(F.max_by(dst, seq).alias("dst"))
 
 
-def _walk_ends(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def walk_ends(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(ended, endless) nodes of a functional graph.
 
     ended: (node, last, hops), the end of the walk that leaves `node`.
@@ -25,32 +25,31 @@ def _walk_ends(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     the cycle nodes. Each round doubles the step. The set of nodes a step can
     reach shrinks until it holds cycle nodes only, and has then stopped shrinking.
     """
-    state = staged(edges.select(F.col("src").alias("node"), F.col("dst").alias("last"), F.lit(1).cast("bigint").alias("hops")), "walk")
-    ended = state.limit(0)
-    targets = -1
-    live = state
+    state = staged(edges.select(
+        F.col("src").alias("node"), F.col("dst").alias("last"), F.lit(1).cast("bigint").alias("hops"),
+        F.col("dst").alias("came"), F.lit(True).alias("open")), "walk")
+    targets, n_open = -1, state.count()
     while True:
+        live = state.where("open")
         table = state.select(F.col("node").alias("last"), F.col("last").alias("_to"), F.col("hops").alias("_more"))
-        stepped = staged(lookup(live, table, "last", ["node"]), "step")
-        done = stepped.where("_to is null").select("node", "last", "hops")
-        ended = staged(ended.unionByName(done), "ended")
-        live = staged(stepped.where("_to is not null").select(
-            "node", F.col("_to").alias("last"), (F.col("hops") + F.col("_more")).alias("hops")), "live")
-        # Tested on the nodes before the step, which are known to go on.
-        reach = stepped.where("_to is not null").select("last").distinct().count()
-        if reach == 0 or reach == targets:
-            return ended, live.select("node", "last")
+        stepped = lookup(live, table, "last", ["node"], base=live, n_rows=n_open).select(
+            "node", F.coalesce("_to", "last").alias("last"), (F.col("hops") + F.coalesce("_more", F.lit(0))).alias("hops"),
+            F.col("last").alias("came"), F.col("_to").isNotNull().alias("open"))
+        state = staged(stepped.unionByName(state.where("not open")), "walk")
+        # `came` is the node before the step, which is known to go on.
+        n_open, reach = state.where("open").agg(F.count("*"), F.count_distinct("came")).first()
+        if n_open == 0 or reach == targets:
+            return state.where("not open").select("node", "last", "hops"), state.where("open").select("node", "last")
         targets = reach
-        state = staged(ended.unionByName(live), "walk")
 
 
-def cycles(edges: DataFrame) -> DataFrame:
-    """(loop_id, position, node) of every cycle; loop_id is the smallest member, at position 0."""
-    _, endless = _walk_ends(edges)
-    return _cycle_rows(edges, endless)
+Walk = tuple[DataFrame, DataFrame]
 
 
-def _cycle_rows(edges: DataFrame, endless: DataFrame) -> DataFrame:
+def cycles(edges: DataFrame, walk: Walk | None = None) -> DataFrame:
+    """(loop_id, position, node) of every cycle; loop_id is the smallest member, at position 0."""
+    edges = staged(edges, "edges")
+    _, endless = walk or walk_ends(edges)
     ring = endless.select(F.col("last").alias("node")).distinct()
     step = staged(edges.join(ring, edges.src == ring.node).select("src", "dst"), "ring")
     labels = staged(step.select(F.col("src").alias("node"), F.col("dst").alias("far"),
@@ -68,7 +67,7 @@ def _cycle_rows(edges: DataFrame, endless: DataFrame) -> DataFrame:
     # Walking the ring backwards from a node ends at its label: the hops are the position.
     back = step.join(label, step.dst == label.node).where(F.col("dst") != F.col("loop_id")).select(
         F.col("dst").alias("src"), F.col("src").alias("dst"))
-    spots, _ = _walk_ends(back)
+    spots, _ = walk_ends(back)
     return label.join(spots.select("node", F.col("hops").alias("position")), "node", "left").select(
         "loop_id", F.coalesce("position", F.lit(0).cast("bigint")).alias("position"), "node")
 
@@ -80,14 +79,14 @@ def chain_ends(edges: DataFrame) -> DataFrame:
     """
     proper = staged(edges.where(F.col("src") != F.col("dst")), "proper")
     selfish = edges.where(F.col("src") == F.col("dst")).select(F.col("src").alias("node"))
-    ended, endless = _walk_ends(proper)
+    ended, endless = walk_ends(proper)
     plain = ended.select(F.col("node").alias("src"), F.col("last").alias("target"))
     if endless.limit(1).count() == 0:
         return plain.where("src <> target")
     ring = staged(endless.select(F.col("last").alias("node")).distinct(), "ring")
     # Outside the ring, walks end at the first ring node: their entry.
     tails = proper.join(ring, proper.src == ring.node, "left_anti")
-    entries, _ = _walk_ends(tails)
+    entries, _ = walk_ends(tails)
     entered = entries.join(ring, entries["last"] == ring.node, "left_semi").select(
         F.col("node").alias("src"), F.col("last").alias("entry"))
     on_ring = ring.select(F.col("node").alias("src"), F.col("node").alias("entry"))
@@ -100,9 +99,9 @@ def chain_ends(edges: DataFrame) -> DataFrame:
         selfish, F.col("src") == F.col("node"), "left_anti")
 
 
-def maximal_chains(edges: DataFrame) -> DataFrame:
+def maximal_chains(edges: DataFrame, walk: Walk | None = None) -> DataFrame:
     """(start, end, hops) of the walks of two hops or more that start where nothing points and do not loop."""
-    ended, _ = _walk_ends(edges)
+    ended, _ = walk or walk_ends(edges)
     targets = edges.select(F.col("dst").alias("node")).distinct()
     return ended.join(targets, "node", "left_anti").where("hops >= 2").select(
         F.col("node").alias("start"), F.col("last").alias("end"), "hops")

@@ -6,17 +6,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlens.functions import url as U
 from fleetlens.operators.skew import lookup
+from fleetlens.session import staged
 
 
 def page_links(pages: DataFrame) -> DataFrame:
     """Distinct (src, dst) paths of the links between two different pages of the set."""
     known = pages.select(U.relative_path(F.col("url")).alias("dst")).distinct()
-    edges = (
+    edges = staged(
         pages.select(U.relative_path(F.col("url")).alias("src"), F.explode("links").alias("link"))
         .select("src", U.relative_path(F.col("link")).alias("dst"))
-        .where(F.col("src") != F.col("dst")).distinct()
-    )
-    return lookup(edges, known.withColumn("_page", F.lit(True)), "dst", ["src"], how="inner").select("src", "dst")
+        .where(F.col("src") != F.col("dst")).distinct(), "edges")
+    return lookup(edges, known.withColumn("_page", F.lit(True)), "dst", ["src"], how="inner", base=edges).select("src", "dst")
 
 
 def inbound_counts(pages: DataFrame) -> DataFrame:

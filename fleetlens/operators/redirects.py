@@ -11,6 +11,7 @@ from fleetlens.functions import text as X, url as U
 from fleetlens.operators import graph
 from fleetlens.operators.duplicates import collisions
 from fleetlens.operators.skew import lookup
+from fleetlens.session import staged
 
 # Strategy and score, best first. Fixed values.
 STRATEGIES = (("exact_path", 100), ("canonical", 90), ("slug", 80), ("title", 70))
@@ -57,12 +58,14 @@ def match(
     """
     cands = candidate_keys(destinations, unicode_form).groupBy("strategy", "key").agg(
         F.count("*").alias("n"), F.min("url").alias("target"))
-    out = _keys(sources, unicode_form)
+    keyed = staged(_keys(sources, unicode_form), "sources")
+    cands = staged(cands, "candidates")
+    out = keyed
     for strategy, _ in STRATEGIES:
         kind = "exact_path" if strategy == "canonical" else strategy
         dim = cands.where(F.col("strategy") == kind).select(
             F.col("key").alias(strategy), F.struct("n", "target").alias(f"_{strategy}"))
-        out = lookup(out, dim, strategy, ["url"])
+        out = lookup(out, dim, strategy, ["url"], base=keyed)
     best = F.coalesce(*[
         F.when(F.col(f"_{s}").isNotNull(), F.struct(
             F.lit(s).alias("strategy"), F.lit(score).alias("score"), F.col(s).alias("key"),
@@ -73,7 +76,7 @@ def match(
         chosen = matched.withColumn("o", F.lit(None).cast("struct<target:string,status:int>"))
     else:
         chosen = lookup(matched, overrides.select(
-            F.col("key").alias("exact_path"), F.struct("target", "status").alias("o")), "exact_path", ["url"])
+            F.col("key").alias("exact_path"), F.struct("target", "status").alias("o")), "exact_path", ["url"], base=keyed)
     gone = F.col("o.target").isin("gone", "410")
     manual, none, tie = F.col("o").isNotNull(), F.col("b").isNull(), F.col("b.n") > 1
     return chosen.select(
@@ -127,7 +130,8 @@ def regex_invalid(pattern: Column) -> Column:
 
 def validation_findings(entries: DataFrame) -> DataFrame:
     """(rule, subject, detail, critical) of a redirect map (seq, source, target, status, classification, required)."""
-    edges = redirect_edges(entries)
+    edges = staged(redirect_edges(entries), "edges")
+    walk = graph.walk_ends(edges)
     key = U.match_path(F.col("source"))
     text = lambda c: F.coalesce(c, F.lit("")).cast("string")
 
@@ -135,8 +139,8 @@ def validation_findings(entries: DataFrame) -> DataFrame:
         return df.select(F.lit(rule).alias("rule"), subject.alias("subject"), text(detail).alias("detail"),
                          F.lit(critical).alias("critical"))
 
-    loops = graph.cycles(edges).groupBy("loop_id").agg(F.count("*").alias("n"))
-    chains = graph.maximal_chains(edges)
+    loops = graph.cycles(edges, walk).groupBy("loop_id").agg(F.count("*").alias("n"))
+    chains = graph.maximal_chains(edges, walk)
     collided = collisions(entries.where(F.coalesce("source", F.lit("")) != ""), key, F.col("target"), F.col("status"))
     required = (key == "/") | F.coalesce("required", F.lit(False))
     open_target = (F.coalesce("classification", F.lit("")) == "missing") | (F.coalesce("target", F.lit("")) == "")

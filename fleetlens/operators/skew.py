@@ -27,17 +27,32 @@ def lookup(
     spread: list[str | Column],
     how: str = "left",
     min_rows: int = HOT_MIN_ROWS,
+    base: DataFrame | None = None,
+    weight: str | None = None,
+    n_rows: int | None = None,
 ) -> DataFrame:
     """Join `rows` to `dim` (at most one row per `key`) when `key` may be skewed in `rows`.
 
     Hot keys are answered from a broadcast of their few dim rows; their rows
     then spread over the shuffle by a hash of `spread` instead of meeting in
     one task. All other rows take an ordinary shuffled join.
+
+    `base`, a staged table with the same rows, answers how often keys occur
+    without running `rows` twice; when it has fewer than `min_rows` rows (or
+    `n_rows` says so) nothing can be hot. `weight` names a dim column that already holds the row counts.
     """
     if how not in ("left", "inner"):
         raise ValueError("how must be 'left' or 'inner'")
+    if n_rows is None and base is not None:
+        n_rows = base.count()
+    if n_rows is not None and n_rows < min_rows:
+        return rows.join(dim, key, how)
     extra = [c for c in dim.columns if c != key]
-    hot = hot_keys(rows, key, min_rows)
+    if weight:
+        total = dim.agg(F.sum(weight)).scalar()
+        hot = dim.where((F.col(weight) >= min_rows) & (F.col(weight) >= total * F.lit(HOT_SHARE))).select(key)
+    else:
+        hot = hot_keys(rows if base is None else base, key, min_rows)
     hot_dim = dim.join(F.broadcast(hot), key, "left_semi").select(
         key, F.struct(F.lit(True).alias("_hit"), *extra).alias("_hot")
     )

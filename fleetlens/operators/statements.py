@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlens.functions import sqltext
 from fleetlens.functions.text import round_half_up
@@ -50,7 +50,7 @@ def statement_digests(log: DataFrame, min_total_ms: float = 0.0) -> DataFrame:
     return _finish(groups, F.col("_total") / F.col("count"), min_total_ms)
 
 
-def _finish(groups: DataFrame, mean: F.Column, min_total_ms: float) -> DataFrame:
+def _finish(groups: DataFrame, mean: Column, min_total_ms: float) -> DataFrame:
     ratio = F.col("rows_examined") / F.greatest(F.col("rows_sent"), F.lit(1))
     out = groups.select(
         "digest", "normalized", "sample", "count",

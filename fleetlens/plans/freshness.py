@@ -10,6 +10,7 @@ from fleetlens.functions import text as X, url as U
 from fleetlens.operators.duplicates import duplicate_members
 from fleetlens.operators.findings import Rule, evaluate, union_all
 from fleetlens.operators.links import orphans
+from fleetlens.session import staged
 
 # rule -> (severity, score). Fixed values.
 SCORES = {
@@ -94,8 +95,18 @@ def active_pages(pages: DataFrame, config: Config) -> DataFrame:
 
 def findings(pages: DataFrame, config: Config, now: str) -> DataFrame:
     """All findings of the pack; `now` is the reference time as an ISO string."""
-    active = active_pages(pages, config)
-    return union_all([_page_rules(active, now), _skips(active), *_duplicates(active), _orphans(active, config)])
+    date = F.col("date").try_cast("timestamp")
+    age = (F.unix_millis(F.lit(now).cast("timestamp")) - F.unix_millis(date)) / F.lit(86_400_000.0)
+    headings = F.coalesce("headings", F.array().cast("array<string>"))
+    # The page bodies are read here, once; every rule works on the staged facts.
+    facts = staged(active_pages(pages, config).select(
+        "url", "path", "links", "is_entry", "freshness_days", "thin_words", age.alias("age"),
+        X.text_key(F.col("title")).alias("title"), X.text_key(F.col("meta_desc")).alias("meta_desc"),
+        X.word_count(F.col("content")).alias("words"), F.size(headings).alias("n_headings"),
+        F.size(F.filter(headings, lambda h: F.trim(h).rlike(r"(?i)^h1\b"))).alias("n_h1"),
+        heading_skips(headings).alias("skips"),
+    ), "facts")
+    return union_all([_page_rules(facts), _skips(facts), *_duplicates(facts), _orphans(facts)])
 
 
 def _rule(name: str, when: Column, message: Column) -> Rule:
@@ -103,15 +114,7 @@ def _rule(name: str, when: Column, message: Column) -> Rule:
     return Rule(name, severity, when, message, score=score)
 
 
-def _page_rules(active: DataFrame, now: str) -> DataFrame:
-    date = F.col("date").try_cast("timestamp")
-    age = (F.unix_millis(F.lit(now).cast("timestamp")) - F.unix_millis(date)) / F.lit(86_400_000.0)
-    facts = active.select(
-        "path", "freshness_days", "thin_words", age.alias("age"),
-        X.word_count(F.col("content")).alias("words"), F.coalesce(F.size("headings"), F.lit(0)).alias("n_headings"),
-        F.size(F.filter(F.coalesce("headings", F.array().cast("array<string>")),
-                        lambda h: F.trim(h).rlike(r"(?i)^h1\b"))).alias("n_h1"),
-    )
+def _page_rules(facts: DataFrame) -> DataFrame:
     c = F.col
     return evaluate(facts, "freshness", "page", c("path"), [
         _rule("unknown_date", c("age").isNull(), F.lit("date missing or not readable")),
@@ -124,26 +127,26 @@ def _page_rules(active: DataFrame, now: str) -> DataFrame:
     ])
 
 
-def _skips(active: DataFrame) -> DataFrame:
-    rows = active.select("path", F.explode(heading_skips(F.col("headings"))).alias("s"))
+def _skips(facts: DataFrame) -> DataFrame:
+    rows = facts.select("path", F.explode("skips").alias("s"))
     return evaluate(rows, "freshness", "page", F.col("path"), [
         _rule("non_sequential_headings", F.lit(True), F.format_string("H%d to H%d", F.col("s.from"), F.col("s.to"))),
     ])
 
 
-def _duplicates(active: DataFrame) -> list[DataFrame]:
+def _duplicates(facts: DataFrame) -> list[DataFrame]:
     out = []
     for rule, column in (("duplicate_title", "title"), ("duplicate_description", "meta_desc")):
-        members = duplicate_members(active, X.text_key(F.col(column)), "path")
+        members = duplicate_members(facts, F.col(column), "path")
         out.append(evaluate(members, "freshness", "page", F.col("path"), [
             _rule(rule, F.lit(True), F.format_string("shared with %d other page(s)", F.col("n") - 1)),
         ]))
     return out
 
 
-def _orphans(active: DataFrame, config: Config) -> DataFrame:
-    entries = active.where("is_entry").select("path").distinct()
-    lonely = orphans(active, []).join(entries, "path", "left_anti")
+def _orphans(facts: DataFrame) -> DataFrame:
+    entries = facts.where("is_entry").select("path").distinct()
+    lonely = orphans(facts, []).join(entries, "path", "left_anti")
     return evaluate(lonely, "freshness", "page", F.col("path"), [
         _rule("orphan_page", F.lit(True), F.lit("no inbound links")),
     ])
