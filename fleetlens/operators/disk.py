@@ -85,6 +85,10 @@ def _glob(pattern: str, star: str) -> str:
     return f"^{out}$"
 
 
+def _segment_matches(path: Column, rx: str) -> Column:
+    return F.exists(F.split(path, "/"), lambda s: (s != "") & s.rlike(rx))
+
+
 def excluded(path: Column, paths: list[str] = (), globs: list[str] = (), root: str | None = None) -> Column:
     """Is the path below an excluded path, or does a glob match its name, itself or one of its segments?"""
     hit = F.lit(False)
@@ -93,7 +97,7 @@ def excluded(path: Column, paths: list[str] = (), globs: list[str] = (), root: s
         hit = hit | (path == base) | path.startswith(base + "/")
     for g in globs:
         rx = _glob(g, ".*")
-        hit = hit | path.rlike(rx) | F.exists(F.split(path, "/"), lambda s, rx=rx: (s != "") & s.rlike(rx))
+        hit = hit | path.rlike(rx) | _segment_matches(path, rx)
         if root:
             relative = F.regexp_replace(path, "^" + _glob(root.rstrip("/"), ".*")[1:-1] + "/?", "")
             hit = hit | relative.rlike(rx)

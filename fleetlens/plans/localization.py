@@ -24,7 +24,7 @@ class Config:
     ignores: tuple[Ignore, ...] = ()
     placeholders: tuple[str, ...] = X.PLACEHOLDERS
     # (longest canonical length, allowed growth); the last one has no length limit.
-    growth: tuple[tuple[int | None, str], ...] = field(default=((15, "2.5"), (50, "1.8"), (None, "1.4")))
+    growth: tuple[tuple[int | None, float], ...] = field(default=((15, 2.5), (50, 1.8), (None, 1.4)))
     min_untranslated: int = 5
 
 
@@ -53,7 +53,7 @@ def findings(canonical: DataFrame, locales: DataFrame, config: Config = Config()
     both = c.isNotNull() & l.isNotNull()
     allowed = F.lit(None)
     for limit, factor in reversed(config.growth):
-        most = F.floor(F.length(c) * F.lit(factor).cast("decimal(6,2)")).cast("int")
+        most = F.floor(F.length(c) * F.lit(factor)).cast("int")
         allowed = most if limit is None else F.when(F.length(c) <= limit, most).otherwise(allowed)
     facts = rows.select(
         "locale", "id", "canon", "local", both.alias("both"), allowed.alias("allowed"),

@@ -44,14 +44,15 @@ def scan_lines(lines: DataFrame, rules: tuple[SecretRule, ...] = RULES) -> DataF
     """
     any_rule = "|".join(f"(?:{r.pattern})" for r in rules)
     usable = lines.where((F.length("text") <= MAX_LINE) & F.col("text").rlike(any_rule))
-    per_rule = F.concat(*[
-        F.zip_with(
+
+    def matches(r: SecretRule) -> Column:
+        return F.zip_with(
             F.regexp_extract_all("text", F.lit(r.pattern), F.lit(0)), F.regexp_extract_all("text", F.lit(r.pattern), F.lit(r.group)),
-            lambda whole, secret, r=r: F.struct(
+            lambda whole, secret: F.struct(
                 F.lit(r.name).alias("rule"), F.lit(r.severity).alias("severity"), F.lit(r.confidence).alias("confidence"),
                 F.lit(r.min_entropy).cast("double").alias("min_entropy"), whole.alias("whole"), secret.alias("secret")))
-        for r in rules
-    ])
+
+    per_rule = F.concat(*[matches(r) for r in rules])
     hits = usable.select("file", "line", "location", "commit", F.inline(per_rule))
     weak = F.col("min_entropy").isNotNull() & (
         F.col("secret").rlike(PLACEHOLDER) | (X.entropy(F.col("secret")) < F.col("min_entropy")))

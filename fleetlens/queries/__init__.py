@@ -1,6 +1,6 @@
 """Importing this package registers every query."""
 
-from fleetlens.queries import content, crawls, logs, monitor, redirects  # noqa: F401
+from fleetlens.queries import audits, content, crawls, logs, monitor, redirects, storage  # noqa: F401
 from fleetlens.queries.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
