@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlens.operators.duplicates import duplicate_members
 from fleetlens.operators.intervals import outside_intervals
+from fleetlens.operators.skew import lookup
 
 NODE = ("page string, block_index int, node_index int, id string, type array<string>, parent_id string, "
         "findings array<string>, properties string, error string")
@@ -170,7 +171,7 @@ def missing_properties(objects: DataFrame, required: DataFrame) -> DataFrame:
     per_type = required.groupBy("type").agg(F.collect_set("property").alias("need"))
     star = per_type.where("type = '*'").select("need").scalar()
     own = per_type.where("type <> '*'")
-    joined = objects.join(own, "type", "left")
+    joined = lookup(objects, own, "type", ["id"])
     none = F.array().cast("array<string>")
     need = F.concat(F.coalesce(star, none), F.coalesce("need", none))
     lacking = F.array_except(need, F.coalesce(F.map_keys("properties"), none))

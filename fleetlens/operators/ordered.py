@@ -113,3 +113,12 @@ def nearest_rank(
     scan = ordered_scan(values, keys, [value], sums={"_run": weight}, totals={"_all": weight})
     need = F.ceil(F.lit(share).cast("decimal(6,4)") * F.col("_all"))
     return scan.where(F.col("_run") >= need).groupBy(*keys).agg(F.min(value).alias(name))
+
+
+def exact_median(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """Median per key (mean of the two middle values), and the number of rows as `n`."""
+    weights = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_w"))
+    scan = ordered_scan(weights, keys, [value], sums={"_run": "_w"}, totals={"_all": "_w"})
+    at = lambda rank: F.min(F.when(F.col("_run") >= rank, F.col(value)))
+    low, high = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
+    return scan.groupBy(*keys).agg(((at(low) + at(high)) / 2).alias(name), F.max("_all").alias("n"))
