@@ -9,7 +9,7 @@ from fleetlens.queries.registry import query, table
 
 HEAD = (
     (2, 0, '<meta name="description" content="About {k40}">'), (3, 0, '<link rel="canonical" href="https://staging.x.test/{k}">'),
-    (3, 1, "<link href='https://x.test/{k}' rel='canonical'>"), (5, 0, '<meta name=robots content="noindex,follow">'),
+    (3, 1, "<link href='https://x.example/{k}' rel='canonical'>"), (5, 0, '<meta name=robots content="noindex,follow">'),
     (4, 0, '<meta property="og:title" content="x">'), (7, 0, '<meta name="twitter:card" content="summary">'),
     (11, 0, '<meta name="generator" content="WordPress 6.1">'), (13, 0, '<script src="http://cdn.test/a.js"></script>'),
     (17, 0, "<script>gtag('x')</script>"), (19, 0, '<link rel="shortcut icon" href="/i.ico">'),
