@@ -50,7 +50,7 @@ def ordered_scan(
     before = local.rowsBetween(Window.unboundedPreceding, -1)
     scanned = base.select(
         "*",
-        *[F.sum(c).over(upto).alias(f"_s_{n}") for n, c in sums.items()],
+        *[F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(f"_s_{n}") for n, c in sums.items()],
         *[F.last(c, ignorenulls=True).over(upto).alias(f"_c_{n}") for n, c in carry.items()],
         *[F.last(c, ignorenulls=True).over(before).alias(f"_b_{n}") for n, c in carry_before.items()],
     )
@@ -72,7 +72,7 @@ def ordered_scan(
         "_slice", *keys,
         *[F.coalesce(F.sum(f"_ps_{c}").over(past), F.lit(0)).alias(f"_os_{c}") for c in set(sums.values())],
         *[F.last(f"_pc_{c}", ignorenulls=True).over(past).alias(f"_oc_{c}") for c in carried],
-        *[F.sum(f"_ps_{c}").over(whole).alias(f"_ot_{c}") for c in set(totals.values())],
+        *[F.coalesce(F.sum(f"_ps_{c}").over(whole), F.lit(0)).alias(f"_ot_{c}") for c in set(totals.values())],
     )
     return scanned.join(offsets, ["_slice", *keys]).select(
         *df.columns,

@@ -54,8 +54,8 @@ EXTENSION = struct(
     name=_S, status=_S, update=_S, version=_S, update_version=_S, auto_update=_S,
 )
 ENVELOPE = struct(
-    contract_version=_S, tool=_S, status=_S,
+    contract_version=_S, tool=struct(name=_S, version=_S), status=_S,
     summary=struct(total=_L, passed=_L, failed=_L, warnings=_L),
     results=T.ArrayType(_S), warnings=T.ArrayType(_S), errors=T.ArrayType(_S),
-    timing=struct(startTime=_S, endTime=_S, durationMs=_D), artifacts=T.ArrayType(_S),
+    timing=struct(start_time=_S, end_time=_S, duration_ms=_L), artifacts=T.ArrayType(_S),
 )
