@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlens.functions.url import ancestors, basename
+from fleetlens.session import staged
 
 
 def last_per_path(entries: DataFrame) -> DataFrame:
     """The last entry by `seq` of each path; backslashes are slashes."""
     cols = [c for c in entries.columns if c not in ("path", "seq")]
-    return (
+    return staged(
         entries.withColumn("path", F.replace("path", F.lit("\\"), F.lit("/")))
         .groupBy("path").agg(F.max_by(F.struct(*cols), "seq").alias("_e"))
-        .select("path", "_e.*")
-    )
+        .select("path", "_e.*"), "listing")
 
 
 def cumulative_sizes(entries: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlens.operators.skew import lookup
+from fleetlens.session import staged
 
 
 def duplicate_groups(rows: DataFrame, key: Column, member: str, min_size: int = 2) -> DataFrame:
@@ -27,13 +28,13 @@ def duplicate_members(rows: DataFrame, key: Column, member: str, min_size: int =
     The others themselves are the group's rows: one row per member instead of a
     list of all others per member, which would be quadratic.
     """
-    keyed = rows.select(F.col(member), F.sha2(F.nullif(key, F.lit("")), 256).alias("group_id")).where(
-        F.col("group_id").isNotNull()
-    )
+    # The texts are read and hashed once; what is grouped and joined is (member, hash).
+    hashed = staged(rows.select(F.col(member), F.sha2(F.nullif(key, F.lit("")), 256).alias("group_id")), "hashes")
+    keyed = hashed.where(F.col("group_id").isNotNull())
     sizes = keyed.groupBy("group_id").agg(
         F.count("*").alias("n"), F.min(member).alias("first_member")
     ).where(F.col("n") >= min_size)
-    return lookup(keyed, sizes, "group_id", [member], how="inner", weight="n")
+    return lookup(keyed, sizes, "group_id", [member], how="inner", base=hashed, weight="n")
 
 
 def collisions(entries: DataFrame, source: Column, target: Column, status: Column) -> DataFrame:

@@ -210,7 +210,7 @@ def dependency_reports(spark: SparkSession, project: str, kind: str, path: str)
     if kind == "npm":
         one = "struct<current:string,latest:string>"
         rows = text.select(F.explode(F.from_json("value", MAP)).alias("package", "v")).withColumn(
-            "o", F.coalesce(F.from_json("v", one), F.get(F.from_json("v", f"array<{one}>"), 0))).select("package", "o.current", "o.latest")
+            "o", F.when(F.col("v").startswith("["), F.get(F.from_json("v", f"array<{one}>"), 0)).otherwise(F.from_json("v", one))).select("package", "o.current", "o.latest")
     else:
         listed = F.from_json("value", f"struct<installed:array<{item}>>")["installed"] if kind == "composer" else F.from_json("value", f"array<{item}>")
         rows = text.select(F.inline(listed)).select(
