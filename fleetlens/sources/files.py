@@ -226,7 +226,8 @@ def audit_reports(spark: SparkSession, project: str, kind: str, path: str) -> Da
         rows = text.select(F.inline(F.from_json("value", f"array<struct<name:string,vulns:array<{adv}>>>"))).select(F.col("name").alias("package"), F.explode("vulns").alias("a"))
     elif kind == "composer":
         rows = text.select(F.explode(F.from_json("value", "struct<advisories:map<string,string>>")["advisories"]).alias("package", "v")).select(
-            "package", F.explode(F.coalesce(F.from_json("v", f"array<{adv}>"), F.map_values(F.from_json("v", f"map<string,{adv}>")))).alias("a"))
+            "package", F.explode(F.when(F.col("v").startswith("["), F.from_json("v", f"array<{adv}>")).otherwise(
+                F.map_values(F.from_json("v", f"map<string,{adv}>")))).alias("a"))
     else:
         one = "struct<severity:string,isDirect:boolean,via:array<string>>"
         v = text.select(F.explode(F.from_json("value", f"struct<vulnerabilities:map<string,{one}>>")["vulnerabilities"]).alias("package", "v"))
