@@ -32,9 +32,15 @@ def interval_lookup(
     return scan.select("_p.*", *[F.when(inside, F.col(f"_found.{c}")).alias(c) for c in labels])
 
 
-def outside_intervals(
-    points: DataFrame, intervals: DataFrame, value: str, ident: str, small: int = SMALL
-) -> DataFrame:
-    """The points no interval holds."""
-    marked = intervals.select("lo", "hi", F.lit(True).alias("_in"))
-    return interval_lookup(points, marked, value, ident, ["_in"], small).where("_in is null").drop("_in")
+def outside_intervals(points: DataFrame, intervals: DataFrame, value: str, ident: str, keys: list[str]) -> DataFrame:
+    """The points that none of the intervals [lo, hi] of the same `keys` holds; intervals may overlap.
+
+    Some interval holds a point when the largest `hi` among those that start at or
+    before it reaches it, so one running maximum decides and nothing is paired.
+    """
+    kind = intervals.schema["lo"].dataType
+    marks = intervals.select(*keys, F.col("lo").alias("_at"), F.lit(0).alias("_kind"), F.concat_ws("|", "hi", "lo").alias("_tie"), F.col("hi").alias("_hi")).distinct()
+    asks = points.select(*keys, F.col(value).cast(kind).alias("_at"), F.lit(1).alias("_kind"), F.col(ident).cast("string").alias("_tie"),
+                         F.struct(*points.columns).alias("_p"))
+    scan = ordered_scan(marks.unionByName(asks, allowMissingColumns=True), keys, ["_at", "_kind", "_tie"], maxes={"_reach": "_hi"})
+    return scan.where((F.col("_kind") == 1) & (F.col("_reach").isNull() | (F.col("_reach") < F.col("_at")))).select("_p.*")

@@ -158,9 +158,9 @@ def tile_cells(layers: DataFrame) -> DataFrame:
 
 
 def invalid_gids(cells: DataFrame, tilesets: DataFrame) -> DataFrame:
-    """Cells whose gid no tileset [lo, hi] of the fleet's shared numbering holds."""
+    """Cells whose gid no tileset (map, lo, hi) of their map holds."""
     ident = cells.withColumn("_id", F.concat_ws("|", "map", "layer", "idx"))
-    return outside_intervals(ident, tilesets, "gid", "_id").drop("_id")
+    return outside_intervals(ident, tilesets, "gid", "_id", ["map"]).drop("_id")
 
 
 def missing_properties(objects: DataFrame, required: DataFrame) -> DataFrame:

@@ -24,6 +24,7 @@ def ordered_scan(
     carry: dict[str, str] | None = None,
     carry_before: dict[str, str] | None = None,
     totals: dict[str, str] | None = None,
+    maxes: dict[str, str] | None = None,
     reverse: bool = False,
     slices: int | None = None,
 ) -> DataFrame:
@@ -33,10 +34,11 @@ def ordered_scan(
     carry         name -> column: last non-null value up to this row
     carry_before  name -> column: last non-null value before this row
     totals        name -> column: sum over the whole key
+    maxes         name -> column: inclusive running maximum
     `order` must be unique within `keys`; keys must not be null.
     """
     sums, carry = dict(sums or {}), dict(carry or {})
-    carry_before, totals = dict(carry_before or {}), dict(totals or {})
+    carry_before, totals, maxes = dict(carry_before or {}), dict(totals or {}), dict(maxes or {})
 
     def sorted_cols(names: list[str]) -> list[Column]:
         return [F.col(n).desc() if reverse else F.col(n).asc() for n in names]
@@ -53,6 +55,7 @@ def ordered_scan(
         *[F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(f"_s_{n}") for n, c in sums.items()],
         *[F.last(c, ignorenulls=True).over(upto).alias(f"_c_{n}") for n, c in carry.items()],
         *[F.last(c, ignorenulls=True).over(before).alias(f"_b_{n}") for n, c in carry_before.items()],
+        *[F.max(c).over(upto).alias(f"_m_{n}") for n, c in maxes.items()],
     )
 
     pick = F.min_by if reverse else F.max_by
@@ -62,6 +65,7 @@ def ordered_scan(
     summary = base.groupBy("_slice", *keys).agg(
         *[F.sum(c).alias(f"_ps_{c}") for c in summed],
         *[pick(F.col(c), F.when(F.col(c).isNotNull(), position)).alias(f"_pc_{c}") for c in carried],
+        *[F.max(c).alias(f"_pm_{c}") for c in set(maxes.values())],
         F.count("*").alias("_rows"),
     )
     # At most one row per slice and key, so these windows are as small as the slice count.
@@ -73,6 +77,7 @@ def ordered_scan(
         *[F.coalesce(F.sum(f"_ps_{c}").over(past), F.lit(0)).alias(f"_os_{c}") for c in set(sums.values())],
         *[F.last(f"_pc_{c}", ignorenulls=True).over(past).alias(f"_oc_{c}") for c in carried],
         *[F.coalesce(F.sum(f"_ps_{c}").over(whole), F.lit(0)).alias(f"_ot_{c}") for c in set(totals.values())],
+        *[F.max(f"_pm_{c}").over(past).alias(f"_om_{c}") for c in set(maxes.values())],
     )
     return scanned.join(offsets, ["_slice", *keys]).select(
         *df.columns,
@@ -80,6 +85,7 @@ def ordered_scan(
         *[F.coalesce(f"_c_{n}", f"_oc_{c}").alias(n) for n, c in carry.items()],
         *[F.coalesce(f"_b_{n}", f"_oc_{c}").alias(n) for n, c in carry_before.items()],
         *[F.col(f"_ot_{c}").alias(n) for n, c in totals.items()],
+        *[F.greatest(f"_m_{n}", f"_om_{c}").alias(n) for n, c in maxes.items()],
     )
 
 

@@ -48,7 +48,7 @@ MAX_FILE = 2 * 1024 * 1024
 
 
 def scan_lines(lines: DataFrame, rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
-    """Findings of (file, line, text, location, commit) lines; over-long lines are skipped.
+    """Findings of (file, line, text, location, commit, seq) lines; over-long lines are skipped.
 
     Plain substring tests drop clean lines before any pattern runs.
     """
@@ -67,14 +67,14 @@ def scan_lines(lines: DataFrame, rules: tuple[SecretRule, ...] = RULES) -> DataF
         return F.when(r.possible(low), found).otherwise(F.array().cast(MATCHES))
 
     per_rule = F.concat(*[matches(r) for r in rules])
-    hits = usable.select("file", "line", "location", "commit", F.inline(per_rule))
+    hits = usable.select("file", "line", "location", "commit", "seq", F.inline(per_rule))
     weak = F.col("min_entropy").isNotNull() & (
         F.col("secret").rlike(PLACEHOLDER) | (X.entropy(F.col("secret")) < F.col("min_entropy")))
     preview = F.when(
         F.col("rule") == "private_key", F.lit("-----BEGIN ... PRIVATE KEY----- [key material not shown]")
     ).otherwise(M.masked_preview(F.col("whole"), F.col("secret")))
     return hits.where(~weak).select(
-        "file", "line", "location", "commit", "rule", "severity", "confidence", preview.alias("masked"),
+        "file", "line", "location", "commit", "seq", "rule", "severity", "confidence", preview.alias("masked"),
         M.mask(F.col("secret")).alias("masked_secret"), M.fingerprint(F.col("secret")).alias("fingerprint"))
 
 
@@ -85,7 +85,7 @@ def file_lines(files: DataFrame, ignore: list[str] = ()) -> DataFrame:
     return files.where(ok).select(
         "file", F.posexplode(F.split("text", r"\r?\n")).alias("pos", "text")
     ).select("file", (F.col("pos") + 1).alias("line"), "text", F.lit("worktree").alias("location"),
-             F.lit(None).cast("string").alias("commit"))
+             F.lit(None).cast("string").alias("commit"), (F.col("pos") + 1).cast("bigint").alias("seq"))
 
 
 def without_allowed(findings: DataFrame, allowed: DataFrame) -> DataFrame:
@@ -101,7 +101,8 @@ def merge_locations(findings: DataFrame) -> DataFrame:
     live = F.col("location") == "worktree"
     return findings.groupBy("file", "rule", "fingerprint").agg(
         F.when(F.count_distinct("location") > 1, "both").otherwise(F.min("location")).alias("location"),
-        F.coalesce(F.max(F.when(live, F.col("line"))), F.min("line")).alias("line"), F.min("commit").alias("commit"),
+        F.coalesce(F.max(F.when(live, F.col("line"))), F.min_by("line", "seq")).alias("line"),
+        F.min_by("commit", F.when(F.col("commit").isNotNull(), F.col("seq"))).alias("commit"),
         F.first("severity").alias("severity"), F.first("confidence").alias("confidence"),
         F.min("masked").alias("masked"))
 

@@ -260,7 +260,9 @@ def tile_invalid_gids(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
     tilesets = table(spark, d, "part").where(k % 40 == 0).select(k.alias("lo"), (k + 29).alias("hi")).unionByName(
         table(spark, d, "part").agg(F.lit(0).cast("bigint").alias("lo"), F.lit(29).cast("bigint").alias("hi")))
-    cells = nested.invalid_gids(nested.tile_cells(layers(spark, d)), tilesets.distinct())
+    maps = table(spark, d, "orders").select(F.concat(F.lit("m"), F.col("o_orderkey") % 50).alias("map")).distinct()
+    own = tilesets.distinct().select(F.explode(F.array(*[F.lit(f"m{i}") for i in range(50)])).alias("map"), "lo", "hi")
+    cells = nested.invalid_gids(nested.tile_cells(layers(spark, d)), own.join(maps, "map", "left_semi"))
     return cells.select("map", "layer", F.col("x").cast("bigint").alias("x"), F.col("y").cast("bigint").alias("y"), "gid")
 
 

@@ -74,7 +74,7 @@ def added_lines(lines: DataFrame, ignore: list[str] = ()) -> DataFrame:
     added = line.startswith("+") & ~is_plus3 & (F.col("step") == 1) & F.col("at.name").isNotNull()
     return scan.where(added).select(
         F.col("at.name").alias("file"), (F.col("from") + F.col("n") - 1).alias("line"), F.substr(line, F.lit(2)).alias("text"),
-        F.lit("history").alias("location"), "commit")
+        F.lit("history").alias("location"), "commit", F.col("pos").alias("seq"))
 
 
 def env_values(lines: DataFrame) -> DataFrame:

@@ -95,6 +95,15 @@ def test_intervals_direct_and_merged(spark):
         assert sorted(tuple(r) for r in interval_lookup(points, bands, "v", "id", ["label"], small).select("id", "label").collect()) == want
 
 
+def test_points_outside_overlapping_intervals(spark):
+    from fleetlens.operators.intervals import outside_intervals
+    rng = random.Random(5)
+    bands = [(rng.choice("ab"), lo, lo + rng.randint(0, 12)) for lo in (rng.randint(0, 90) for _ in range(14))]
+    data = [(k, i, v) for i, (k, v) in enumerate((k, v) for k in "abc" for v in range(100))]
+    got = outside_intervals(spark.createDataFrame(data, "map string, id int, v bigint"), spark.createDataFrame(bands, "map string, lo bigint, hi bigint"), "v", "id", ["map"])
+    assert {r.id for r in got.collect()} == {i for k, i, v in data if not any(b == k and lo <= v <= hi for b, lo, hi in bands)}
+
+
 def entries(spark, *pairs):
     data = [(i, s, t, 301, "exact", False) for i, (s, t) in enumerate(pairs)]
     return spark.createDataFrame(data, "seq bigint, source string, target string, status int, classification string, required boolean")
