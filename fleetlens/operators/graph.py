@@ -6,9 +6,11 @@ executor never replays earlier rounds.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
-from fleetlens.operators.skew import lookup
+from fleetlens.operators.skew import HOT_MIN_ROWS, hot_keys, lookup
 from fleetlens.session import staged
 
 
@@ -107,18 +109,34 @@ def maximal_chains(edges: DataFrame, walk: Walk | None = None) -> DataFrame:
         F.col("node").alias("start"), F.col("last").alias("end"), "hops")
 
 
+def _stepper(edges: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A function from a frontier (node) to the edges that leave it.
+
+    The edges are staged and their hot sources found once, before the rounds.
+    """
+    table = staged(edges.select("src", "dst"), "edges")
+    n = table.count()
+    hot = staged(hot_keys(table, "src"), "hot") if n >= HOT_MIN_ROWS else None
+
+    def step(frontier: DataFrame) -> DataFrame:
+        here = frontier.select(F.col("node").alias("src"), F.lit(True).alias("_here"))
+        return lookup(table, here, "src", ["dst"], how="inner", n_rows=n, hot=hot).select("src", "dst")
+
+    return step
+
+
 def reachable(edges: DataFrame, roots: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(node, hops, via): shortest hop count from any root and the smallest predecessor that gives it.
 
     Following `via` back to a root spells one shortest path.
     """
+    step_from = _stepper(edges)
     seen = staged(roots.select("node").distinct().select(
         "node", F.lit(0).cast("bigint").alias("hops"), F.lit(None).cast(dict(edges.dtypes)["src"]).alias("via")), "seen")
     frontier, rounds = seen, 0
     while frontier.limit(1).count() and (max_rounds is None or rounds < max_rounds):
         rounds += 1
-        found = frontier.select(F.col("node").alias("src")).join(edges.select("src", "dst"), "src").groupBy(
-            F.col("dst").alias("node")).agg(F.min("src").alias("via"))
+        found = step_from(frontier).groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("via"))
         frontier = staged(found.join(seen.select("node"), "node", "left_anti").select(
             "node", F.lit(rounds).cast("bigint").alias("hops"), "via"), "frontier")
         seen = seen.unionByName(frontier)
@@ -150,14 +168,14 @@ def dependency_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
                     .join(known.select(F.col("node").alias("src")), "src", "left_semi")
                     .join(known.select(F.col("node").alias("dst")), "dst", "left_semi"), "deps")
     open_counts = staged(proper.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("open")), "open")
+    step_from = _stepper(proper)
     level = 0
     settled = staged(known.join(open_counts, "node", "left_anti").select(
         "node", F.lit(0).cast("bigint").alias("level")), "level")
     frontier = settled
     while frontier.limit(1).count():
         level += 1
-        freed = proper.join(frontier.select(F.col("node").alias("src")), "src").groupBy(
-            F.col("dst").alias("node")).agg(F.count("*").alias("freed"))
+        freed = step_from(frontier).groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("freed"))
         open_counts = staged(open_counts.join(freed, "node", "left").select(
             "node", (F.col("open") - F.coalesce("freed", F.lit(0))).alias("open")).where("open >= 0"), "open")
         frontier = staged(open_counts.where("open = 0").select("node", F.lit(level).cast("bigint").alias("level")), "level")

@@ -30,6 +30,7 @@ def lookup(
     base: DataFrame | None = None,
     weight: str | None = None,
     n_rows: int | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Join `rows` to `dim` (at most one row per `key`) when `key` may be skewed in `rows`.
 
@@ -39,7 +40,7 @@ def lookup(
 
     `base`, a staged table with the same rows, answers how often keys occur
     without running `rows` twice; when it has fewer than `min_rows` rows (or
-    `n_rows` says so) nothing can be hot. `weight` names a dim column that already holds the row counts.
+    `n_rows` says so) nothing can be hot. `hot` hands in hot keys found before. `weight` names a dim column that already holds the row counts.
     """
     if how not in ("left", "inner"):
         raise ValueError("how must be 'left' or 'inner'")
@@ -48,7 +49,9 @@ def lookup(
     if n_rows is not None and n_rows < min_rows:
         return rows.join(dim, key, how)
     extra = [c for c in dim.columns if c != key]
-    if weight:
+    if hot is not None:
+        pass
+    elif weight:
         total = dim.agg(F.sum(weight)).scalar()
         hot = dim.where((F.col(weight) >= min_rows) & (F.col(weight) >= total * F.lit(HOT_SHARE))).select(key)
     else:

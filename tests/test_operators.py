@@ -289,3 +289,15 @@ def test_error_classes(spark):
 def test_policy_drops_ignored(spark):
     df = spark.createDataFrame([("title",), ("robots",), ("new",)], "field string").withColumn("severity", F.lit(""))
     assert rows(apply_policy(df, "field", {"title": "ignore", "robots": "info"}, "warning"), "field", "severity") == [("new", "warning"), ("robots", "info")]
+
+
+def test_reachability_with_hot_sources(spark, monkeypatch):
+    edges = spark.createDataFrame([(0, i) for i in range(1, 40)] + [(i, i + 100) for i in range(1, 20)] + [(101, 0), (500, 501)], "src bigint, dst bigint")
+    roots = spark.createDataFrame([(0,)], "node bigint")
+    want = rows(graph.reachable(edges, roots), "node", "hops", "via")
+    assert len(want) == 59 and max(r[1] for r in want) == 2
+    monkeypatch.setattr("fleetlens.operators.graph.HOT_MIN_ROWS", 1)
+    monkeypatch.setattr("fleetlens.operators.skew.HOT_MIN_ROWS", 1)
+    hot = lookup(edges, roots.select(F.col("node").alias("src"), F.lit(True).alias("h")), "src", ["dst"], "inner", min_rows=1, hot=roots.select(F.col("node").alias("src")))
+    assert hot.count() == 39
+    assert rows(graph.reachable(edges, roots), "node", "hops", "via") == want
