@@ -73,3 +73,28 @@ def read_file(path: str) -> bytes:
     """A file that the driver can read: a local path."""
     with open(os.fspath(path), "rb") as f:
         return f.read()
+
+
+def extend(df: DataFrame, new: list[StructField], make: Callable[[], Callable[[pa.RecordBatch], list]],
+           keep: list[str] | None = None, rows: int = 256) -> DataFrame:
+    """`df` with new columns computed in Arrow batches of at most `rows` rows.
+
+    `make` runs once per task and returns a function from a batch to the arrays
+    (or lists) of the new columns. `keep` names the columns handed on, by default all.
+    """
+    names = carried(df, [f.name for f in new])
+    names = [c for c in names if keep is None or c in keep]
+    fields = [df.schema[c] for c in names] + new
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        types = [to_arrow_type(f.dataType) for f in new]
+        fn = make()
+        for batch in slices(batches, rows):
+            if not batch.num_rows:
+                continue
+            made = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(fn(batch), types, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + made, [f.name for f in fields])
+
+    return map_rows(df, run, fields)

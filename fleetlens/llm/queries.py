@@ -4,9 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from fleetlens.llm.bpe import bpe_count, bpe_decode, bpe_encode
+from fleetlens.llm.fm_index import contamination
 from fleetlens.llm.line_dedup import line_dedup
+from fleetlens.llm.token_counts import length_histogram
+
+VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -21,6 +27,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = bpe_encode(docs, VOCABULARY, public_tokenizers.PATTERN, keep=["doc_id"])
+    digests = ids.select(
+        "doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"))
+    out = bpe_decode(digests, VOCABULARY, keep=["doc_id", "n_tokens", "ids_sha256"])
+    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+
+
+@query
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact length histogram of all documents with its suffix sums, one row per length."""
+    docs = _table(spark, sf_dir, "documents").select("text")
+    return length_histogram(bpe_count(docs, VOCABULARY, public_tokenizers.PATTERN, keep=[]))
+
+
 @query
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=20, min_docs=3)
@@ -45,3 +69,42 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM judged GROUP BY doc_id
 """
+
+
+@query
+def op10_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = contamination(docs, _table(spark, sf_dir, "benchmark"), window=10, keep=["doc_id"])
+    n_hit = F.aggregate("word_spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["begin"])
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort(F.col("items").cast("array<string>")), ","), 256).alias("items_sha256"),
+        (F.size("word_spans") > 0).alias("contaminated"))
+
+
+ORACLE["op10_fm_index"] = r"""
+WITH words AS (
+    SELECT 'd' AS kind, doc_id AS id, coalesce(text, '') AS text FROM documents
+    UNION ALL SELECT 'b', item_id, coalesce(text, '') FROM benchmark),
+cut AS (
+    SELECT kind, id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM words),
+sizes AS (SELECT DISTINCT least(10, len(w)) AS n FROM cut WHERE kind = 'b' AND len(w) > 0),
+starts AS (
+    SELECT c.kind, c.id, c.w, s.n, unnest(generate_series(1, len(c.w) - s.n + 1)) AS p
+    FROM cut c JOIN sizes s ON CASE WHEN c.kind = 'd' THEN len(c.w) >= s.n ELSE least(10, len(c.w)) = s.n END),
+windows AS (SELECT kind, id, n, p, array_to_string(w[p:p + n - 1], ' ') AS k FROM starts),
+met AS (
+    SELECT d.id AS doc_id, d.n, d.p, b.id AS item_id
+    FROM windows d JOIN (SELECT DISTINCT id, k FROM windows WHERE kind = 'b') b ON d.kind = 'd' AND d.k = b.k),
+hits AS (
+    SELECT doc_id, count(DISTINCT place) AS n_hit
+    FROM (SELECT doc_id, unnest(generate_series(p, p + n - 1)) AS place FROM met) GROUP BY doc_id),
+items AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list
+    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM met) GROUP BY doc_id)
+SELECT c.id AS doc_id, len(c.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM cut c LEFT JOIN hits h ON h.doc_id = c.id LEFT JOIN items i ON i.doc_id = c.id WHERE c.kind = 'd'
+"""
