@@ -14,7 +14,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField
 from fleetlens.llm.common import extend, read_file
 
 #: Distinct pre-tokens a task remembers; beyond that it starts over, so memory stays bounded.
-MEMO = 250_000
+MEMO = 600_000
 #: Longer pre-tokens are encoded anew each time instead of being remembered.
 MEMO_CHARS = 64
 
@@ -22,21 +22,19 @@ MEMO_CHARS = 64
 class RankQueue:
     """A queue of (rank, position) pairs, smallest first.
 
-    Each rank has a bucket of positions; a bit per non-empty bucket, and a bit per
-    non-zero word of the level below, make the next rank a few find-first-set steps.
-    Nothing is ever searched for removal: the user skips entries gone stale.
+    Each rank has a bucket of positions. A bit per non-empty bucket, in words of 256
+    bits, and above them a bit per non-zero word make the next rank two
+    find-first-set steps. Nothing is ever searched for removal: the user skips
+    entries that have gone stale.
     """
 
+    __slots__ = ("buckets", "words", "top")
+    BITS = [1 << i for i in range(256)]
+
     def __init__(self, ranks: int) -> None:
         self.buckets: dict[int, list[int]] = {}
-        self.levels: list[list[int]] = []
-        width = max(ranks, 1)
-        while width > 1 or not self.levels:
-            width = (width + 63) >> 6
-            self.levels.append([0] * width)
-
-    def __bool__(self) -> bool:
-        return self.levels[-1][0] != 0
+        self.words = [0] * ((ranks >> 8) + 1)
+        self.top = 0
 
     def push(self, rank: int, position: int) -> None:
         bucket = self.buckets.get(rank)
@@ -44,31 +42,27 @@ class RankQueue:
             heappush(bucket, position)
             return
         self.buckets[rank] = [position]
-        for level in self.levels:
-            word = rank >> 6
-            before = level[word]
-            level[word] = before | 1 << (rank & 63)
-            if before:
-                return
-            rank = word
+        high = rank >> 8
+        word = self.words[high]
+        if not word:
+            self.top |= 1 << high
+        self.words[high] = word | self.BITS[rank & 255]
 
     def pop(self) -> tuple[int, int]:
-        rank = 0
-        for level in reversed(self.levels):
-            word = level[rank]
-            rank = rank << 6 | (word & -word).bit_length() - 1
+        top = self.top
+        high = (top & -top).bit_length() - 1
+        word = self.words[high]
+        low = word & -word
+        rank = high << 8 | low.bit_length() - 1
         bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            at = rank
-            for level in self.levels:
-                word = at >> 6
-                level[word] &= ~(1 << (at & 63))
-                if level[word]:
-                    break
-                at = word
-        return rank, position
+        if len(bucket) > 1:
+            return rank, heappop(bucket)
+        del self.buckets[rank]
+        word ^= low
+        self.words[high] = word
+        if not word:
+            self.top = top ^ 1 << high
+        return rank, bucket[0]
 
 
 class Codec:
@@ -91,35 +85,30 @@ class Codec:
         after = list(range(1, n + 2))  # start of the next token
         before = list(range(-1, n))
         pair = [-1] * n  # rank of the merge with the next token, the current one only
+        find, push, pop = ranks.get, queue.push, queue.pop
         for at in range(n - 1):
-            rank = ranks.get(raw[at:at + 2])
-            if rank is not None:
+            rank = find(raw[at:at + 2], -1)
+            if rank >= 0:
                 pair[at] = rank
-                queue.push(rank, at)
-        while queue:
-            rank, at = queue.pop()
+                push(rank, at)
+        while queue.top:
+            rank, at = pop()
             if pair[at] != rank:
                 continue
             gone = after[at]
             end = after[at] = after[gone]
-            pair[gone] = -1
-            rank = None
+            pair[gone] = rank = -1
             if end < n:
                 before[end] = at
-                rank = ranks.get(raw[at:after[end]])
-            if rank is None:
-                pair[at] = -1
-            else:
-                pair[at] = rank
-                queue.push(rank, at)
+                rank = find(raw[at:after[end]], -1)
+                if rank >= 0:
+                    push(rank, at)
+            pair[at] = rank
             left = before[at]
             if left >= 0:
-                rank = ranks.get(raw[left:end])
-                if rank is None:
-                    pair[left] = -1
-                else:
-                    pair[left] = rank
-                    queue.push(rank, left)
+                rank = pair[left] = find(raw[left:end], -1)
+                if rank >= 0:
+                    push(rank, left)
         out, at = [], 0
         while at < n:
             out.append(ranks[raw[at:after[at]]])

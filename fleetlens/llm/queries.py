@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fleetlens.llm.bpe import bpe_count, bpe_decode, bpe_encode
 from fleetlens.llm.fm_index import contamination
+from fleetlens.llm.hyperminhash import near_duplicates
 from fleetlens.llm.line_dedup import line_dedup
 from fleetlens.llm.token_counts import length_histogram
 
@@ -27,6 +28,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, percent=85)
+
+
 @query
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
