@@ -12,6 +12,7 @@ from fleetlens.llm.fm_index import contamination
 from fleetlens.llm.hyperminhash import near_duplicates
 from fleetlens.llm.line_dedup import line_dedup
 from fleetlens.llm.token_counts import length_histogram
+from fleetlens.llm.url_filter import page_links, rule_table, url_verdicts
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -114,3 +115,65 @@ SELECT c.id AS doc_id, len(c.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesc
        sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM cut c LEFT JOIN hits h ON h.doc_id = c.id LEFT JOIN items i ON i.doc_id = c.id WHERE c.kind = 'd'
 """
+
+
+URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+             ("block", "net", "/es/"), ("block", "net", "/fr/"))
+
+
+@query
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    out = url_verdicts(pages.select("page_id", "url"), rule_table(spark, URL_RULES), page_links(pages))
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
+_RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for v, h, p in URL_RULES)
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLE["op5_url_filter"] = (r"""
+WITH RECURSIVE rules(rh, rp, rv) AS (VALUES """ + _RULE_ROWS + r"""),
+pages_cut AS (
+    SELECT page_id, html, CASE WHEN url LIKE '%://%' THEN substring(url, strpos(url, '://') + 3) ELSE '' END AS rest,
+           url LIKE '%://%' AS named
+    FROM pages),
+urls AS (
+    SELECT page_id, html, """ + _LOWER.format(r"regexp_extract(rest, '^[^/?#]*')") + r""" AS host,
+           regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+           CASE WHEN named THEN """ + _LOWER.format(r"regexp_extract(rest, '^[^/?#]*')") + r"""
+                || regexp_extract(rest, '^[^/?#]*([^#]*)', 1) END AS node
+    FROM pages_cut),
+tags AS (
+    SELECT host, node, regexp_extract(tag, '(?is)href\s*=\s*["'']?\s*([^"''\s>]+)', 1) AS target
+    FROM (SELECT host, node, unnest(regexp_extract_all(coalesce(html, ''), '(?i)<link[^>]*>')) AS tag FROM urls)
+    WHERE regexp_matches(tag, '(?i)rel\s*=\s*["'']?[^"''>]*canonical')
+    UNION ALL
+    SELECT host, node, regexp_extract(tag, '(?i)url\s*=\s*["'']?\s*([^"''\s>]+)', 1)
+    FROM (SELECT host, node, unnest(regexp_extract_all(coalesce(html, ''), '(?i)<meta[^>]*>')) AS tag FROM urls)
+    WHERE regexp_matches(tag, '(?i)http-equiv\s*=\s*["'']?refresh')),
+targets AS (
+    SELECT node AS a, CASE WHEN target LIKE '%://%' THEN substring(target, strpos(target, '://') + 3)
+                           WHEN target LIKE '//%' THEN substring(target, 3)
+                           WHEN target LIKE '/%' THEN host || target END AS rest
+    FROM tags WHERE node IS NOT NULL),
+edges AS (
+    SELECT a, """ + _LOWER.format(r"regexp_extract(rest, '^[^/?#]*')") + r""" || regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS b
+    FROM targets WHERE rest IS NOT NULL),
+both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+reach AS (
+    SELECT a AS node, a AS other FROM both_ways
+    UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON e.a = r.other),
+places AS (
+    SELECT DISTINCT node, host, path FROM urls WHERE host <> ''
+    UNION SELECT DISTINCT other, regexp_extract(other, '^[^/?#]*'), regexp_extract(other, '^[^/?#]*([^?#]*)', 1) FROM reach),
+ruled AS (
+    SELECT DISTINCT host, path, first(rh || rp ORDER BY length(rh || rp) DESC, rh || rp) AS rule,
+           first(rv ORDER BY length(rh || rp) DESC, rh || rp, rv) AS rv
+    FROM (SELECT DISTINCT host, path FROM places) p
+    JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)
+    GROUP BY host, path),
+shared AS (
+    SELECT r.node, min(d.rv) AS rv FROM reach r JOIN places p ON p.node = r.other
+    JOIN ruled d ON d.host = p.host AND d.path = p.path GROUP BY r.node)
+SELECT u.page_id, u.host, u.path, r.rule, coalesce(r.rv, s.rv, 'allow') AS verdict
+FROM urls u LEFT JOIN ruled r ON r.host = u.host AND r.path = u.path LEFT JOIN shared s ON s.node = u.node
+""")
