@@ -13,6 +13,7 @@ from fleetlens.llm.hyperminhash import near_duplicates
 from fleetlens.llm.line_dedup import line_dedup
 from fleetlens.llm.token_counts import length_histogram
 from fleetlens.llm.url_filter import page_links, rule_table, url_verdicts
+from fleetlens.llm.wrapper import main_texts
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -177,3 +178,9 @@ shared AS (
 SELECT u.page_id, u.host, u.path, r.rule, coalesce(r.rv, s.rv, 'allow') AS verdict
 FROM urls u LEFT JOIN ruled r ON r.host = u.host AND r.path = u.path LEFT JOIN shared s ON s.node = u.node
 """)
+
+
+@query
+def op7_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = main_texts(_table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+    return out.select("page_id", "url", "text", "n_chars")
