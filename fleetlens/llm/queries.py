@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from fleetlens.llm.bpe import bpe_count, bpe_decode, bpe_encode
 from fleetlens.llm.fm_index import contamination
 from fleetlens.llm.hyperminhash import near_duplicates
+from fleetlens.llm.imatch import compared_with_next, lexicon
 from fleetlens.llm.line_dedup import line_dedup
 from fleetlens.llm.token_counts import length_histogram
 from fleetlens.llm.url_filter import page_links, rule_table, url_verdicts
@@ -35,6 +36,12 @@ def op1_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, percent=85)
 
 
+@query
+def op2_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return compared_with_next(docs, lexicon(docs, min_share=0.0005, max_share=0.1))
+
+
 @query
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
