@@ -12,8 +12,10 @@ from fleetlens.llm.fm_index import contamination
 from fleetlens.llm.hyperminhash import near_duplicates
 from fleetlens.llm.imatch import compared_with_next, lexicon
 from fleetlens.llm.line_dedup import line_dedup
+from fleetlens.llm.pii import KINDS, find_pii, fit as fit_tagger
 from fleetlens.llm.token_counts import length_histogram
 from fleetlens.llm.url_filter import page_links, rule_table, url_verdicts
+from fleetlens.llm.weak_labels import classify
 from fleetlens.llm.wrapper import main_texts
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -191,3 +193,19 @@ FROM urls u LEFT JOIN ruled r ON r.host = u.host AND r.path = u.path LEFT JOIN s
 def op7_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = main_texts(_table(spark, sf_dir, "pages"), keep=["page_id", "url"])
     return out.select("page_id", "url", "text", "n_chars")
+
+
+@query
+def op8_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = classify(docs, _table(spark, sf_dir, "labels"), keep=["doc_id"])
+    return out.select("doc_id", "p_bad", "p_toxic", "rejected", (~F.col("rejected")).alias("kept"))
+
+
+@query
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_pii(docs, fit_tagger(docs), keep=["doc_id"])
+    joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    counts = [F.size(F.filter("base_spans", lambda s, k=kind: s["kind"] == k)).cast("bigint").alias(f"n_{kind}") for kind in KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined("base_spans"), 256).alias("base_sha256"), joined("spans").alias("spans"))
