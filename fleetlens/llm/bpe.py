@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import base64
+import gc
+from functools import lru_cache
 from heapq import heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -14,55 +17,12 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField
 from fleetlens.llm.common import extend, read_file
 
 #: Distinct pre-tokens a task remembers; beyond that it starts over, so memory stays bounded.
-MEMO = 600_000
+MEMO = 1_200_000
 #: Longer pre-tokens are encoded anew each time instead of being remembered.
 MEMO_CHARS = 64
 
 
-class RankQueue:
-    """A queue of (rank, position) pairs, smallest first.
-
-    Each rank has a bucket of positions. A bit per non-empty bucket, in words of 256
-    bits, and above them a bit per non-zero word make the next rank two
-    find-first-set steps. Nothing is ever searched for removal: the user skips
-    entries that have gone stale.
-    """
-
-    __slots__ = ("buckets", "words", "top")
-    BITS = [1 << i for i in range(256)]
-
-    def __init__(self, ranks: int) -> None:
-        self.buckets: dict[int, list[int]] = {}
-        self.words = [0] * ((ranks >> 8) + 1)
-        self.top = 0
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        high = rank >> 8
-        word = self.words[high]
-        if not word:
-            self.top |= 1 << high
-        self.words[high] = word | self.BITS[rank & 255]
-
-    def pop(self) -> tuple[int, int]:
-        top = self.top
-        high = (top & -top).bit_length() - 1
-        word = self.words[high]
-        low = word & -word
-        rank = high << 8 | low.bit_length() - 1
-        bucket = self.buckets[rank]
-        if len(bucket) > 1:
-            return rank, heappop(bucket)
-        del self.buckets[rank]
-        word ^= low
-        self.words[high] = word
-        if not word:
-            self.top = top ^ 1 << high
-        return rank, bucket[0]
+BITS = [1 << i for i in range(256)]
 
 
 class Codec:
@@ -70,29 +30,69 @@ class Codec:
 
     def __init__(self, table: bytes, pattern: str) -> None:
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in table.splitlines() if line)}
-        self.tokens = {rank: raw for raw, rank in self.ranks.items()}
         # White space as Unicode has it, whatever the regex library takes \s to be.
         self.split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
-        self.queue = RankQueue(max(self.tokens, default=0) + 1)
-        self.memo: dict[str, tuple[int, ...]] = {}
+        size = max(self.ranks.values(), default=-1) + 1
+        self.words = [0] * ((size >> 8) + 1)
+        self.memo = Memo(self.piece)
+        tokens = [b""] * size
+        for raw, rank in self.ranks.items():
+            tokens[rank] = raw
+        self.lengths = np.array([len(t) for t in tokens], dtype=np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.bytes = np.frombuffer(b"".join(tokens), dtype=np.uint8)
 
     def piece(self, raw: bytes) -> list[int]:
-        """The ids of one pre-token: the leftmost pair of lowest rank merges until none is left."""
-        ranks, queue, n = self.ranks, self.queue, len(raw)
-        whole = ranks.get(raw)
+        """The ids of one pre-token: the leftmost pair of lowest rank merges until none is left.
+
+        The queue of possible merges has a bucket of positions per rank. A bit per
+        non-empty bucket, in words of 256 bits, and above them a bit per non-zero word
+        make the next rank two find-first-set steps. Tokens are a linked list of their
+        start positions. Nothing is searched for removal: an entry whose position no
+        longer starts a pair of that rank is stale and skipped. A pre-token of n bytes
+        takes n log n steps, so very long ones are no trouble.
+        """
+        find, n = self.ranks.get, len(raw)
+        whole = find(raw)
         if whole is not None:
             return [whole]
         after = list(range(1, n + 2))  # start of the next token
         before = list(range(-1, n))
         pair = [-1] * n  # rank of the merge with the next token, the current one only
-        find, push, pop = ranks.get, queue.push, queue.pop
+        words, buckets, top = self.words, {}, 0
+
+        def push(rank: int, at: int) -> int:
+            """Enters a position and returns the bit of the rank's word when that was empty."""
+            bucket = buckets.get(rank)
+            if bucket is not None:
+                heappush(bucket, at)
+                return 0
+            buckets[rank] = [at]
+            high = rank >> 8
+            word = words[high]
+            words[high] = word | BITS[rank & 255]
+            return 0 if word else 1 << high
+
         for at in range(n - 1):
             rank = find(raw[at:at + 2], -1)
             if rank >= 0:
                 pair[at] = rank
-                push(rank, at)
-        while queue.top:
-            rank, at = pop()
+                top |= push(rank, at)
+        while top:
+            high = (top & -top).bit_length() - 1
+            word = words[high]
+            low = word & -word
+            rank = high << 8 | low.bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                at = heappop(bucket)
+            else:
+                at = bucket[0]
+                del buckets[rank]
+                word ^= low
+                words[high] = word
+                if not word:
+                    top ^= 1 << high
             if pair[at] != rank:
                 continue
             gone = after[at]
@@ -102,35 +102,56 @@ class Codec:
                 before[end] = at
                 rank = find(raw[at:after[end]], -1)
                 if rank >= 0:
-                    push(rank, at)
+                    top |= push(rank, at)
             pair[at] = rank
             left = before[at]
             if left >= 0:
                 rank = pair[left] = find(raw[left:end], -1)
                 if rank >= 0:
-                    push(rank, left)
+                    top |= push(rank, left)
         out, at = [], 0
         while at < n:
-            out.append(ranks[raw[at:after[at]]])
+            out.append(self.ranks[raw[at:after[at]]])
             at = after[at]
         return out
 
-    def miss(self, text: str) -> tuple[int, ...]:
-        ids = tuple(self.piece(text.encode()))
+    def encode(self, text: str | None) -> np.ndarray:
+        return np.fromiter(chain.from_iterable(map(self.memo.__getitem__, self.split(text or ""))), dtype=np.int32)
+
+    def count(self, text: str | None) -> int:
+        return sum(map(len, map(self.memo.__getitem__, self.split(text or ""))))
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        sizes = self.lengths[ids]
+        begins = np.cumsum(sizes) - sizes
+        return self.bytes[np.repeat(self.starts[ids] - begins, sizes) + np.arange(int(sizes.sum()))].tobytes()
+
+
+class Memo(dict):
+    """Ids by pre-token, filled as they are asked for."""
+
+    def __init__(self, encode) -> None:
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, text: str) -> tuple[int, ...]:
+        ids = tuple(self.encode(text.encode()))
         if len(text) <= MEMO_CHARS:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[text] = ids
+            if len(self) >= MEMO:
+                self.clear()
+            self[text] = ids
         return ids
 
-    def encode(self, text: str | None) -> list[int]:
-        known, miss, out = self.memo.get, self.miss, []
-        for part in self.split(text or ""):
-            out += known(part) or miss(part)
-        return out
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+@lru_cache(maxsize=2)
+def codec(table: bytes, pattern: str) -> Codec:
+    """One codec per Python worker: the tasks that a worker runs in turn share what it remembers.
+
+    That is a million small immutable objects, which the cycle collector would walk
+    over and over, so it is called less often.
+    """
+    gc.set_threshold(100_000, 50, 100)
+    return Codec(table, pattern)
 
 
 def _table(docs: DataFrame, path: str):
@@ -150,12 +171,12 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids
     table = _table(docs, path)
 
     def make():
-        codec = Codec(table.value, pattern)
+        own = codec(table.value, pattern)
 
         def encode(batch: pa.RecordBatch) -> list:
             ends, parts = [0], []
             for value in batch.column(text):
-                part = np.array(codec.encode(value.as_py()), dtype=np.int32)
+                part = own.encode(value.as_py())
                 parts.append(part)
                 ends.append(ends[-1] + len(part))
             flat = np.concatenate(parts) if parts else np.empty(0, np.int32)
@@ -174,8 +195,8 @@ def bpe_count(docs: DataFrame, path: str, pattern: str, text: str = "text", coun
     table = _table(docs, path)
 
     def make():
-        codec = Codec(table.value, pattern)
-        return lambda batch: [[len(codec.encode(value.as_py())) for value in batch.column(text)]]
+        own = codec(table.value, pattern)
+        return lambda batch: [[own.count(value.as_py()) for value in batch.column(text)]]
 
     return extend(docs, [StructField(count, LongType())], make, keep)
 
@@ -188,10 +209,13 @@ def bpe_decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "decoded
     table = _table(rows, path)
 
     def make():
-        codec = Codec(table.value, "")
+        own = codec(table.value, "")
 
         def decode(batch: pa.RecordBatch) -> list:
-            return [[None if x is None else codec.decode(x) for x in (v.as_py() for v in batch.column(ids))]]
+            column = batch.column(ids)
+            values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+            return [[own.decode(values[a:b]) if known else None
+                     for a, b, known in zip(ends, ends[1:], column.is_valid().to_pylist(), strict=False)]]
 
         return decode
 
