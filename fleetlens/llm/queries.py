@@ -153,13 +153,13 @@ urls AS (
                 || regexp_extract(rest, '^[^/?#]*([^#]*)', 1) END AS node
     FROM pages_cut),
 tags AS (
-    SELECT host, node, regexp_extract(tag, '(?is)href\s*=\s*["'']?\s*([^"''\s>]+)', 1) AS target
-    FROM (SELECT host, node, unnest(regexp_extract_all(coalesce(html, ''), '(?i)<link[^>]*>')) AS tag FROM urls)
-    WHERE regexp_matches(tag, '(?i)rel\s*=\s*["'']?[^"''>]*canonical')
+    SELECT host, node, regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1) AS target
+    FROM (SELECT host, node, unnest(regexp_extract_all(coalesce(html, ''), '(?i)<link\b[^>]*>')) AS tag FROM urls)
+    WHERE regexp_matches(tag, '(?i)\brel\s*=\s*["'']?[^"''>]*\bcanonical\b')
     UNION ALL
-    SELECT host, node, regexp_extract(tag, '(?i)url\s*=\s*["'']?\s*([^"''\s>]+)', 1)
-    FROM (SELECT host, node, unnest(regexp_extract_all(coalesce(html, ''), '(?i)<meta[^>]*>')) AS tag FROM urls)
-    WHERE regexp_matches(tag, '(?i)http-equiv\s*=\s*["'']?refresh')),
+    SELECT host, node, regexp_extract(tag, '(?i)\burl\s*=\s*["'']?\s*([^"''\s>]+)', 1)
+    FROM (SELECT host, node, unnest(regexp_extract_all(coalesce(html, ''), '(?i)<meta\b[^>]*>')) AS tag FROM urls)
+    WHERE regexp_matches(tag, '(?i)\bhttp-equiv\s*=\s*["'']?refresh\b')),
 targets AS (
     SELECT node AS a, CASE WHEN target LIKE '%://%' THEN substring(target, strpos(target, '://') + 3)
                            WHEN target LIKE '//%' THEN substring(target, 3)
@@ -207,5 +207,5 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_pii(docs, fit_tagger(docs), keep=["doc_id"])
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    counts = [F.size(F.filter("base_spans", lambda s, k=kind: s["kind"] == k)).cast("bigint").alias(f"n_{kind}") for kind in KINDS]
+    counts = [F.size(F.filter("base_spans", lambda s: s["kind"] == F.lit(kind))).cast("bigint").alias(f"n_{kind}") for kind in KINDS]
     return found.select("doc_id", *counts, F.sha2(joined("base_spans"), 256).alias("base_sha256"), joined("spans").alias("spans"))

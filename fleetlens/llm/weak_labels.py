@@ -240,29 +240,31 @@ def label_models(docs: DataFrame, text: str = "text") -> dict[str, LabelModel]:
 
 
 def drawn(docs: DataFrame, labels: DataFrame | None, rows: int, text: str = "text") -> DataFrame:
-    """(text, hand_bad, hand_toxic) of about `rows` documents drawn by a hash: of the labelled ones where there are labels."""
+    """(text, hand_bad, hand_toxic) of about `rows` documents drawn by a hash: labelled ones first, then others."""
+    part = lambda value, n, total: F.pmod(F.xxhash64(F.lit(7), value), F.lit(2 ** 20)) < int(2 ** 20 * min(1.0, n / max(total, 1)))
+    body = docs.select(quoted("doc_id").alias("doc_id"), quoted(text).alias("text"))
+    none = [F.lit(None).cast("double").alias(c) for c in ("hand_bad", "hand_toxic")]
     if labels is None:
-        known = docs.select(quoted(text).alias("text"), F.lit(None).cast("double").alias("hand_bad"),
-                            F.lit(None).cast("double").alias("hand_toxic"), F.xxhash64(F.lit(7), quoted(text)).alias("_llm_h"))
-        total = docs.count()
-    else:
-        once = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-        total = once.count()
-        h = F.xxhash64(F.lit(7), F.col("doc_id"))
-        once = once.where(F.pmod(h, F.lit(2 ** 20)) < int(2 ** 20 * min(1.0, rows / max(total, 1))))
-        # Bounded by `rows` in expectation, so the documents themselves need no shuffle.
-        return docs.select(quoted("doc_id").alias("doc_id"), quoted(text).alias("text")).join(F.broadcast(once), "doc_id").select(
-            "text", (1 - F.col("quality")).cast("double").alias("hand_bad"), F.col("toxic").cast("double").alias("hand_toxic"))
-    return known.where(F.pmod(F.col("_llm_h"), F.lit(2 ** 20)) < int(2 ** 20 * min(1.0, rows / max(total, 1)))).drop("_llm_h")
+        return body.where(part(F.col("text"), rows, docs.count())).select("text", *none)
+    once = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    known = once.count()
+    # About `rows` labels at most, so they are broadcast and the documents need no shuffle.
+    some = F.broadcast(once.where(part(F.col("doc_id"), rows, known)))
+    out = body.join(some, "doc_id").select("text", (1 - F.col("quality")).cast("double").alias("hand_bad"),
+                                           F.col("toxic").cast("double").alias("hand_toxic"))
+    if known < rows:
+        out = out.union(body.join(some, "doc_id", "left_anti").where(part(F.col("text"), rows - known, docs.count())).select("text", *none))
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame | None = None, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> tuple[Scorer, Scorer]:
     """(quality scorer, toxicity scorer).
 
     The label models count the votes of all documents. The scorers are fitted on
-    about `sample_rows` documents, which bounds what reaches the driver: labelled ones
-    if `labels` (doc_id, quality 0/1, toxic 0/1) is given. Labels without doc_id are
-    ignored, of contradicting ones the worse counts.
+    about `sample_rows` documents, which bounds what reaches the driver: first those in
+    `labels` (doc_id, quality 0/1, toxic 0/1). Abuse is learned from labelled documents
+    alone where there are any, since the word lists know few languages. Labels
+    without doc_id are ignored, of contradicting ones the worse counts.
     """
     models = label_models(docs, text)
 
@@ -278,8 +280,9 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, text: str = "text", sa
     found = [np.asarray(x.values.to_numpy(zero_copy_only=False)) for x in rows.column("f")]
     patterns = rows.column("votes").to_pylist()
     hand = [np.array([np.nan if x is None else x for x in rows.column(c).to_pylist()], dtype=float) for c in ("hand_bad", "hand_toxic")]
-    return (Scorer().fit(found, combined(models, patterns, hand[0], QUALITY)),
-            Scorer().fit(found, combined(models, patterns, hand[1], ("abuse",))))
+    bad, toxic = combined(models, patterns, hand[0], QUALITY), combined(models, patterns, hand[1], ("abuse",))
+    told = np.flatnonzero(~np.isnan(hand[1])) if not np.isnan(hand[1]).all() else np.arange(len(found))
+    return Scorer().fit(found, bad), Scorer().fit([found[i] for i in told], toxic[told])
 
 
 def judged(docs: DataFrame, scorers: tuple[Scorer, Scorer], text: str = "text", limit: float = 0.5,
