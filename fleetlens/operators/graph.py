@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
-from fleetlens.operators.skew import HOT_MIN_ROWS, hot_keys, lookup
+from fleetlens.operators.skew import hot_keys, lookup
 from fleetlens.session import staged
 
 
@@ -34,7 +34,7 @@ def walk_ends(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     while True:
         live = state.where("open")
         table = state.select(F.col("node").alias("last"), F.col("last").alias("_to"), F.col("hops").alias("_more"))
-        stepped = lookup(live, table, "last", ["node"], base=live, n_rows=n_open).select(
+        stepped = lookup(live, table, "last", ["node"], base=live).select(
             "node", F.coalesce("_to", "last").alias("last"), (F.col("hops") + F.coalesce("_more", F.lit(0))).alias("hops"),
             F.col("last").alias("came"), F.col("_to").isNotNull().alias("open"))
         state = staged(stepped.unionByName(state.where("not open")), "walk")
@@ -115,17 +115,16 @@ def _stepper(edges: DataFrame) -> Callable[[DataFrame], DataFrame]:
     The edges are staged and their hot sources found once, before the rounds.
     """
     table = staged(edges.select("src", "dst"), "edges")
-    n = table.count()
-    hot = staged(hot_keys(table, "src"), "hot") if n >= HOT_MIN_ROWS else None
+    hot = staged(hot_keys(table, "src"), "hot")
 
     def step(frontier: DataFrame) -> DataFrame:
         here = frontier.select(F.col("node").alias("src"), F.lit(True).alias("_here"))
-        return lookup(table, here, "src", ["dst"], how="inner", n_rows=n, hot=hot).select("src", "dst")
+        return lookup(table, here, "src", ["dst"], how="inner", hot=hot).select("src", "dst")
 
     return step
 
 
-def reachable(edges: DataFrame, roots: DataFrame, max_rounds: int | None = None) -> DataFrame:
+def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(node, hops, via): shortest hop count from any root and the smallest predecessor that gives it.
 
     Following `via` back to a root spells one shortest path.
@@ -134,7 +133,7 @@ def reachable(edges: DataFrame, roots: DataFrame, max_rounds: int | None = None)
     seen = staged(roots.select("node").distinct().select(
         "node", F.lit(0).cast("bigint").alias("hops"), F.lit(None).cast(dict(edges.dtypes)["src"]).alias("via")), "seen")
     frontier, rounds = seen, 0
-    while frontier.limit(1).count() and (max_rounds is None or rounds < max_rounds):
+    while frontier.limit(1).count():
         rounds += 1
         found = step_from(frontier).groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("via"))
         frontier = staged(found.join(seen.select("node"), "node", "left_anti").select(

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from fleetlens.functions.text import round_half_up
@@ -54,48 +50,15 @@ def incidents(probes: DataFrame) -> DataFrame:
     )
 
 
-MAX_STREAMED = 1_000_000
-
-
-def fired_instants(alerts: DataFrame, window: int, max_streamed: int = MAX_STREAMED) -> DataFrame:
+def fired_instants(alerts: DataFrame, window: int) -> DataFrame:
     """(key, ts) instants that fire when a key stays silent for `window` after each firing.
 
-    The silence counts from the last *fired* instant, so it is no lag. Keys with
-    up to `max_streamed` distinct instants are walked in order inside one sorted
-    partition with constant memory; larger keys go through pointer doubling over
-    'next instant at least `window` later', which no single task has to hold.
+    The silence counts from the last *fired* instant, so it is no lag: firing
+    instants are those on the path of 'next instant at least `window` later' from a
+    key's first one. The path is found by pointer doubling, which no single task
+    has to hold, whatever a key's share of the alerts.
     """
-    times = staged(alerts.select("key", "ts").distinct(), "instants")
-    sizes = times.groupBy("key").agg(F.count("*").alias("_n"))
-    big = sizes.where(F.col("_n") > max_streamed).select("key")
-    n_big = big.count()
-    small_rows = times if n_big == 0 else times.join(big, "key", "left_anti")
-    fired = _walk(small_rows, window)
-    if n_big:
-        fired = fired.unionByName(_double(times.join(big, "key", "left_semi"), window))
-    return fired
-
-
-def _walk(times: DataFrame, window: int) -> DataFrame:
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, last = None, 0
-        for batch in batches:
-            keys, ts = batch["key"].to_numpy(), batch["ts"].to_numpy()
-            keep: list[int] = []
-            cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-            for lo, hi in zip(np.append(0, cuts), np.append(cuts, len(ts))):
-                at = lo
-                if keys[lo] == key:
-                    at = lo + int(np.searchsorted(ts[lo:hi], last + window))
-                key = keys[lo]
-                while at < hi:
-                    keep.append(at)
-                    last = ts[at]
-                    at = lo + int(np.searchsorted(ts[lo:hi], last + window))
-            yield batch.iloc[keep]
-
-    by_key = times.repartition("key").sortWithinPartitions("key", "ts")
-    return by_key.mapInPandas(walk, times.schema)
+    return _double(staged(alerts.select("key", "ts").distinct(), "instants"), window)
 
 
 def _double(times: DataFrame, window: int) -> DataFrame:
@@ -122,9 +85,9 @@ def _double(times: DataFrame, window: int) -> DataFrame:
         jump = staged(jump.join(far, ["key", "nxt"]).select("key", "ts", F.col("nxt2").alias("nxt")), "jump")
 
 
-def suppress_alerts(alerts: DataFrame, window: int, max_streamed: int = MAX_STREAMED) -> DataFrame:
+def suppress_alerts(alerts: DataFrame, window: int) -> DataFrame:
     """Every alert with fired = true or false; alerts of the same key and instant share the answer."""
-    fired = fired_instants(alerts, window, max_streamed).withColumn("_f", F.lit(True))
+    fired = fired_instants(alerts, window).withColumn("_f", F.lit(True))
     return alerts.join(fired, ["key", "ts"], "left").withColumn(
         "fired", F.coalesce("_f", F.lit(False))
     ).drop("_f")

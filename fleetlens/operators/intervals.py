@@ -3,27 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from fleetlens.operators.ordered import ordered_scan
 
-SMALL = 1_000
 
+def _common(points: DataFrame, intervals: DataFrame, value: str) -> DataType:
+    """The type that holds both the points and the bounds, as comparing them would choose."""
+    spark = points.sparkSession
+    empty = spark.createDataFrame([], StructType([StructField("a", points.schema[value].dataType), StructField("b", intervals.schema["lo"].dataType)]))
+    return empty.select(F.coalesce("a", "b").alias("x")).schema["x"].dataType
 
-def interval_lookup(
-    points: DataFrame, intervals: DataFrame, value: str, ident: str, labels: list[str], small: int = SMALL
-) -> DataFrame:
+
+def interval_lookup(points: DataFrame, intervals: DataFrame, value: str, ident: str, labels: list[str]) -> DataFrame:
     """points plus the `labels` of the interval [lo, hi] that holds `value`, null when none does.
 
-    Up to `small` intervals, counted first, are broadcast and tested directly.
-    More are merged with the points in order: the last interval that starts at or
-    before a point is the only one that can hold it.
+    Points and intervals are merged in order: the last interval that starts at or
+    before a point is the only one that can hold it. A null value has no interval.
     """
-    if intervals.limit(small + 1).count() <= small:
-        hit = (points[value] >= intervals["lo"]) & (points[value] <= intervals["hi"])
-        return points.join(F.broadcast(intervals), hit, "left").drop("lo", "hi")
-    band = F.struct("lo", "hi", *labels)
-    kind = intervals.schema["lo"].dataType
-    marks = intervals.select(F.col("lo").alias("_at"), F.lit(0).alias("_kind"), F.lit("").alias("_tie"), band.alias("_band"))
+    kind = _common(points, intervals, value)
+    band = F.struct(F.col("lo").cast(kind).alias("lo"), F.col("hi").cast(kind).alias("hi"), *labels)
+    marks = intervals.select(F.col("lo").cast(kind).alias("_at"), F.lit(0).alias("_kind"), F.lit("").alias("_tie"), band.alias("_band"))
     asks = points.select(F.col(value).cast(kind).alias("_at"), F.lit(1).alias("_kind"), F.col(ident).cast("string").alias("_tie"),
                          F.struct(*points.columns).alias("_p"))
     merged = marks.unionByName(asks, allowMissingColumns=True)
@@ -38,8 +38,9 @@ def outside_intervals(points: DataFrame, intervals: DataFrame, value: str, ident
     Some interval holds a point when the largest `hi` among those that start at or
     before it reaches it, so one running maximum decides and nothing is paired.
     """
-    kind = intervals.schema["lo"].dataType
-    marks = intervals.select(*keys, F.col("lo").alias("_at"), F.lit(0).alias("_kind"), F.concat_ws("|", "hi", "lo").alias("_tie"), F.col("hi").alias("_hi")).distinct()
+    kind = _common(points, intervals, value)
+    marks = intervals.select(*keys, F.col("lo").cast(kind).alias("_at"), F.lit(0).alias("_kind"), F.concat_ws("|", "hi", "lo").alias("_tie"),
+                             F.col("hi").cast(kind).alias("_hi")).distinct()
     asks = points.select(*keys, F.col(value).cast(kind).alias("_at"), F.lit(1).alias("_kind"), F.col(ident).cast("string").alias("_tie"),
                          F.struct(*points.columns).alias("_p"))
     scan = ordered_scan(marks.unionByName(asks, allowMissingColumns=True), keys, ["_at", "_kind", "_tie"], maxes={"_reach": "_hi"})

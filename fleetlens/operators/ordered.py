@@ -12,13 +12,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from fleetlens.session import staged
 
 
-SMALL_RANK = 1_000_000
-
-
 def ordered_scan(
     df: DataFrame,
     keys: list[str],
-    order: list[str],
+    order: list[str | tuple[str, bool]],
     *,
     sums: dict[str, str] | None = None,
     carry: dict[str, str] | None = None,
@@ -35,13 +32,20 @@ def ordered_scan(
     carry_before  name -> column: last non-null value before this row
     totals        name -> column: sum over the whole key
     maxes         name -> column: inclusive running maximum
-    `order` must be unique within `keys`; keys must not be null.
+    `order` must be unique within `keys`; keys must not be null. An entry of `order`
+    is a column, or a column and whether it descends; nulls come first ascending and
+    last descending. Mixed directions go with sums, totals and maxes only.
     """
     sums, carry = dict(sums or {}), dict(carry or {})
     carry_before, totals, maxes = dict(carry_before or {}), dict(totals or {}), dict(maxes or {})
 
-    def sorted_cols(names: list[str]) -> list[Column]:
-        return [F.col(n).desc() if reverse else F.col(n).asc() for n in names]
+    ways = [(o, False) if isinstance(o, str) else o for o in order]
+    order = [o for o, _ in ways]
+    if (carry or carry_before) and any(desc for _, desc in ways):
+        raise ValueError("carry goes with ascending columns and `reverse`")
+
+    def sorted_cols(_: list[str]) -> list[Column]:
+        return [F.col(n).desc() if desc != reverse else F.col(n).asc() for n, desc in ways]
 
     by = [F.col(k) for k in keys] + sorted_cols(order)
     ranged = df.repartitionByRange(slices, *by) if slices else df.repartitionByRange(*by)
@@ -92,20 +96,11 @@ def ordered_scan(
 def ranked(df: DataFrame, order: list[tuple[str, bool]], name: str = "rank") -> DataFrame:
     """Number all rows 1..n by `order` [(column, descending)].
 
-    The order must be total. Up to SMALL_RANK rows, counted first, are sorted in
-    one task; more go through a sliced scan. Numeric descending columns are
-    negated so that one ascending scan serves every mix of directions.
+    The order must be total; nulls come first ascending and last descending. Rows
+    are ranked in slices of the order, so they never meet in one task.
     """
-    df = staged(df, "rank")
-    if df.limit(SMALL_RANK + 1).count() <= SMALL_RANK:
-        sort = [F.col(c).desc() if desc else F.col(c).asc() for c, desc in order]
-        return df.withColumn(name, F.row_number().over(Window.orderBy(*sort)).cast("bigint"))
-    cols, tmp = [], df.withColumn("_one", F.lit(1).cast("bigint"))
-    for i, (col, desc) in enumerate(order):
-        tmp = tmp.withColumn(f"_k{i}", -F.col(col) if desc else F.col(col))
-        cols.append(f"_k{i}")
-    out = ordered_scan(tmp, [], cols, sums={name: "_one"})
-    return out.drop("_one", *cols)
+    counted = df.withColumn("_one", F.lit(1).cast("bigint"))
+    return ordered_scan(counted, [], list(order), sums={name: "_one"}).drop("_one")
 
 
 def nearest_rank(

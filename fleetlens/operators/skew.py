@@ -7,17 +7,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 # A key is hot when it owns at least this share of the rows, so at most
 # 1 / HOT_SHARE keys are hot: the broadcast side has a fixed row bound.
 HOT_SHARE = 1e-4
-HOT_MIN_ROWS = 100_000
 SPREAD = 1024
 
 
-def hot_keys(rows: DataFrame, key: str, min_rows: int = HOT_MIN_ROWS) -> DataFrame:
-    """The keys that own at least HOT_SHARE of `rows` and `min_rows` rows (bounded in number)."""
+def hot_keys(rows: DataFrame, key: str) -> DataFrame:
+    """The keys that own at least HOT_SHARE of `rows` (bounded in number)."""
     counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
     total = counts.agg(F.sum("_n")).scalar()
-    return counts.where(
-        (F.col("_n") >= F.lit(min_rows)) & (F.col("_n") >= total * F.lit(HOT_SHARE))
-    ).select(key)
+    return counts.where(F.col("_n") >= total * F.lit(HOT_SHARE)).select(key)
 
 
 def lookup(
@@ -26,10 +23,8 @@ def lookup(
     key: str,
     spread: list[str | Column],
     how: str = "left",
-    min_rows: int = HOT_MIN_ROWS,
     base: DataFrame | None = None,
     weight: str | None = None,
-    n_rows: int | None = None,
     hot: DataFrame | None = None,
 ) -> DataFrame:
     """Join `rows` to `dim` (at most one row per `key`) when `key` may be skewed in `rows`.
@@ -38,24 +33,21 @@ def lookup(
     then spread over the shuffle by a hash of `spread` instead of meeting in
     one task. All other rows take an ordinary shuffled join.
 
-    `base`, a staged table with the same rows, answers how often keys occur
-    without running `rows` twice; when it has fewer than `min_rows` rows (or
-    `n_rows` says so) nothing can be hot. `hot` hands in hot keys found before. `weight` names a dim column that already holds the row counts.
+    `base`, a staged table with the same rows, answers how often keys occur without
+    running `rows` twice. `hot` hands in hot keys found before. `weight` names a dim
+    column that already holds the row counts. The result has the columns of `rows`,
+    then those of `dim`, at every size.
     """
     if how not in ("left", "inner"):
         raise ValueError("how must be 'left' or 'inner'")
-    if n_rows is None and base is not None:
-        n_rows = base.count()
-    if n_rows is not None and n_rows < min_rows:
-        return rows.join(dim, key, how)
     extra = [c for c in dim.columns if c != key]
     if hot is not None:
         pass
     elif weight:
         total = dim.agg(F.sum(weight)).scalar()
-        hot = dim.where((F.col(weight) >= min_rows) & (F.col(weight) >= total * F.lit(HOT_SHARE))).select(key)
+        hot = dim.where(F.col(weight) >= total * F.lit(HOT_SHARE)).select(key)
     else:
-        hot = hot_keys(rows if base is None else base, key, min_rows)
+        hot = hot_keys(rows if base is None else base, key)
     hot_dim = dim.join(F.broadcast(hot), key, "left_semi").select(
         key, F.struct(F.lit(True).alias("_hit"), *extra).alias("_hot")
     )

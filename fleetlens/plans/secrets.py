@@ -43,12 +43,10 @@ RULES = (
 )
 PLACEHOLDER = r"(?i)^(x+|\*+|\.+|your[_-]|changeme|example|placeholder|<.*>$)"
 MATCHES = "array<struct<rule:string,severity:string,confidence:string,min_entropy:double,whole:string,secret:string>>"
-MAX_LINE = 2000
-MAX_FILE = 2 * 1024 * 1024
 
 
 def scan_lines(lines: DataFrame, rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
-    """Findings of (file, line, text, location, commit, seq) lines; over-long lines are skipped.
+    """Findings of (file, line, text, location, commit, seq) lines, whatever their length.
 
     Plain substring tests drop clean lines before any pattern runs.
     """
@@ -56,7 +54,7 @@ def scan_lines(lines: DataFrame, rules: tuple[SecretRule, ...] = RULES) -> DataF
     hinted = F.lit(False)
     for r in rules:
         hinted = hinted | r.possible(low)
-    usable = lines.where((F.length("text") <= MAX_LINE) & hinted)
+    usable = lines.where(hinted)
 
     def matches(r: SecretRule) -> Column:
         found = F.zip_with(
@@ -71,7 +69,7 @@ def scan_lines(lines: DataFrame, rules: tuple[SecretRule, ...] = RULES) -> DataF
     weak = F.col("min_entropy").isNotNull() & (
         F.col("secret").rlike(PLACEHOLDER) | (X.entropy(F.col("secret")) < F.col("min_entropy")))
     preview = F.when(
-        F.col("rule") == "private_key", F.lit("-----BEGIN ... PRIVATE KEY----- [key material not shown]")
+        F.col("rule") == "private_key", F.lit("private key header, key withheld")
     ).otherwise(M.masked_preview(F.col("whole"), F.col("secret")))
     return hits.where(~weak).select(
         "file", "line", "location", "commit", "seq", "rule", "severity", "confidence", preview.alias("masked"),
@@ -79,9 +77,9 @@ def scan_lines(lines: DataFrame, rules: tuple[SecretRule, ...] = RULES) -> DataF
 
 
 def file_lines(files: DataFrame, ignore: list[str] = ()) -> DataFrame:
-    """Lines of the (file, text) worth scanning: not ignored, no *.example, no binaries, at most 2 MiB."""
+    """Lines of the (file, text) worth scanning: not ignored, no *.example, no binaries."""
     ok = (~ignored(F.col("file"), ignore) & ~F.col("file").endswith(".example")
-          & (F.octet_length("text") <= MAX_FILE) & ~F.col("text").contains("\u0000"))
+          & ~F.col("text").contains("\u0000"))
     return files.where(ok).select(
         "file", F.posexplode(F.split("text", r"\r?\n")).alias("pos", "text")
     ).select("file", (F.col("pos") + 1).alias("line"), "text", F.lit("worktree").alias("location"),

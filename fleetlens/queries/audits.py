@@ -84,8 +84,8 @@ SCAN = r"""
 src AS (SELECT 'src/' || CASE WHEN doc_id % 50 = 0 THEN 'node_modules/' ELSE '' END || doc_id || CASE WHEN doc_id % 60 = 0 THEN '.example' ELSE '.txt' END AS file,
   text || chr(10) || CASE doc_id % 8 WHEN 0 THEN 'AKIA' || upper(substr(sha256(CAST(doc_id AS VARCHAR)), 1, 16)) WHEN 1 THEN 'api_key = "' || sha256(CAST(doc_id AS VARCHAR)) || '"'
     WHEN 2 THEN 'postgres://app:' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 12) || '@db/main' WHEN 3 THEN 'token: your_token_goes_here_please_change' ELSE '' END AS text FROM documents),
-ok AS (SELECT file, string_split_regex(text, '\r?\n') AS ls FROM src WHERE file NOT LIKE 'src/node_modules/%' AND file NOT LIKE '%.example' AND strlen(text) <= 2097152 AND position(chr(0) IN text) = 0),
-lines AS (SELECT * FROM (SELECT file, unnest(ls) AS text, generate_subscripts(ls, 1) AS line FROM ok) WHERE length(text) <= 2000),
+ok AS (SELECT file, string_split_regex(text, '\r?\n') AS ls FROM src WHERE file NOT LIKE 'src/node_modules/%' AND file NOT LIKE '%.example' AND position(chr(0) IN text) = 0),
+lines AS (SELECT * FROM (SELECT file, unnest(ls) AS text, generate_subscripts(ls, 1) AS line FROM ok)),
 hit AS (
   SELECT file, line, 'aws' AS rule, unnest(regexp_extract_all(text, '\b((?:AKIA|ASIA|AGPA|AROA)[0-9A-Z]{16})\b', 1)) AS secret FROM lines
   UNION ALL SELECT file, line, 'gcp', unnest(regexp_extract_all(text, '\b(AIza[0-9A-Za-z_-]{35})\b', 1)) FROM lines
@@ -93,6 +93,7 @@ hit AS (
   UNION ALL SELECT file, line, 'github_pat', unnest(regexp_extract_all(text, '\b(gh[pousr]_[0-9A-Za-z]{36,255}|github_pat_[0-9A-Za-z_]{22,255})\b', 1)) FROM lines
   UNION ALL SELECT file, line, 'private_key', unnest(regexp_extract_all(text, '(-----BEGIN (?:RSA |EC |DSA |OPENSSH |PGP |ENCRYPTED )?PRIVATE KEY(?: BLOCK)?-----)', 1)) FROM lines
   UNION ALL SELECT file, line, 'db_url', unnest(regexp_extract_all(text, '\b((?:mysql|mariadb|postgres(?:ql)?|mongodb(?:\+srv)?|redis|amqp)://[^\s''"@:/]+:([^\s''"@]{3,})@[^\s''"]+)', 2)) FROM lines
+  UNION ALL SELECT file, line, 'wp_salts', unnest(regexp_extract_all(text, 'define\(\s*[''"]((?:AUTH|SECURE_AUTH|LOGGED_IN|NONCE)_(?:KEY|SALT))[''"]\s*,\s*[''"]([^''"]{16,})[''"]\s*\)', 2)) FROM lines
   UNION ALL SELECT * FROM (SELECT file, line, 'generic_high_entropy', unnest(regexp_extract_all(text, '(?i)(?:secret|token|passw(?:or)?d|api[_-]?key|access[_-]?key|auth[_-]?key|credential)[A-Za-z0-9_-]*["'']?\s*(?:[:=]|=>)\s*["'']?([A-Za-z0-9+/=_-]{20,})', 1)) AS secret FROM lines)
     WHERE list_entropy(string_split(secret, '')) >= 3.8 AND NOT regexp_matches(secret, '(?i)^(x+|\*+|\.+|your[_-]|changeme|example|placeholder|<.*>$)')),
 scan AS (SELECT file, line, rule, sha256(secret) AS fingerprint, CASE WHEN length(secret) <= 8 THEN '****' WHEN length(secret) <= 14 THEN left(secret, 2) || '****' || right(secret, 2)

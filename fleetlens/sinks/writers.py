@@ -25,18 +25,17 @@ def write_findings(findings: DataFrame, path: str) -> None:
     findings.write.mode("overwrite").partitionBy("pack").parquet(path)
 
 
-def nested_report(pages: DataFrame, findings: DataFrame, key: str, max_findings: int = 10_000) -> DataFrame:
-    """One row per page with its findings as a sorted array.
+def nested_report(pages: DataFrame, findings: DataFrame, key: str) -> DataFrame:
+    """One row per page with its distinct findings as a sorted array, each with the times it was found.
 
-    A page with more than `max_findings` findings is spread over several rows,
-    numbered by `part`, so that no row grows without bound and nothing is lost.
+    A page without findings has a null array. A message that repeats without end
+    stays one element, so a row grows with a page's distinct findings only.
     """
-    item = F.struct((-F.coalesce("score", F.lit(0))).alias("order"), "rule", "severity", "score", "message")
-    sizes = findings.groupBy(F.col("entity_id").alias(key)).agg(F.ceil(F.count("*") / F.lit(max_findings)).alias("_parts"))
-    spread = findings.withColumnRenamed("entity_id", key).join(sizes, key).withColumn(
-        "part", F.pmod(F.xxhash64("rule", "message"), F.col("_parts")).cast("int"))
-    grouped = spread.groupBy(key, "part").agg(F.transform(F.array_sort(F.collect_list(item)), lambda f: f.dropFields("order")).alias("findings"))
-    return pages.join(grouped, key, "left").withColumn("part", F.coalesce("part", F.lit(0)))
+    counted = findings.groupBy(F.col("entity_id").alias(key), "severity", F.coalesce("score", F.lit(0)).alias("score"), "rule", "message").agg(
+        F.count("*").alias("times"))
+    item = F.struct((-F.col("score")).alias("order"), "rule", "severity", "score", "message", "times")
+    grouped = counted.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(item)), lambda f: f.dropFields("order")).alias("findings"))
+    return pages.join(grouped, key, "left")
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -90,11 +90,16 @@ def url_mapping(spark: SparkSession, path: str) -> DataFrame:
     return pairs.where("src is not null and dest is not null")
 
 
+def _sequence(file_seq: Column, pos: Column) -> Column:
+    """One number that orders by file, then position, however many entries a file has."""
+    return file_seq.cast("decimal(20,0)") * F.lit(10 ** 12).cast("decimal(13,0)") + pos
+
+
 def _json_mapping(spark: SparkSession, path: str) -> DataFrame:
     text = spark.read.text(path, wholetext=not path.lower().endswith(".jsonl")).select(SEQ().alias("file_seq"), F.trim("value").alias("v"))
     rows = F.coalesce(F.from_json("v", f"array<{MAP}>"), F.array(F.from_json("v", MAP)))
     items = text.select("file_seq", F.posexplode(rows).alias("pos", "m"))
-    low = items.select((F.col("file_seq") * F.lit(1 << 20) + F.col("pos")).alias("seq"), F.col("m"), _lower_keys(F.col("m")).alias("k"))
+    low = items.select(_sequence(F.col("file_seq"), F.col("pos")).alias("seq"), F.col("m"), _lower_keys(F.col("m")).alias("k"))
     pair = low.withColumn("src", _key(F.col("k"), OLD_URL)).withColumn("dest", _key(F.col("k"), NEW_URL))
     named = pair.where("src is not null and dest is not null").select("seq", F.trim("src").alias("src"), F.trim("dest").alias("dest"))
     plain = pair.where("src is null and dest is null").select("seq", F.explode("m").alias("src", "dest")).select(

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from fleetlens.operators import graph, history, media, redirects as R, tables as T
@@ -35,11 +36,12 @@ def test_ordered_scan_against_brute_force(spark):
         assert all(got[d[2]][3] == state[d[0]][0] for d in data)
 
 
-def test_rank_with_and_without_slices(spark, monkeypatch):
-    df = spark.createDataFrame([(float(i % 7), f"d{i:03}") for i in range(100)], "total double, digest string")
-    plain = rows(ranked(df, [("total", True), ("digest", False)]), "digest", "rank")
-    monkeypatch.setattr("fleetlens.operators.ordered.SMALL_RANK", 0)
-    assert rows(ranked(df, [("total", True), ("digest", False)]), "digest", "rank") == plain
+@pytest.mark.parametrize("n", [10, 200_000])
+def test_rank_order_at_any_size(spark, n):
+    df = spark.range(n).selectExpr("IF(id = 3, null, CAST(id % 977 AS double)) AS total", "concat('d', lpad(id, 7, '0')) AS digest")
+    got = {r.digest: r["rank"] for r in ranked(df, [("total", True), ("digest", True)]).collect()}
+    want = sorted(((None if i == 3 else i % 977, f"d{i:07}") for i in range(n)), key=lambda x: (x[0] is not None, x[0] or 0, x[1]), reverse=True)
+    assert got == {d: k + 1 for k, (_, d) in enumerate(want)} and want[-1] == (None, "d0000003")
 
 
 def test_percentile_and_median(spark):
@@ -59,20 +61,19 @@ def test_lookup_with_hot_keys(spark):
     left = spark.createDataFrame([("hot" if i % 3 else f"k{i}", i) for i in range(90)] + [(None, 99)], "key string, i int")
     dim = spark.createDataFrame([("hot", 1), ("k0", 2), ("k3", 3)], "key string, v int")
     want = rows(left.join(dim, "key", "left"), "i", "v")
-    assert rows(lookup(left, dim, "key", ["i"], min_rows=1), "i", "v") == want
-    assert rows(lookup(left, dim, "key", ["i"], how="inner", min_rows=1), "i", "v") == rows(left.join(dim, "key"), "i", "v")
-    assert rows(lookup(left, dim.withColumn("n", F.lit(60)), "key", ["i"], weight="n", min_rows=1), "i", "v") == want
+    assert rows(lookup(left, dim, "key", ["i"]), "i", "v") == want
+    assert rows(lookup(left, dim, "key", ["i"], how="inner"), "i", "v") == rows(left.join(dim, "key"), "i", "v")
+    assert rows(lookup(left, dim.withColumn("n", F.lit(60)), "key", ["i"], weight="n"), "i", "v") == want
 
 
 def test_alert_suppression_example(spark):
     minutes = [0, 0, 30, 30, 59, 60, 60, 90, 119, 120]
     df = spark.createDataFrame([("k", m, i) for i, m in enumerate(minutes)], "key string, ts bigint, i int")
-    for limit in (1_000_000, 1):
-        out = history.suppress_alerts(df, 60, limit).where("fired")
-        assert [r[0] for r in rows(out, "ts")] == [0, 0, 120, 60, 60] or sorted(r[0] for r in rows(out, "ts")) == [0, 0, 60, 60, 120]
+    out = history.suppress_alerts(df, 60).where("fired")
+    assert sorted(r.ts for r in out.collect()) == [0, 0, 60, 60, 120]
 
 
-def test_alert_suppression_walk_equals_doubling(spark):
+def test_alert_suppression_equals_a_walk(spark):
     rng = random.Random(3)
     data = [(f"k{rng.randint(0, 3)}", rng.randint(0, 2000)) for _ in range(600)]
     df = spark.createDataFrame(data, "key string, ts bigint")
@@ -83,16 +84,14 @@ def test_alert_suppression_walk_equals_doubling(spark):
             if last is None or ts - last >= 37:
                 want.add((key, ts))
                 last = ts
-    for limit in (1_000_000, 1):
-        assert {tuple(r) for r in history.fired_instants(df, 37, limit).collect()} == want
+    assert {tuple(r) for r in history.fired_instants(df, 37).collect()} == want
 
 
-def test_intervals_direct_and_merged(spark):
+def test_intervals_merged(spark):
     points = spark.createDataFrame([(i, i) for i in range(60)], "id bigint, v bigint")
     bands = spark.createDataFrame([(10 * i, 10 * i + 4, f"b{i}") for i in range(1, 5)], "lo bigint, hi bigint, label string")
     want = sorted((i, f"b{i // 10}" if 10 <= i < 50 and i % 10 <= 4 else None) for i in range(60))
-    for small in (1000, 0):
-        assert sorted(tuple(r) for r in interval_lookup(points, bands, "v", "id", ["label"], small).select("id", "label").collect()) == want
+    assert sorted(tuple(r) for r in interval_lookup(points, bands, "v", "id", ["label"]).select("id", "label").collect()) == want
 
 
 def test_points_outside_overlapping_intervals(spark):
@@ -291,13 +290,40 @@ def test_policy_drops_ignored(spark):
     assert rows(apply_policy(df, "field", {"title": "ignore", "robots": "info"}, "warning"), "field", "severity") == [("new", "warning"), ("robots", "info")]
 
 
-def test_reachability_with_hot_sources(spark, monkeypatch):
+def test_reachability_with_hot_sources(spark):
     edges = spark.createDataFrame([(0, i) for i in range(1, 40)] + [(i, i + 100) for i in range(1, 20)] + [(101, 0), (500, 501)], "src bigint, dst bigint")
     roots = spark.createDataFrame([(0,)], "node bigint")
     want = rows(graph.reachable(edges, roots), "node", "hops", "via")
     assert len(want) == 59 and max(r[1] for r in want) == 2
-    monkeypatch.setattr("fleetlens.operators.graph.HOT_MIN_ROWS", 1)
-    monkeypatch.setattr("fleetlens.operators.skew.HOT_MIN_ROWS", 1)
-    hot = lookup(edges, roots.select(F.col("node").alias("src"), F.lit(True).alias("h")), "src", ["dst"], "inner", min_rows=1, hot=roots.select(F.col("node").alias("src")))
+    hot = lookup(edges, roots.select(F.col("node").alias("src"), F.lit(True).alias("h")), "src", ["dst"], "inner", hot=roots.select(F.col("node").alias("src")))
     assert hot.count() == 39
-    assert rows(graph.reachable(edges, roots), "node", "hops", "via") == want
+
+
+@pytest.mark.parametrize("n", [10, 200_000])
+def test_lookup_columns_at_any_size(spark, n):
+    from fleetlens.operators.skew import lookup as find
+    left = spark.range(n).selectExpr("id AS i", "IF(id % 3 = 0, 'hot', concat('k', id)) AS key")
+    dim = spark.createDataFrame([("hot", 1), ("k1", 2)], "key string, v int")
+    got = find(left, dim, "key", ["i"])
+    assert got.columns == ["i", "key", "v"] and got.count() == n
+    assert got.where("v = 1").count() == len(range(0, n, 3)) and got.where("v = 2").count() == 1
+
+
+@pytest.mark.parametrize("n", [3, 200_000])
+def test_interval_lookup_at_any_size(spark, n):
+    from fleetlens.operators.intervals import interval_lookup
+    bands = spark.range(n).selectExpr("id * 10 AS lo", "id * 10 + 2 AS hi", "concat('x', id) AS label")
+    points = spark.createDataFrame([(1, 2.7), (2, 2.0), (3, 10.5), (4, None), (5, -1.0), (6, 21.0)], "id int, v double")
+    got = interval_lookup(points, bands, "v", "id", ["label"])
+    assert got.columns == ["id", "v", "label"]
+    assert {r.id: r.label for r in got.collect()} == {1: None, 2: "x0", 3: "x1", 4: None, 5: None, 6: "x2"}
+
+
+def test_secrets_in_long_lines_and_files(spark):
+    from fleetlens.plans.secrets import file_lines, scan_lines
+    key = "AKIA" + "Q" * 16
+    long_line = "x " * 50_000 + key + " y" * 50_000
+    big = ("plain text of a line\n" * 260_000) + key
+    files = spark.createDataFrame([("a.js", long_line), ("b.txt", big)], "file string, text string")
+    got = {(r.file, r.line) for r in scan_lines(file_lines(files)).where("rule = 'aws'").collect()}
+    assert got == {("a.js", 1), ("b.txt", 260_001)}
