@@ -10,12 +10,13 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from fleetlens.queries import QUERIES  # noqa: E402
-from fleetlens.session import build_session  # noqa: E402
+from fleetlens.session import build_session, release  # noqa: E402
 
 HEADLINE = (
     "statement_digest", "index_candidates", "snapshot_diff", "dir_rollup", "duplicate_members", "word_count", "freshness_findings",
@@ -32,9 +33,10 @@ def main() -> None:
     wanted = os.environ.get("BENCH_QUERIES", "")
     repeat = int(os.environ.get("BENCH_REPEAT", "1"))
     names = list(QUERIES) if wanted == "all" else [n for n in wanted.split(",") if n] or list(HEADLINE)
+    folder = os.environ.get("BENCH_STAGING") or tempfile.mkdtemp(prefix="fleetlens-bench-")
     spark = build_session("fleetlens-bench", f"local[{cpus}]", **{
         "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g", "spark.ui.enabled": "false",
-        "spark.ui.showConsoleProgress": "false"})
+        "spark.ui.showConsoleProgress": "false", "spark.checkpoint.dir": folder})
     spark.sparkContext.setLogLevel("ERROR")
     spark.read.parquet(f"{sf_dir}/nation.parquet").groupBy("n_regionkey").count().collect()
     times: dict[str, float] = {}
@@ -48,7 +50,9 @@ def main() -> None:
         print(name, times[name], file=sys.stderr, flush=True)
     print(json.dumps({
         "metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
-        "sf": os.path.basename(sf_dir.rstrip("/")), "cpus": int(cpus)}))
+        "sf": os.path.basename(sf_dir.rstrip("/")), "cpus": int(cpus), "repeat": repeat,
+        "settings": {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}}))
+    release(spark)
     spark.stop()
 
 

@@ -26,15 +26,17 @@ def latest(probes: DataFrame, cols: list[str]) -> DataFrame:
     )
 
 
-def incidents(probes: DataFrame) -> DataFrame:
+def incidents(probes: DataFrame, weight: str | None = None) -> DataFrame:
     """Runs of consecutive red rows per host: start, end (null while open), number of red rows.
 
+    `weight` names a column that says how many probes a row stands for.
+
     A red row belongs to the gap after the k-th non-red row, and the (k+1)-th
     non-red row ends it, so numbering the non-red rows is all that is needed.
     """
     flagged = probes.select(
         "host", "ts", "seq", (F.col("status") == "red").alias("_red"),
-        (F.col("status") != "red").cast("bigint").alias("_calm"),
+        (F.col("status") != "red").cast("bigint").alias("_calm"), (F.col(weight) if weight else F.lit(1)).cast("bigint").alias("_w"),
     )
     scan = ordered_scan(flagged, ["host"], ["ts", "seq"], sums={"_k": "_calm"})
     gap = F.col("_k") - F.col("_calm")
@@ -43,7 +45,7 @@ def incidents(probes: DataFrame) -> DataFrame:
         .agg(
             F.min(F.when(F.col("_red"), F.col("ts"))).alias("start"),
             F.min(F.when(~F.col("_red"), F.col("ts"))).alias("end"),
-            F.count_if("_red").alias("runs"),
+            F.coalesce(F.sum(F.when(F.col("_red"), F.col("_w"))), F.lit(0)).alias("runs"),
         )
         .where(F.col("runs") > 0)
         .drop("_gap")

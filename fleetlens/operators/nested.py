@@ -74,8 +74,8 @@ def json_ld_nodes(blocks: DataFrame, old_domains: tuple[str, ...] = ()) -> DataF
                 continue
             try:
                 visit(json.loads(text), None, block)
-            except ValueError as err:
-                errors.append((page, block, None, None, None, None, None, None, str(err)))
+            except (ValueError, RecursionError) as err:
+                errors.append((page, block, None, None, None, None, None, None, str(err) or "nested too deep"))
         return [tuple(r) for r in rows] + errors
 
     names = [part.split()[0] for part in NODE.split(", ")]

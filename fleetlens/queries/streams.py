@@ -9,23 +9,28 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fleetlens.queries.monitor import HOUR, PROBES
 from fleetlens.queries.registry import query, table
-from fleetlens.session import staging_root
+from fleetlens.session import run_root
 from fleetlens.streaming import monitor as S
 
 
+SLICES = 3
+
+
 def event_stream(spark: SparkSession, d: str) -> DataFrame:
-    schema = table(spark, d, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn(
+    """The events as a stream of SLICES micro-batches that follow each other in time."""
+    events = table(spark, d, "events")
+    root = os.path.join(run_root(spark), f"events-{uuid.uuid4().hex}")
+    low, high = events.agg(F.min("ts"), F.max("ts")).first()
+    for i in range(SLICES):
+        bounds = [low + (high - low) * k / SLICES for k in (i, i + 1)]
+        inside = (F.col("ts") >= bounds[0]) & ((F.col("ts") < bounds[1]) if i < SLICES - 1 else (F.col("ts") <= high))
+        events.where(inside).coalesce(1).write.mode("append").parquet(root)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(root).withColumn(
         "event_time", F.col("ts").cast("timestamp"))
 
 
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run the stream to its end into a table of the staging folder and read that."""
-    spark = stream.sparkSession
-    root = os.path.join(staging_root(spark), f"stream-{uuid.uuid4().hex}")
-    (stream.writeStream.format("parquet").outputMode(mode).option("path", f"{root}/out")
-     .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination())
-    return spark.read.schema(stream.schema).parquet(f"{root}/out")
+def run_folder(spark: SparkSession) -> str:
+    return os.path.join(run_root(spark), f"stream-{uuid.uuid4().hex}")
 
 
 @query("stream_alerts", f"""
@@ -39,9 +44,11 @@ fired AS (
   WHERE ts IS NOT NULL)
 SELECT a.key, a.ts, f.key IS NOT NULL AS fired FROM alerts a LEFT JOIN fired f ON a.key = f.key AND a.ts = f.ts""")
 def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
-    alerts = event_stream(spark, d).where(F.col("event_type").isin("error", "view")).withWatermark("event_time", "1 hour").select(
-        F.concat_ws("|", "user_id", "event_type").alias("key"), F.unix_millis("event_time").alias("ts"), "event_time")
-    return drained(S.suppress_alerts(alerts, 6 * HOUR))
+    alerts = event_stream(spark, d).where(F.col("event_type").isin("error", "view")).select(
+        F.concat_ws("|", "user_id", "event_type").alias("key"), F.unix_millis("event_time").alias("ts"))
+    root = run_folder(spark)
+    S.suppress_alerts(alerts, 6 * HOUR, root).awaitTermination()
+    return S.results(spark, root, "alerts", S.ALERT).select("key", "ts", "fired")
 
 
 @query("stream_incidents", f"""
@@ -50,25 +57,33 @@ k AS (SELECT *, status = 'red' AS red,
         sum(CASE WHEN status <> 'red' THEN 1 ELSE 0 END) OVER (PARTITION BY host ORDER BY ts, seq) AS calm FROM probes)
 SELECT r.host, r.start, n.ts AS "end", r.runs
 FROM (SELECT host, calm, min(ts) AS start, count(*) AS runs FROM k WHERE red GROUP BY host, calm) r
-JOIN k n ON n.host = r.host AND NOT n.red AND n.calm = r.calm + 1""")
+LEFT JOIN k n ON n.host = r.host AND NOT n.red AND n.calm = r.calm + 1""")
 def stream_incidents(spark: SparkSession, d: str) -> DataFrame:
     status = F.when(F.col("event_type") == "error", "red").otherwise("green")
-    return drained(S.incident_stream(event_stream(spark, d).select(
-        F.concat(F.lit("host"), "user_id").alias("host"), F.unix_millis("event_time").alias("ts"), F.col("event_id").alias("seq"), status.alias("status"))))
+    probes = event_stream(spark, d).select(F.concat(F.lit("host"), "user_id").alias("host"), F.unix_millis("event_time").alias("ts"),
+                                           F.col("event_id").cast("bigint").alias("seq"), status.alias("status"))
+    root = run_folder(spark)
+    S.incident_stream(probes, root).awaitTermination()
+    closed, still = S.results(spark, root, "closed", S.INCIDENT), S.results(spark, root, "open", S.INCIDENT, last=True)
+    return closed.union(still).drop("batch")
 
 
 @query("stream_uptime", """
 WITH w AS (SELECT date_trunc('day', ts) AS day, 'host' || user_id AS host, event_type FROM events)
 SELECT CAST(day AS VARCHAR) AS window_start, host, count(*) AS checks, count(*) FILTER (event_type NOT IN ('error', 'view')) AS green FROM w
-WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY 1, 2""")
+GROUP BY 1, 2""")
 def stream_uptime(spark: SparkSession, d: str) -> DataFrame:
     status = F.when(F.col("event_type") == "error", "red").when(F.col("event_type") == "view", "amber").otherwise("green")
     probes = event_stream(spark, d).select(F.concat(F.lit("host"), "user_id").alias("host"), "event_time", status.alias("status"))
-    out = drained(S.windowed_uptime(probes, length="1 day"))
-    return out.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+    root = run_folder(spark)
+    S.windowed_uptime(probes, root, length="1 day").awaitTermination()
+    return S.current_uptime(spark, root).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("stream_once_per_url", "SELECT count(DISTINCT user_id) AS urls FROM events")
 def stream_once_per_url(spark: SparkSession, d: str) -> DataFrame:
     records = event_stream(spark, d).select(F.concat(F.lit("https://site.test/u/"), "user_id").alias("url"), "event_time")
-    return drained(S.once_per_url(records, "60 days").select("url")).agg(F.count("*").alias("urls"))
+    root = run_folder(spark)
+    (S.once_per_url(records, "60 days").select("url").writeStream.format("parquet").option("path", f"{root}/out")
+     .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination())
+    return spark.read.schema("url string").parquet(f"{root}/out").agg(F.count("*").alias("urls"))

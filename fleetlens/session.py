@@ -45,6 +45,17 @@ def staging_root(spark: SparkSession) -> str:
     return root
 
 
+def run_root(spark: SparkSession) -> str:
+    """The folder of this application within the staging root; everything staged lies in it."""
+    return os.path.join(staging_root(spark), f"fleetlens-{spark.sparkContext.applicationId}")
+
+
+def release(spark: SparkSession) -> None:
+    """Remove what this application has staged; call it when no result that was built on it is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def staged(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write `df` once to the staging folder and read it back.
 
@@ -52,6 +63,6 @@ def staged(df: DataFrame, label: str = "stage") -> DataFrame:
     columnar, so later readers prune what they do not need.
     """
     spark = df.sparkSession
-    path = os.path.join(staging_root(spark), f"{label}-{uuid.uuid4().hex}")
+    path = os.path.join(run_root(spark), f"{label}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -303,3 +303,23 @@ def test_streams_append_and_diff(spark, tmp_path):
     run("d4", "2", True)
     assert seen == [(0, [("a",), ("b",)]), (1, [("a",)]), (2, [("a",)]), (3, [])]
     assert spark.read.parquet(str(tmp_path / "hist")).count() == 8
+
+
+def test_ordered_streams_over_batches(spark, tmp_path):
+    """Three micro-batches; state carries over, open incidents come out, a late alert is marked."""
+    from fleetlens.streaming import monitor
+    probes = [[("a", 1, 1, "red"), ("a", 2, 2, "red"), ("b", 1, 3, "green")], [("a", 11, 4, "red"), ("b", 12, 5, "red")],
+              [("a", 21, 6, "green"), ("a", 22, 7, "red"), ("b", 23, 8, "red")]]
+    alerts = [[("k", 0), ("k", 5), ("j", 7)], [("k", 8), ("k", 12)], [("k", 3), ("k", 30), ("j", 16)]]
+    for name, data, schema in (("p", probes, "host string, ts bigint, seq bigint, status string"), ("q", alerts, "key string, ts bigint")):
+        for part in data:
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+        run = monitor.incident_stream(stream, str(tmp_path / "i")) if name == "p" else monitor.suppress_alerts(stream, 10, str(tmp_path / "a"))
+        run.awaitTermination()
+    closed = monitor.results(spark, str(tmp_path / "i"), "closed", monitor.INCIDENT)
+    still = monitor.results(spark, str(tmp_path / "i"), "open", monitor.INCIDENT, last=True)
+    assert rows(closed.union(still), "host", "start", "end", "runs") == sorted([("a", 1, 21, 3), ("a", 22, None, 1), ("b", 12, None, 2)])
+    got = {(r.key, r.ts): (r.fired, r.late) for r in monitor.results(spark, str(tmp_path / "a"), "alerts", monitor.ALERT).collect()}
+    assert got == {("k", 0): (True, False), ("k", 5): (False, False), ("j", 7): (True, False), ("k", 8): (False, False), ("k", 12): (True, False),
+                   ("k", 3): (False, True), ("k", 30): (True, False), ("j", 16): (False, False)}
