@@ -2,93 +2,84 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlens.operators.duplicates import duplicate_members
 from fleetlens.operators.intervals import outside_intervals
+from fleetlens.operators.ordered import ordered_scan
 from fleetlens.operators.skew import lookup
+from fleetlens.session import staged
+
+def json_values(docs: DataFrame, keys: list[str], node: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(every value of the JSON in `text`, the rows whose text can't be read), each with `keys`.
 
-NODE = ("page string, block_index int, node_index int, id string, type array<string>, parent_id string, "
-        "findings array<string>, properties string, error string")
+    A value has its place (positions from the root down; places in array order are
+    document order), its path as a.b[0].c, its kind (object, array, string or other)
+    and itself as a variant. `node` says which values are nodes; `above` is the place
+    of the nearest node over a value, and what an @graph holds has none. Documents
+    are opened level by level, so depth costs rounds and never a call stack.
+    """
+    parsed = staged(docs.select(*keys, "text", F.try_parse_json("text").alias("value")), "json")
+    broken = parsed.where("value IS NULL AND text IS NOT NULL").drop("value")
+    kind = F.regexp_extract(F.lower(F.schema_of_variant("value")), r"^(object|array|string)", 1)
+    named = lambda df: df.withColumn("kind", kind).withColumn("is_node", F.lit(False) if node is None else node)
+    level = named(parsed.where("value IS NOT NULL").select(
+        *keys, F.array().cast("array<int>").alias("place"), F.lit("").alias("path"), F.lit(None).cast("string").alias("name"),
+        F.lit(None).cast("array<int>").alias("above"), "value"))
+    whole = None
+    while True:
+        level = staged(level, "json-level")
+        whole = level if whole is None else whole.unionByName(level)
+        inner = level.where("kind IN ('object', 'array')")
+        if not inner.limit(1).count():
+            return whole, broken
+        children = docs.sparkSession.sql("SELECT p.*, c.pos, c.key, c.value AS child FROM {p} p, LATERAL variant_explode(p.value) c", p=inner)
+        step = F.when(F.col("key").isNull(), F.concat(F.lit("["), "pos", F.lit("]"))).when(F.col("path") == "", F.col("key")).otherwise(
+            F.concat(F.lit("."), "key"))
+        above = F.when(F.col("key") == "@graph", F.lit(None)).when(F.col("is_node"), F.col("place")).otherwise(F.col("above"))
+        level = named(children.select(
+            *keys, F.concat("place", F.array(F.col("pos").cast("int"))).alias("place"), F.concat("path", step).alias("path"),
+            F.coalesce("key", "name").alias("name"), above.alias("above"), F.col("child").alias("value")))
 
 
 def json_ld_nodes(blocks: DataFrame, old_domains: tuple[str, ...] = ()) -> DataFrame:
     """One row per structured-data node of (page, blocks array<string>); unreadable blocks give an error row.
 
-    Node numbers and blank ids run through all blocks of a page, so a page stays
-    one row on its way through Python; pages are independent.
+    A node is an object without @graph that has a type or any property of its own.
+    Nodes are numbered per page in document order; those without @id are called
+    _:b_1, _:b_2 and so on. parent_id is the nearest node around one. `properties` is
+    the object as it stands; nested nodes have rows of their own besides.
     """
-    domains = tuple(d.lower() for d in old_domains)
-
-    def mentions(value: object) -> bool:
-        text = json.dumps(value, ensure_ascii=False).lower()
-        return any(d in text for d in domains)
-
-    def nodes_of(page: str, texts: list[str]) -> list[tuple]:
-        rows: list[list] = []
-        seen: set[str] = set()
-        blanks = 0
-
-        def visit(value: object, parent: str | None, block: int) -> object:
-            nonlocal blanks
-            if isinstance(value, list):
-                kept = [visit(v, parent, block) for v in value]
-                return [v for v in kept if v is not None]
-            if not isinstance(value, dict):
-                return value
-            if "@graph" in value:
-                visit(value["@graph"], None, block)
-                for key, child in value.items():
-                    if key != "@graph":
-                        visit(child, parent, block)
-                return None
-            if "@type" not in value and not set(value) - {"@id", "@context", "@graph"}:
-                return {k: visit(v, parent, block) for k, v in value.items()}
-            ident = value.get("@id")
-            problems = []
-            if not ident:
-                blanks += 1
-                ident = f"_:b_{blanks}"
-            elif ident in seen:
-                problems.append("duplicate_id")
-            else:
-                seen.add(ident)
-            kind = value.get("@type")
-            if not kind:
-                problems.append("missing_type")
-            if domains and mentions(value):
-                problems.append("old_domain_reference")
-            row = [page, block, len(rows), ident, [str(k) for k in kind] if isinstance(kind, list) else [str(kind)] if kind else None,
-                   parent, sorted(problems), None, None]
-            rows.append(row)
-            row[7] = json.dumps({k: visit(v, ident, block) for k, v in value.items() if k not in ("@id", "@type", "@context")})
-            return {"@id": ident}
-
-        errors = []
-        for block, text in enumerate(texts):
-            if not text:
-                continue
-            try:
-                visit(json.loads(text), None, block)
-            except (ValueError, RecursionError) as err:
-                errors.append((page, block, None, None, None, None, None, None, str(err) or "nested too deep"))
-        return [tuple(r) for r in rows] + errors
-
-    names = [part.split()[0] for part in NODE.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [r for page, texts in zip(batch["page"], batch["blocks"]) for r in nodes_of(page, list(texts))]
-            out = pd.DataFrame(rows, columns=names)
-            for name in ("block_index", "node_index"):
-                out[name] = out[name].astype("Int32")
-            yield out
-
-    return blocks.select("page", "blocks").mapInPandas(run, NODE)
+    texts = blocks.select("page", F.posexplode("blocks").alias("block_index", "text")).where("text <> ''")
+    names = F.json_object_keys(F.to_json("value"))
+    own = F.size(F.array_except(names, F.array(*[F.lit(x) for x in ("@id", "@context", "@graph")]))) > 0
+    node = F.coalesce((F.col("kind") == "object") & ~F.array_contains(names, "@graph") & own
+                      & ~F.coalesce(F.col("name"), F.lit("")).isin("@context", "@id", "@type"), F.lit(False))
+    values, broken = json_values(texts, ["page", "block_index"], node)
+    at = ["page", "block_index", "place"]
+    kinds = F.coalesce(F.try_variant_get("value", '$["@type"]', "array<string>"), F.array(F.try_variant_get("value", '$["@type"]', "string")))
+    given = F.nullif(F.try_variant_get("value", '$["@id"]', "string"), F.lit(""))
+    found = staged(values.where("is_node").select(
+        *at, "above", given.alias("given"), F.filter(kinds, lambda k: k != "").alias("type"), F.to_json("value").alias("properties"),
+        F.lit(1).cast("bigint").alias("one"), given.isNull().cast("bigint").alias("blank")), "nodes")
+    numbered = ordered_scan(found, ["page"], ["block_index", "place"], sums={"number": "one", "blanks": "blank"})
+    first = found.where("given IS NOT NULL").groupBy("page", "given").agg(F.min(F.struct("block_index", "place")).alias("first"))
+    named = staged(numbered.join(first, ["page", "given"], "left").withColumn(
+        "id", F.coalesce("given", F.concat(F.lit("_:b_"), "blanks"))), "nodes")
+    text = F.lower("properties")
+    mentioned = F.lit(False)
+    for domain in old_domains:
+        mentioned = mentioned | text.contains(domain.lower())
+    problems = F.array_compact(F.array(
+        F.when(F.col("first") != F.struct("block_index", "place"), F.lit("duplicate_id")),
+        F.when(F.size("type") < 1, F.lit("missing_type")), F.when(mentioned, F.lit("old_domain_reference"))))
+    parents = named.select("page", "block_index", F.col("place").alias("above"), F.col("id").alias("parent_id"))
+    rows = named.join(parents, ["page", "block_index", "above"], "left").select(
+        "page", F.col("block_index").cast("int").alias("block_index"), (F.col("number") - 1).cast("int").alias("node_index"), "id",
+        F.when(F.size("type") > 0, F.col("type")).alias("type"), "parent_id", problems.alias("findings"), "properties",
+        F.lit(None).cast("string").alias("error"))
+    return rows.unionByName(broken.select("page", F.col("block_index").cast("int").alias("block_index"), F.lit("unreadable JSON").alias("error")),
+                            allowMissingColumns=True)
 
 
 def extraction_totals(nodes: DataFrame) -> DataFrame:
@@ -99,27 +90,8 @@ def extraction_totals(nodes: DataFrame) -> DataFrame:
 
 def json_strings(docs: DataFrame) -> DataFrame:
     """(source, path, value) of every string in (source, text) JSON documents; path as a.b[0].c."""
-    def strings(value: object, path: str) -> Iterator[tuple[str, str]]:
-        if isinstance(value, str):
-            yield path, value
-        elif isinstance(value, dict):
-            for key, child in value.items():
-                yield from strings(child, f"{path}.{key}" if path else key)
-        elif isinstance(value, list):
-            for i, child in enumerate(value):
-                yield from strings(child, f"{path}[{i}]")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for source, text in zip(batch["source"], batch["text"]):
-                try:
-                    rows += [(source, p, v) for p, v in strings(json.loads(text), "")]
-                except (TypeError, ValueError):
-                    continue
-            yield pd.DataFrame(rows, columns=["source", "path", "value"])
-
-    return docs.select("source", "text").mapInPandas(run, "source string, path string, value string")
+    values, _ = json_values(docs, ["source"])
+    return values.where("kind = 'string'").select("source", "path", F.variant_get("value", "$", "string").alias("value"))
 
 
 # --- tile maps ------------------------------------------------------------------------------

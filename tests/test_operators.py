@@ -327,3 +327,19 @@ def test_secrets_in_long_lines_and_files(spark):
     files = spark.createDataFrame([("a.js", long_line), ("b.txt", big)], "file string, text string")
     got = {(r.file, r.line) for r in scan_lines(file_lines(files)).where("rule = 'aws'").collect()}
     assert got == {("a.js", 1), ("b.txt", 260_001)}
+
+
+def test_json_ld_nodes(spark):
+    from fleetlens.operators.nested import json_ld_nodes, json_strings
+    page = ['{"@type": "A", "name": "x", "part": [{"name": "old.test"}, {"@id": "k", "@type": ["B", "C"]}], "ref": {"@id": "k"}}', "{broken",
+            '{"@context": {"v": "w"}, "@graph": [{"@id": "k", "@type": "D"}, {"@type": "E", "in": {"@type": "F"}}]}', ""]
+    deep = "[" * 5000 + "]" * 5000
+    docs = spark.createDataFrame([("p", page), ("q", [deep, '{"@type": "G"}'])], "page string, blocks array<string>")
+    got = json_ld_nodes(docs, ("old.test",)).collect()
+    nodes = sorted((r.page, r.node_index, r.id, r.type, r.parent_id, r.findings) for r in got if r.error is None)
+    assert nodes == [("p", 0, "_:b_1", ["A"], None, ["old_domain_reference"]), ("p", 1, "_:b_2", None, "_:b_1", ["missing_type", "old_domain_reference"]),
+                     ("p", 2, "k", ["B", "C"], "_:b_1", []), ("p", 3, "k", ["D"], None, ["duplicate_id"]), ("p", 4, "_:b_3", ["E"], None, []),
+                     ("p", 5, "_:b_4", ["F"], "_:b_3", []), ("q", 0, "_:b_1", ["G"], None, [])]
+    assert sorted((r.page, r.block_index) for r in got if r.error) == [("p", 1), ("q", 0)]
+    texts = spark.createDataFrame([("s", '{"a": ["x", {"b": "y"}], "n": 1}'), ("t", "nope"), ("u", None), ("v", '"top"')], "source string, text string")
+    assert sorted(map(tuple, json_strings(texts).collect())) == [("s", "a[0]", "x"), ("s", "a[1].b", "y"), ("v", "", "top")]
