@@ -14,20 +14,18 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField
 
-from fleetlens.llm.common import NO_ID, extend, quoted, two_way_join
+from fleetlens.llm.common import NO_ID, extend, map_rows, quoted, two_way_join
 from fleetlens.llm.components import components
 from fleetlens.session import staged
 
 REGISTERS, BANDS, MANTISSA = 128, 32, 10
 TAIL = 57  # bits of a hash below those that choose the register
 #: Candidates are dropped by their estimate only when it is this many standard errors short.
-ERRORS = 5.0
-#: Pivots per bucket in each round; the last round takes all members.
-PIVOTS = (1, 32, 1024, None)
-SPREAD = 64
+ERRORS = 5.0#: Sets in a block when the members of a family are compared with each other.
+BLOCK = 256
 
 #: The order in which an empty register asks the others for a value.
 PROBES = np.argsort(np.random.default_rng(20240229).random((REGISTERS, REGISTERS)), axis=1)
@@ -135,9 +133,8 @@ def estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return extend(both, [StructField("near", BooleanType())], make, ["a", "b", "near"], 4096).where("near").select("a", "b")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int, text: str = "text") -> DataFrame:
-    """The pairs (a, b) of ids whose full shingle sets reach the similarity; sets are made for the ids in question only."""
-    wanted = pairs.select(F.col("a").alias("_llm_id")).union(pairs.select("b")).distinct()
+def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int, text: str = "text") -> DataFrame:
+    """(id, hashes) with the full shingle set of each document in `wanted` (_llm_id); only those are made."""
     rows = docs.select(F.coalesce(quoted("doc_id").cast("bigint"), F.lit(NO_ID)).alias("_llm_id"), quoted(text).alias("text"))
 
     def make():
@@ -145,63 +142,131 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int, text:
 
     sets = extend(rows.join(wanted, "_llm_id", "left_semi").select(F.col("_llm_id").alias("id"), "text"),
                   [StructField("hashes", ArrayType(LongType()))], make, ["id", "hashes"])
-    sets = staged(sets.groupBy("id", "hashes").agg(F.count("*").alias("n")).drop("n"), "sets")
+    return sets.dropDuplicates(["id", "hashes"])
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets reach the similarity."""
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     common = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - common
     return both.where(common * 100 >= union * percent).select("a", "b").distinct()
 
 
-def _pivots(members: DataFrame, count: int | None) -> DataFrame:
-    """Up to `count` members of each bucket with the largest weights; ranked in parts first, so no bucket meets in one task."""
-    if count is None:
-        return members
-    order = [F.col("weight").desc(), F.col("_llm_id")]
-    if count == 1:
-        best = members.groupBy(*KEY).agg(F.max(F.struct("weight", (-F.col("_llm_id")).alias("x"), "component", "n_shingles", "size")).alias("m"))
-        return best.select(*KEY, (-F.col("m.x")).alias("_llm_id"), "m.n_shingles", "m.component", "m.size", "m.weight")
-    part = F.pmod(F.xxhash64("_llm_id"), F.lit(SPREAD))
-    some = members.withColumn("part", part).withColumn("r", F.row_number().over(Window.partitionBy(*KEY, "part").orderBy(*order)))
-    some = some.where(F.col("r") <= count).withColumn("r", F.row_number().over(Window.partitionBy(*KEY).orderBy(*order)))
-    return some.where(F.col("r") <= count).drop("part", "r")
-
-
-def links(nodes: DataFrame, docs: DataFrame, words: int, percent: int, text: str = "text") -> DataFrame:
-    """(_llm_id, component) of the sets that are linked to others, directly or through others.
-
-    Within a bucket (the sets that share a band) only pivots are compared with the
-    rest: first the member whose buckets are the fullest, which in a family of
-    edited copies is the original; then, in buckets that still hold several
-    components, more and more members, and at last all. Pairs within one component
-    are never compared again, so a family takes about as many comparisons as it
-    has members, and yet every candidate pair across components is compared.
+def _pair(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def links(nodes: DataFrame, docs: DataFrame, words: int, percent: int, text: str = "text") -> DataFrame | None:
+    """(_llm_id, component) of the sets that are linked to others, directly or through others; None when nothing is.
+
+    First each bucket (the sets that share a band) compares all its members with
+    one: the member whose buckets are the fullest, which in a family of edited copies
+    is the original. Most families become one component that way, at about one
+    comparison a member. What buckets then still hold in several components is thinned
+    out exactly: a link needs `percent` of a set's shingles in the other one, so a set
+    that shares fewer with all other components together has no link left to find.
+    The rest is compared block by block in `links_across`.
     """
     bands = nodes.select("_llm_id", "n_shingles", F.posexplode("_llm_bands").alias(*KEY))
     buckets = bands.groupBy(*KEY).agg(F.count("*").alias("size")).where("size > 1")
     members = staged(bands.join(buckets, KEY), "members")
     weights = members.groupBy("_llm_id").agg(F.sum("size").alias("weight"))
-    members = staged(members.join(weights, "_llm_id").withColumn("component", F.col("_llm_id")), "members")
-    found = label = None
-    for count in PIVOTS:
-        mixed = members.groupBy(*KEY).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"))
-        mixed = mixed.where("lo <> hi").select(*KEY)
-        if found is not None:
-            members = staged(members.join(mixed, KEY, "left_semi"), "members")
-            if not members.limit(1).count():
-                break
-        pivots = staged(_pivots(members, count), "pivots").select(
-            *KEY, F.col("_llm_id").alias("p"), F.col("n_shingles").alias("pn"), F.col("component").alias("pc"), "size")
-        met = two_way_join(members.drop("size"), pivots, KEY, "size") if count == 1 else members.drop("size").join(pivots, KEY)
-        met = met.where((F.col("pc") != F.col("component")) & similar_sizes(F.col("pn"), F.col("n_shingles"), percent))
-        pairs = met.select(F.least("p", "_llm_id").alias("a"), F.greatest("p", "_llm_id").alias("b")).distinct()
-        near = staged(estimated(staged(pairs, "pairs"), nodes, percent), "near")
-        fresh = staged(verified(near, docs, words, percent, text), "links")
-        found = fresh if found is None else found.union(fresh)
-        if fresh.limit(1).count():
-            label = staged(components(found).withColumnRenamed("node", "_llm_id"), "labels")
-            members = staged(members.drop("component").join(label, "_llm_id", "left")
-                             .withColumn("component", F.coalesce("component", "_llm_id")), "members")
-    return label if label is not None else nodes.select("_llm_id", F.col("_llm_id").alias("component")).limit(0)
+    sets = staged(shingle_sets(docs, weights, words, text), "sets")
+    best = F.max(F.struct("weight", (-F.col("_llm_id")).alias("id"), "n_shingles")).alias("m")
+    pivots = members.join(weights, "_llm_id").groupBy(*KEY).agg(best).select(
+        *KEY, (-F.col("m.id")).alias("p"), F.col("m.n_shingles").alias("pn"))
+    met = members.join(pivots, KEY).where(
+        (F.col("p") != F.col("_llm_id")) & similar_sizes(F.col("pn"), F.col("n_shingles"), percent))
+    near = staged(estimated(met.select(*_pair("p", "_llm_id")).distinct(), nodes, percent), "near")
+    found = staged(verified(near, sets, percent), "links")
+    label = staged(components(found), "labels").withColumnRenamed("node", "_llm_id")
+
+    named = members.join(label, "_llm_id", "left").withColumn("component", F.coalesce("component", "_llm_id"))
+    mixed = named.groupBy(*KEY).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    left = staged(named.join(mixed.select(*KEY), KEY), "open")
+    parts = left.select(F.col("_llm_id").alias("id"), "component").distinct().join(sets, "id").select(
+        "id", "component", F.explode("hashes").alias("h"))
+    across = parts.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("h")
+    shared = parts.join(across, "h").groupBy(F.col("id").alias("_llm_id")).agg(F.count("*").alias("common"))
+    left = staged(left.join(shared, "_llm_id").where(F.col("common") * 100 >= F.col("n_shingles") * percent), "open")
+    more = staged(links_across(left, sets, percent), "links")
+    if more.limit(1).count():
+        return staged(components(found.union(more)), "labels").withColumnRenamed("node", "_llm_id")
+    return label
+
+
+def links_across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between different components of one family, one at least for each two components that have any.
+
+    A family is what buckets hold together. Its members outside its largest component
+    are compared with all others on the full sets, so nothing is missed that a bucket
+    would have shown. They meet in blocks of BLOCK by BLOCK sets: a task holds one
+    pair of blocks, and gives out links, never pairs.
+    """
+    first = members.groupBy(*KEY).agg(F.min("_llm_id").alias("b"))
+    family = staged(components(members.join(first, KEY).select(F.col("_llm_id").alias("a"), "b")).toDF("id", "family"), "families")
+    own = members.select(F.col("_llm_id").alias("id"), "component").distinct().join(family, "id")
+    parts = own.groupBy("family", "component").agg(F.count("*").alias("n"))
+    sizes = parts.groupBy("family").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.sum("n").alias("all"),
+                                        (F.sum("n") - F.max("n")).alias("rest")).where("rest > 0")
+    spots = own.join(sizes, "family").withColumns({
+        "rows": F.ceil(F.col("rest") / BLOCK), "columns": F.ceil(F.col("all") / BLOCK), "h": F.xxhash64(F.lit(3), "id")})
+    spots = spots.withColumns({"i": F.pmod("h", "rows"), "j": F.pmod("h", "columns")})
+    span = lambda n: F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)
+    down = spots.where("component <> main").withColumn("side", F.lit(0)).withColumn("j", F.explode(span("columns")))
+    over = spots.withColumn("side", F.lit(1)).withColumn("i", F.explode(span("rows")))
+    dealt = down.unionByName(over).join(sets, "id").select("family", "i", "j", "side", "id", "component", "hashes")
+    dealt = dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "side", "id")
+
+    def run(batches):
+        key, held = None, []
+
+        def give():
+            a, b = _linked([h for h in held if not h[0]], [h for h in held if h[0]], percent)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            wide = [batch.column(c).to_pylist() for c in ("family", "i", "j", "side", "id", "component")]
+            hashes = batch.column("hashes")
+            for at, (f, i, j, side, ident, component) in enumerate(zip(*wide, strict=True)):
+                if (f, i, j) != key:
+                    if held:
+                        yield give()
+                    key, held = (f, i, j), []
+                held.append((side, ident, component, hashes[at].values.to_numpy(zero_copy_only=False)))
+        if held:
+            yield give()
+
+    return map_rows(dealt, run, [StructField("a", LongType()), StructField("b", LongType())]).distinct()
+
+
+def _linked(left: list[tuple], right: list[tuple], percent: int) -> tuple[list[int], list[int]]:
+    """Pairs of ids of two blocks that are linked, one for each two components."""
+    if not left or not right:
+        return [], []
+    rows = left + right
+    sizes = np.array([len(r[3]) for r in rows])
+    tokens, place, seen = np.unique(np.concatenate([r[3] for r in rows]), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(rows)), sizes)
+    order = np.argsort(place, kind="stable")
+    place, owner = place[order], owner[order]
+    common = np.zeros((len(left), len(right)), dtype=np.float32)
+    for at in range(0, len(tokens), 4096):
+        low, high = np.searchsorted(place, (at, at + 4096))
+        some = np.zeros((len(rows), 4096), dtype=np.float32)
+        some[owner[low:high], place[low:high] - at] = 1
+        some = some[:, seen[at:at + 4096].nonzero()[0]]
+        common += some[:len(left)] @ some[len(left):].T
+    both = common.astype(np.int64)
+    union = sizes[:len(left), None] + sizes[None, len(left):] - both
+    parts = np.array([r[2] for r in rows])
+    linked = (both * 100 >= union * percent) & (parts[:len(left), None] != parts[None, len(left):])
+    chosen = {}
+    for x, y in zip(*np.nonzero(linked), strict=True):
+        chosen.setdefault(tuple(sorted((left[x][2], right[y][2]))), (left[x][1], right[y][1]))
+    pairs = sorted((min(p), max(p)) for p in chosen.values())
+    return [a for a, _ in pairs], [b for _, b in pairs]
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
