@@ -13,10 +13,10 @@ from fleetlens.llm.common import extend, quoted
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents drawn for training, and most training windows.
-TRAIN_DOCS, TRAIN_WINDOWS = 20_000, 2400
+TRAIN_DOCS, TRAIN_WINDOWS = 20_000, 1600
 #: Characters of a window and between the starts of two.
 WINDOW, STRIDE = 64, 32
-EMBED, HIDDEN, EPOCHS, BATCH, RATE = 12, 16, 6, 48, 0.03
+EMBED, HIDDEN, EPOCHS, BATCH, RATE = 12, 16, 5, 40, 0.03
 #: Least mean lead over 'outside' per character of a span that the model adds.
 MARGIN = 0.5
 

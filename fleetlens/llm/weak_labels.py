@@ -144,6 +144,31 @@ def _word_hashes(word: str) -> tuple[int, ...]:
     return tuple(_hash(x) for x in (word, f"\x01{word[:4]}", f"\x02{word[:6]}"))
 
 
+MEASURES = ("marks", "bare", "decorated", "stutter", "top", "function", "stops", "squeeze", "fresh", "upper", "capitals", "shouts")
+STEPS = {k: [_hash(f"\x00{k}:{s}") for s in range(21)] for k in MEASURES}
+LENGTHS = [_hash(f"\x00n:{bits}") for bits in range(40)]
+#: Told apart from a beginning's own hash: it begins two, or four or more, distinct words.
+TWO, FOUR = 0x5555, 0xAAAA
+
+
+def _measure_hashes(m: dict[str, float]) -> list[int]:
+    out = [LENGTHS[min(39, int(m["n"]).bit_length())]]
+    for k in MEASURES:
+        out += STEPS[k][:min(20, int(m[k] * 40)) + 1]
+    return out
+
+
+def _start_hashes(starts: Counter) -> list[int]:
+    out = []
+    for begin, k in starts.items():
+        out.append(begin)
+        if k > 1:
+            out.append(begin ^ TWO)
+        if k > 3:
+            out.append(begin ^ FOUR)
+    return out
+
+
 def features(words: list[str], m: dict[str, float]) -> np.ndarray:
     """Hashed features, each present or not.
 
@@ -158,18 +183,37 @@ def features(words: list[str], m: dict[str, float]) -> np.ndarray:
         whole, *begins = _word_hashes(word)
         hashes.append(whole)
         starts.update(begins)
-    for begin, k in starts.items():
-        hashes.append(begin)
-        if k > 1:
-            hashes.append(begin ^ 0x5555)
-            if k > 3:
-                hashes.append(begin ^ 0xAAAA)
-    hashes += [_hash(f"\x00{k}:{s}") for k in MEASURES for s in range(min(20, int(m[k] * 40)) + 1)]
-    hashes.append(_hash(f"\x00n:{int(m['n']).bit_length()}"))
-    return np.array(hashes, dtype=np.int64)
+    return np.array(hashes + _start_hashes(starts) + _measure_hashes(m), dtype=np.int64)
 
 
-MEASURES = ("marks", "bare", "decorated", "stutter", "top", "function", "stops", "squeeze", "fresh", "upper", "capitals", "shouts")
+class Weighty(dict):
+    """For each word asked for, its features that have a weight: (hash of the word or 0, hashes of its beginnings)."""
+
+    LIMIT = 500_000
+
+    def __init__(self, weighted: set[int]) -> None:
+        super().__init__()
+        self.weighted = weighted
+
+    def __missing__(self, word: str) -> tuple[int, list[int]] | None:
+        whole, *begins = (_hash(x) for x in (word, f"\x01{word[:4]}", f"\x02{word[:6]}"))
+        begins = [b for b in begins if not self.weighted.isdisjoint((b, b ^ TWO, b ^ FOUR))]
+        found = (whole if whole in self.weighted else 0, begins)
+        if len(self) >= self.LIMIT:
+            self.clear()
+        self[word] = found = found if found[0] or begins else None
+        return found
+
+    def of(self, words: list[str], m: dict[str, float]) -> list[int]:
+        """`features`, without most of those that have no weight."""
+        names = set(words)
+        names.discard("")
+        hashes, starts = [], Counter()
+        for whole, begins in filter(None, map(self.__getitem__, names)):
+            if whole:
+                hashes.append(whole)
+            starts.update(begins)
+        return hashes + _start_hashes(starts) + _measure_hashes(m)
 
 
 class Scorer:
@@ -296,11 +340,12 @@ def judged(docs: DataFrame, scorers: tuple[Scorer, Scorer], text: str = "text",
 
     def make():
         tables = sent.value
+        weighty = Weighty(set().union(*(w for w, _ in tables)))
 
         def run(batch: pa.RecordBatch) -> list:
             out = []
             for value in batch.column(text):
-                found = features(*measures(value.as_py())).tolist()
+                found = weighty.of(*measures(value.as_py()))
                 z = [bias + sum(map(weights.get, found, [0.0] * len(found))) for weights, bias in tables]
                 out.append([float(1 / (1 + np.exp(-np.clip(x, -30, 30)))) for x in z])
             return [[p for p, _ in out], [t for _, t in out], [p > limit or t > limit for p, t in out]]
