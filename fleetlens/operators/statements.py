@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fleetlens.functions import sqltext
 from fleetlens.functions.text import round_half_up
 from fleetlens.operators.ordered import ordered_scan, ranked
+from fleetlens.session import staged
 
 PICOS_PER_MS = 1_000_000_000
 EXACT = "decimal(38,6)"
@@ -133,6 +134,40 @@ def explain_verdicts(rows: DataFrame) -> DataFrame:
     )
 
 
+def diagnosis(digests: DataFrame, explain: DataFrame | None = None, indexes: DataFrame | None = None,
+              ratio_warn: int = 100, sure_ratio: int = 1000) -> DataFrame:
+    """Per digest: flags, the suggested index (tbl, cols, ddl) if none covers it, and how sure the suggestion is.
+
+    `explain` holds EXPLAIN rows as for `explain_verdicts`, `indexes` the existing
+    ones as for `covered_candidates`. A digest whose sample has no literals cannot
+    have been explained; its rows are ignored. Without `explain` a suggestion is
+    sure from `sure_ratio` examined rows per sent row on, with it when a table is
+    scanned whole.
+    """
+    bare = (F.col("sample") == F.col("normalized")) & F.col("sample").rlike(r"(^|[\s(=,])\?")
+    found = staged(index_candidates(digests), "candidates")
+    if indexes is not None:
+        covered = covered_candidates(found, indexes).select("digest", F.lit(True).alias("redundant"))
+        found = found.join(covered, "digest", "left")
+    else:
+        found = found.withColumn("redundant", F.lit(False))
+    rows = digests.select("digest", "normalized", "examine_ratio", "rows_examined", bare.alias("parameterized")).join(found, "digest", "left")
+    if explain is not None:
+        rows = rows.join(explain_verdicts(explain), "digest", "left")
+        shown = F.when(~F.col("parameterized"), F.col("flags"))
+        sure = ~F.col("parameterized") & F.coalesce("full_scan", F.lit(False))
+    else:
+        shown, sure = F.lit(None).cast("array<string>"), F.col("examine_ratio") >= sure_ratio
+    smell = F.when((F.col("examine_ratio") >= ratio_warn) & (F.col("rows_examined") > 0),
+                   F.array(F.concat(F.lit("reads "), "examine_ratio", F.lit(" rows for each row sent"))))
+    none, redundant = F.array().cast("array<string>"), F.coalesce("redundant", F.lit(False))
+    offered = F.col("tbl").isNotNull() & ~redundant
+    return rows.select(
+        "digest", F.concat(F.coalesce(shown, none), F.coalesce(smell, none)).alias("flags"), "parameterized", redundant.alias("covered"),
+        *[F.when(offered, F.col(c)).alias(c) for c in ("tbl", "cols", "ddl")],
+        F.when(offered, F.when(sure, "high").otherwise("to check")).alias("confidence"))
+
+
 def payload_bloat(options: DataFrame, warn_bytes: int = 800 * 1024) -> DataFrame:
     """One row: total bytes and count of (name, value) payloads against a threshold."""
     size = F.octet_length("value")

