@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from fleetlens.operators.ordered import ranked
 from fleetlens.schemas import FINDING
 
 # Severity order per pack, worst first. Fixed values.
@@ -158,6 +159,17 @@ def worst_first(findings: DataFrame) -> DataFrame:
     )
 
 
+def by_priority(pages: DataFrame) -> DataFrame:
+    """Pages with their place: highest priority first, then by entity."""
+    return ranked(pages, [("priority", True), ("entity_id", False)], "place")
+
+
+def by_project(rows: DataFrame, order: tuple[str, ...], key: list[str]) -> DataFrame:
+    """Dependency rows with their place: worst severity first (as `order` has them), then by `key`, which must be unique."""
+    keyed = rows.withColumn("_worst", severity_rank(F.col("severity"), order))
+    return ranked(keyed, [("_worst", False), *[(k, False) for k in key]], "place").drop("_worst")
+
+
 def compare_runs(current: DataFrame, previous: DataFrame, keys: list[str]) -> DataFrame:
     """new / unchanged / resolved per finding key between two runs."""
     cur = current.groupBy(*keys).agg(F.lit(True).alias("_cur"))

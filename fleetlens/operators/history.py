@@ -26,6 +26,14 @@ def latest(probes: DataFrame, cols: list[str]) -> DataFrame:
     )
 
 
+def series(probes: DataFrame, metrics: list[str]) -> DataFrame:
+    """(host, metric, number, ts, value): each metric's history in order, the rows without a value left out."""
+    long = probes.select("host", "ts", "seq", F.inline(F.array(*[
+        F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics]))).where("value IS NOT NULL")
+    counted = ordered_scan(long.withColumn("_one", F.lit(1).cast("bigint")), ["host", "metric"], ["ts", "seq"], sums={"number": "_one"})
+    return counted.select("host", "metric", "number", "ts", "value")
+
+
 def incidents(probes: DataFrame, weight: str | None = None) -> DataFrame:
     """Runs of consecutive red rows per host: start, end (null while open), number of red rows.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fleetlens.functions import html as H, text as X, url as U
+from fleetlens.operators.findings import by_priority
 from fleetlens.operators import duplicates, findings as FD, links
 from fleetlens.plans import freshness
 from fleetlens.queries.registry import query, table
@@ -81,6 +82,13 @@ def freshness_priorities(spark: SparkSession, d: str) -> DataFrame:
     return freshness.priorities(_findings(spark, d))
 
 
+@query("freshness_order", f"""
+WITH {PAGES}, p AS (SELECT path AS entity_id, CAST(sum(score) AS BIGINT) AS priority FROM found GROUP BY 1)
+SELECT entity_id, priority, row_number() OVER (ORDER BY priority DESC, entity_id) AS place FROM p""")
+def freshness_order(spark: SparkSession, d: str) -> DataFrame:
+    return by_priority(freshness.priorities(_findings(spark, d))).select("entity_id", "priority", "place")
+
+
 @query("freshness_compare", f"""
 WITH {PAGES},
 cur AS (SELECT DISTINCT path, rule FROM found),

@@ -343,3 +343,19 @@ def test_json_ld_nodes(spark):
     assert sorted((r.page, r.block_index) for r in got if r.error) == [("p", 1), ("q", 0)]
     texts = spark.createDataFrame([("s", '{"a": ["x", {"b": "y"}], "n": 1}'), ("t", "nope"), ("u", None), ("v", '"top"')], "source string, text string")
     assert sorted(map(tuple, json_strings(texts).collect())) == [("s", "a[0]", "x"), ("s", "a[1].b", "y"), ("v", "", "top")]
+
+
+def test_orders_series_and_retry_after(spark, one):
+    from fleetlens.functions.text import retry_after_seconds
+    from fleetlens.operators.findings import by_priority, by_project
+    pages = spark.createDataFrame([("b", 5), ("a", 5), ("c", 9), ("d", None)], "entity_id string, priority int")
+    assert [r.entity_id for r in by_priority(pages).orderBy("place").collect()] == ["c", "a", "b", "d"]
+    deps = spark.createDataFrame([("p", "z", "minor"), ("q", "a", "major"), ("p", "a", "major")], "project string, package string, severity string")
+    got = by_project(deps, ("major", "minor"), ["project", "package"]).orderBy("place").collect()
+    assert [(r.project, r.package) for r in got] == [("p", "a"), ("q", "a"), ("p", "z")] and got[0].place == 1
+    probes = spark.createDataFrame([("h", 2, 1, 20.0, None), ("h", 1, 2, 10.0, 7.0), ("h", 2, 3, 30.0, 8.0)], "host string, ts long, seq long, days double, ms double")
+    assert sorted(map(tuple, history.series(probes, ["days", "ms"]).collect())) == [
+        ("h", "days", 1, 1, 10.0), ("h", "days", 2, 2, 20.0), ("h", "days", 3, 2, 30.0), ("h", "ms", 1, 1, 7.0), ("h", "ms", 2, 2, 8.0)]
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    for header, want in (("120", 120), (" 0 ", 0), ("Mon, 01 Jan 2024 00:01:30 GMT", 90), ("Sun, 31 Dec 2023 00:00:00 GMT", 0), ("soon", None), (None, None)):
+        assert one(lambda h: retry_after_seconds(h, now), h=header) == want
