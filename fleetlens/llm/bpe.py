@@ -17,7 +17,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField
 from fleetlens.llm.common import extend, read_file
 
 #: Distinct pre-tokens a task remembers; beyond that it starts over, so memory stays bounded.
-MEMO = 1_200_000
+MEMO = 700_000
 #: Longer pre-tokens are encoded anew each time instead of being remembered.
 MEMO_CHARS = 64
 
