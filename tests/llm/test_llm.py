@@ -333,6 +333,17 @@ def test_main_text_leaves_out():
     assert wrapper.main_text("<div>" * 30000 + "deep", set(), "html/body").endswith("deep")
 
 
+def test_main_text_takes_every_part():
+    page = "<html><body>{}</body></html>"
+    three = page.format("<div class=post>A</div><div class=post>B</div><div class=post>C</div>")
+    assert wrapper.main_text(three, set(), "html/body/div.post") == "A\nB\nC"
+    small = page.format("<div>small</div><hr><div><div>big</div></div>")
+    assert wrapper.main_text(small, set(), "html/body/div") == "small\nbig"
+    assert wrapper.main_text(small, set(), "html/body/div/div") == "small\nbig"
+    named = page.format("<div class=entry>A<div class=content>B</div></div><p>-</p><div class=entry>C</div>")
+    assert wrapper.main_text(named, set(), "") == "A\nB\nC"
+
+
 def test_main_texts_odd(spark):
     pages = spark.createDataFrame([(1, None, None, "x"), (2, "http://a.b/", "", "x"), (2, "http://a.b/", "<p>t</p>", "x"), (3, "nothing", "<p>t</p>", "x")],
                                   "page_id long, url string, html string, constant string")
