@@ -344,6 +344,25 @@ def test_main_text_takes_every_part():
     assert wrapper.main_text(named, set(), "") == "A\nB\nC"
 
 
+def test_names_never_take_the_article():
+    page = "<html><body>{}</body></html>"
+    for name in ("post category-social tag-ads", "post has-comments", "post social"):
+        assert wrapper.main_text(page.format(f"<article class='{name}'><p>A</article>"), set(), "") == "A"
+    for name in ("content has-sidebar", "content sidebar", "widget"):
+        assert wrapper.main_text(page.format(f"<div class='{name}'><article><p>A</article></div>"), set(), "") == "A"
+        assert wrapper.main_text(page.format(f"<main><div class='{name}'><article><p>A</article></div></main>"), set(), "") == "A"
+    assert wrapper.main_text(page.format("<main>B<div class=widget><article><p>A</article></div></main>"), set(), "") == "B\nA"
+    assert wrapper.main_text(page.format("<article>A<div class=comments><article>c</article></div></article>"), set(), "") == "A"
+    assert wrapper.main_text(page.format("<main>A<div class=comments-area><article>c</article></div></main>"), set(), "") == "A"
+    # The host's content slot has a name that speaks against it.
+    pages = [page.format(f"<div class=top>Welcome</div><div class='story-page widget'>{'text of page ' + str(i) * 200}</div>") for i in range(4)]
+    held = None
+    for x in pages:
+        held = wrapper.grown(held, wrapper.slots(wrapper.parse(x)))
+    constant, slot = wrapper.wrapper_of(held)
+    assert wrapper.main_text(pages[1], set(constant), slot) == "text of page " + "1" * 200
+
+
 def test_main_texts_odd(spark):
     pages = spark.createDataFrame([(1, None, None, "x"), (2, "http://a.b/", "", "x"), (2, "http://a.b/", "<p>t</p>", "x"), (3, "nothing", "<p>t</p>", "x")],
                                   "page_id long, url string, html string, constant string")
