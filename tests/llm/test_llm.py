@@ -363,6 +363,25 @@ def test_names_never_take_the_article():
     assert wrapper.main_text(pages[1], set(constant), slot) == "text of page " + "1" * 200
 
 
+def test_one_odd_page_does_not_save_the_boilerplate(spark):
+    body = "<html><body><div class=top><div>{}</div></div><div class=x><p>Text {} is long enough to be the content.</p></div></body></html>"
+    # Every page also has many nodes that no other one has.
+    odd = "".join(f"<i class=n{{0}}{chr(97 + i % 26)}{chr(97 + i // 26)}></i>" for i in range(400))
+    pages = [(i, f"http://h{i % 2}.org/{i}", body.format("Redesigned" if i > 37 else "Welcome to us", i) + odd.format("abcdefghij"[i % 10])) for i in range(40)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for rows in (df.coalesce(1), df.repartition(7, "page_id")):
+        got = {r.page_id: r.text for r in wrapper.main_texts(rows).collect()}
+        assert got == {i: f"Text {i} is long enough to be the content." for i in range(40)}
+    for host in range(2):
+        held = None
+        for _, url, html in pages[host::2]:
+            held = wrapper.grown(held, wrapper.slots(wrapper.parse(html)))
+        constant, slot = wrapper.wrapper_of(held)
+        learned = {r.host: r for r in wrapper.wrappers(df.selectExpr("split(url, '/')[2] AS _llm_host", "html")).collect()}[f"h{host}.org"]
+        assert (set(learned.constant), learned.slot, learned.pages) == (set(constant), slot, 20)
+        assert wrapper.key_of("#root/html/body/div.top", wrapper.slots(wrapper.parse(pages[host][2])).children[0].children[0].children[0].text) in constant
+
+
 def test_main_texts_odd(spark):
     pages = spark.createDataFrame([(1, None, None, "x"), (2, "http://a.b/", "", "x"), (2, "http://a.b/", "<p>t</p>", "x"), (3, "nothing", "<p>t</p>", "x")],
                                   "page_id long, url string, html string, constant string")
