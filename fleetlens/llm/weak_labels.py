@@ -30,6 +30,8 @@ HAND, SURE = 0.98, 0.95
 MIN_LIFT = 4.0
 #: A vote needs at least so many words; with fewer the labeller abstains.
 MIN_WORDS = 8
+#: Bytes of a text compressed at a time.
+PIECE = 1 << 16
 
 # Frequent function words of English, German, French and Spanish, and terms of abuse.
 FUNCTION_WORDS = frozenset(
@@ -47,14 +49,22 @@ NOT_MARKS = bytes(b for b in range(256) if b not in MARKS)
 EDGES = ".,;:!?'\"()[]{}<>*#$%&|+-_/\\=~^@`…»«“”‘’"
 
 
+def squeezed(data: bytes) -> float:
+    """The compressed share of all of `data`, which is fed in pieces."""
+    packer = zlib.compressobj(1)
+    size = sum(len(packer.compress(data[at:at + PIECE])) for at in range(0, len(data), PIECE)) + len(packer.flush())
+    return size / max(len(data), 1)
+
+
 def measures(text: str | None) -> tuple[list[str], dict[str, float]]:
     """The words of a text (lower case, edge punctuation off) and what the labellers and the scorer look at."""
     body = text or ""
+    data = body.encode()
     tokens = body.split()
     n = max(len(tokens), 1)
     words = [t.strip(EDGES) for t in body.lower().split()]
     counts = Counter(words)
-    marks = len(body.encode().translate(None, NOT_MARKS))
+    marks = len(data.translate(None, NOT_MARKS))
     full = [w for w in words if w]
     top = max((c for w, c in counts.items() if w and w not in FUNCTION_WORDS), default=0)
     return words, {
@@ -70,7 +80,7 @@ def measures(text: str | None) -> tuple[list[str], dict[str, float]]:
         "upper": sum(map(str.isupper, tokens)) / n,
         "capitals": sum(map(str.isupper, body)) / max(sum(map(str.isalpha, body)), 1),
         "shouts": body.count("!") / n,
-        "squeeze": len(zlib.compress(body.encode()[:1 << 15], 1)) / max(min(len(body.encode()), 1 << 15), 1),
+        "squeeze": squeezed(data),
         **{f"insults{i}": sum(counts[w] for w in some if w in counts) for i, some in enumerate(INSULTS)},
     }
 

@@ -6,6 +6,7 @@ import base64
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -412,6 +413,16 @@ def test_label_model_recovers_rates():
     assert len(weak_labels.LabelModel(3).fit({}).posterior([])) == 0
 
 
+def test_squeeze_reads_the_whole_text():
+    rng = random.Random(4)
+    clean = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(6000))
+    junk = "buy now cheap " * 100_000
+    assert weak_labels.measures(clean + junk)[1]["squeeze"] < 0.12 and weak_labels.measures(junk + clean)[1]["squeeze"] < 0.12
+    assert weak_labels.measures("buy now cheap " * 2500 + clean * 20)[1]["squeeze"] > 0.3
+    assert weak_labels.measures(clean[:30000])[1]["squeeze"] == len(zlib.compress(clean[:30000].encode(), 1)) / 30000
+    assert weak_labels.measures(None)[1]["squeeze"] == len(zlib.compress(b"", 1))
+
+
 def test_classifier_odd(spark):
     labels = spark.createDataFrame([(6, 1, 0), (6, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
     got = both(spark, lambda d: weak_labels.classify(d, labels))
