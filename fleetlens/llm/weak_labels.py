@@ -26,6 +26,8 @@ from fleetlens.llm.common import carried, extend, map_rows, quoted
 SAMPLE_ROWS = 8000
 #: How far a hand label is trusted, and the most that the heuristics together may weigh against it.
 HAND, SURE = 0.98, 0.95
+#: How many documents without a hand label one with it counts for when a scorer is fitted to abuse.
+HAND_WEIGHT = 10.0
 #: Standard errors by which a feature's share of bad documents must differ from the mean for it to get a weight.
 MIN_LIFT = 4.0
 #: A vote needs at least so many words; with fewer the labeller abstains.
@@ -232,15 +234,18 @@ class Scorer:
     def __init__(self) -> None:
         self.hashes, self.weights, self.bias = np.empty(0, np.int64), np.empty(0), -20.0
 
-    def fit(self, rows: list[np.ndarray], target: np.ndarray, penalty: float = 1e-4, rounds: int = 250) -> Scorer:
+    def fit(self, rows: list[np.ndarray], target: np.ndarray, penalty: float = 1e-4, rounds: int = 250, weight: np.ndarray | None = None) -> Scorer:
+        """Weights of rows are relative; by default all rows weigh the same."""
         if not rows:
             return self
+        weight = np.ones(len(rows)) if weight is None else weight / weight.mean()
         sizes = np.array([len(r) for r in rows])
         known, column, seen = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
         row = np.repeat(np.arange(len(rows)), sizes)
-        n, mean = len(rows), float(np.clip(target.mean(), 1e-3, 1 - 1e-3))
+        n, mean = len(rows), float(np.clip((weight * target).mean(), 1e-3, 1 - 1e-3))
         # Features whose company is no better or worse than chance would only blur the fit.
-        lift = (np.bincount(column, target[row], minlength=len(known)) - seen * mean) / np.sqrt(seen * mean * (1 - mean))
+        lift = np.bincount(column, (weight * (target - mean))[row], minlength=len(known)) / np.sqrt(
+            np.bincount(column, (weight ** 2)[row], minlength=len(known)) * mean * (1 - mean))
         common = (seen >= 3) & (np.abs(lift) >= MIN_LIFT)
         number = np.cumsum(common) - 1
         inside = common[column]
@@ -249,7 +254,7 @@ class Scorer:
         w, bias, past = np.zeros(width), float(np.log(mean / (1 - mean))), np.zeros(width)
         for _ in range(rounds):
             z = np.bincount(row, w[column], minlength=n) + bias
-            error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - target
+            error = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target)
             slope = np.bincount(column, error[row], minlength=width) / n
             past = past + slope ** 2
             rate = 0.5 / np.sqrt(past + 1e-12)
@@ -316,9 +321,9 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, text: str = "text", sa
 
     The label models count the votes of all documents. The scorers are fitted on
     about `sample_rows` documents, which bounds what reaches the driver: first those in
-    `labels` (doc_id, quality 0/1, toxic 0/1). Abuse is learned from labelled documents
-    alone where there are any, since the word lists know few languages. Labels
-    without doc_id are ignored, of contradicting ones the worse counts.
+    `labels` (doc_id, quality 0/1, toxic 0/1). A hand label is one vote more; for abuse
+    such a document counts HAND_WEIGHT times, since the word lists know few languages.
+    Labels without doc_id are ignored, of contradicting ones the worse counts.
     """
     models = label_models(docs, text)
 
@@ -335,8 +340,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, text: str = "text", sa
     patterns = rows.column("votes").to_pylist()
     hand = [np.array([np.nan if x is None else x for x in rows.column(c).to_pylist()], dtype=float) for c in ("hand_bad", "hand_toxic")]
     bad, toxic = combined(models, patterns, hand[0], QUALITY), combined(models, patterns, hand[1], ("abuse",))
-    told = np.flatnonzero(~np.isnan(hand[1])) if not np.isnan(hand[1]).all() else np.arange(len(found))
-    return Scorer().fit(found, bad), Scorer().fit([found[i] for i in told], toxic[told])
+    return Scorer().fit(found, bad), Scorer().fit(found, toxic, weight=np.where(np.isnan(hand[1]), 1.0, HAND_WEIGHT))
 
 
 def judged(docs: DataFrame, scorers: tuple[Scorer, Scorer], text: str = "text", limit: float = 0.5,

@@ -413,6 +413,19 @@ def test_label_model_recovers_rates():
     assert len(weak_labels.LabelModel(3).fit({}).posterior([])) == 0
 
 
+def test_few_clean_labels_leave_abuse_to_the_heuristics(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("aeioubdfgklmnprst") for _ in range(4))
+    lexicon = [word() for _ in range(200)]
+    plain = lambda: " ".join(rng.choices([*lexicon, "the", "of", "and"], k=40)) + "."
+    abuse = sorted(weak_labels.INSULTS[0])[:6] + sorted(weak_labels.INSULTS[1])[:4]
+    rows = [(i, plain() + (" You " + " ".join(rng.sample(abuse, 4)) + "!" if i % 10 == 0 else "")) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(1, 6)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.p_toxic for r in weak_labels.classify(docs, labels).collect()}
+    assert all((got[i] > 0.5) == (i % 10 == 0) for i, _ in rows)
+
+
 def test_squeeze_reads_the_whole_text():
     rng = random.Random(4)
     clean = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(6000))
