@@ -13,10 +13,10 @@ from fleetlens.llm.common import extend, quoted
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents drawn for training, and most training windows.
-TRAIN_DOCS, TRAIN_WINDOWS = 20_000, 1600
+TRAIN_DOCS, TRAIN_WINDOWS = 20_000, 2400
 #: Characters of a window and between the starts of two.
 WINDOW, STRIDE = 64, 32
-EMBED, HIDDEN, EPOCHS, BATCH, RATE = 12, 16, 5, 40, 0.03
+EMBED, HIDDEN, EPOCHS, BATCH, RATE = 12, 16, 6, 40, 0.03
 #: Least mean lead over 'outside' per character of a span that the model adds.
 MARGIN = 0.5
 
@@ -26,8 +26,12 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: A span of any kind holds one of these, so windows without them hold no span.
-TRIGGER = re.compile(r"[0-9]|@|[\[(]at[\])]")
+#: At-signs and dots that are spelled out, in brackets or between blanks, whatever their case.
+AT = r"@|[\[({]\s{0,3}at\s{0,3}[\])}]|(?<=\s)at(?=\s)"
+DOT = r"\.|[\[({]\s{0,3}dot\s{0,3}[\])}]|(?<=\s)dot(?=\s)"
+#: The model reads the surroundings of these. A blank-spaced at needs a dot after the next word, since it is a frequent word of English.
+TRIGGER = re.compile(rf"[0-9]|@|[\[({{]\s{{0,3}}at\s{{0,3}}[\])}}]|(?<=\s)at(?=\s{{1,3}}[a-z0-9-]{{1,63}}\s{{0,3}}(?:\.[a-z0-9]|[\[({{]\s{{0,3}}dot\b|(?<=\s)dot\s))", re.I)
+MAIL = re.compile(rf"[\w%+-]\s*(?:{AT})\s*[\w-]+\s*(?:{DOT})\s*\w", re.I)
 DIGIT = re.compile("[0-9]")
 
 
@@ -269,7 +273,7 @@ def plausible(kind: int, found: str) -> bool:
     """Whether a span that the model proposes can be of its kind, however it is written."""
     digits = "".join(DIGIT.findall(found))
     if kind == 0:
-        return "." in found and bool(re.search(r"\S\s*(?:@|[\[(]at[\])])\s*\S", found))
+        return bool(MAIL.search(found))
     if kind == 1:
         parts = re.findall("[0-9]+", found)
         return len(parts) == 4 and all(map(_small, parts))
@@ -325,7 +329,10 @@ def variants(kind: int, found: str, rng: np.random.Generator) -> str:
     digits = "".join(c for c in found if c.isdigit())
     if kind == 0:
         local, _, domain = found.partition("@")
-        return f"{local} [at] {domain}" if rng.random() < 0.5 else f"{local}(at){domain}"
+        sign = (" [at] ", "(at)", " (AT) ", " [ at ] ", " at ")[int(rng.integers(5))]
+        if rng.random() < 0.4:
+            domain = domain.replace(".", " dot " if sign == " at " or rng.random() < 0.5 else " [dot] ")
+        return f"{local}{sign}{domain}"
     if kind == 3:
         area, rest = digits[-10:-7], digits[-7:]
         return (f"({area}) {rest[:3]}-{rest[3:]}", f"{area}-{rest[:3]}-{rest[3:]}", f"00{digits[:2]} {area} {rest}")[int(rng.integers(3))]
@@ -346,10 +353,12 @@ def training_windows(texts: list[str], limit: int = TRAIN_WINDOWS, seed: int = 1
             low = max(0, a - int(rng.integers(4, WINDOW - (b - a) - 2)))
             piece = text[low:low + WINDOW]
             made.append((piece, [(x - low, y - low, k) for x, y, k in base if x < low + WINDOW and y > low]))
-            other = variants(kind, text[a:b], rng)
-            changed = text[max(0, a - 40):a] + other + text[b:b + 40]
-            at = min(a, 40)
-            made.append((changed[:WINDOW], [(at, at + len(other), kind)]))
+            for _ in range(3 if kind == 0 else 1):  # mail addresses have the most spellings
+                other = variants(kind, text[a:b], rng)
+                room = int(rng.integers(1, 41))
+                changed = text[max(0, a - room):a] + other + text[b:b + 40]
+                at = min(a, room)
+                made.append((changed[:WINDOW], [(at, at + len(other), kind)]))
         clear = [m.start() for m in TRIGGER.finditer(text) if not any(a - 40 < m.start() < b + 40 for a, b, _ in base)]
         for start in clear[:2]:
             low = max(0, start - int(rng.integers(4, WINDOW - 4)))
@@ -378,18 +387,22 @@ def fit(docs: DataFrame, text: str = "text", rows: int = TRAIN_DOCS) -> Tagger |
 
     def make():
         def around(batch: pa.RecordBatch) -> list:
-            """Only the surroundings of triggers are sent, at most 2,000 characters of a document."""
+            """Only the surroundings of triggers are sent: about 2,000 characters of a document, drawn from all of it."""
             out = []
             for value in batch.column("text"):
                 body, parts, reach = value.as_py(), [], 0
                 for m in TRIGGER.finditer(body):
                     low, high = max(reach, m.start() - WINDOW), m.end() + WINDOW
                     if high > low:
-                        parts.append(body[low:high])
+                        parts.append((low, high))
                         reach = high
-                    if sum(map(len, parts)) > 2000:
+                drawn, left = [], 2000
+                for i in np.random.default_rng(len(body)).permutation(len(parts)):
+                    if left <= 0:
                         break
-                out.append("".join(parts))
+                    drawn.append(parts[i])
+                    left -= parts[i][1] - parts[i][0]
+                out.append("".join(body[low:high] for low, high in sorted(drawn)))
             return [out]
 
         return around
@@ -406,8 +419,8 @@ def find_pii(docs: DataFrame, tagger: Tagger | None, text: str = "text", keep: l
     """`docs` with base_spans (exact patterns) and spans (those and the model's), arrays of (kind, start, end).
 
     Positions are code points, ends exclusive, order is by start, then kind as in
-    KINDS. The model reads the overlapping windows around every digit and at-sign of
-    the whole text; a span of any kind holds one. Null and empty texts have no spans;
+    KINDS. The model reads the overlapping windows around every digit and at-sign,
+    written or spelled out, of the whole text; nothing else is taken for a span. Null and empty texts have no spans;
     without a tagger both arrays are equal; repeated rows repeat their result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(None if tagger is None else tagger.p)

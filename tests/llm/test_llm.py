@@ -495,6 +495,30 @@ def test_tagger_held_out(spark):
         assert base == plain_spans(r.text or "") and set(map(tuple, r.base_spans)) <= set(map(tuple, r.spans))
 
 
+def test_spelled_out_mails_are_read():
+    for mail in ("john (AT) example.com", "john [ at ] example.com", "john at example dot com", "john(at)example[dot]com", "john AT example.com"):
+        text = "x" * 200 + " write to " + mail + " today"
+        at = text.lower().index("at", 200)
+        assert any(s <= at < s + pii.WINDOW for s in pii.windows(text)) and pii.plausible(0, mail)
+    assert pii.windows("we met at home. then left") == [] and not pii.plausible(0, "met at home then")
+
+
+def test_spelled_out_mails_are_found(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text RLIKE '[0-9@]'").orderBy("doc_id").collect()]
+    model = pii.Tagger().fit(*pii.training_windows(texts[::2]))
+    rng, tried, found = np.random.default_rng(3), 0, 0
+    rows = []
+    for text in texts[1::2]:
+        for a, b in pii.emails(text)[:1]:
+            other = pii.variants(0, text[a:b], rng)
+            rows.append((len(rows), text[max(0, a - 40):a] + other + text[b:b + 40], min(a, 40), min(a, 40) + len(other)))
+    rows = [r for r in rows if "@" not in r[1][r[2]:r[3]]][:400]
+    out = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string, a int, b int"), model).collect()
+    share = sum(any(s.kind == "email" and s.start <= r.a + 2 and s.end >= r.b - 2 for s in r.spans) for r in out) / len(out)
+    print("spelled-out mails found", share, len(out))
+    assert share >= 0.7
+
+
 def test_reconciled():
     text = "x 555-123-4567 y 4111 1111 1111 1111 z"
     found = [(2, 9, 3, 2.0), (7, 14, 3, 1.0), (2, 14, 2, 9.0), (17, 36, 2, 3.0), (17, 36, 3, 1.0)]
