@@ -12,6 +12,7 @@ from fleetlens.llm.fm_index import contamination
 from fleetlens.llm.hyperminhash import near_duplicates
 from fleetlens.llm.imatch import compared_with_next, lexicon
 from fleetlens.llm.line_dedup import line_dedup
+from fleetlens.llm.periodic import periodic_runs, with_loops
 from fleetlens.llm.pii import KINDS, find_pii, fit as fit_tagger
 from fleetlens.llm.token_counts import length_histogram
 from fleetlens.llm.url_filter import page_links, rule_table, url_verdicts
@@ -209,3 +210,17 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     counts = [F.size(F.filter("base_spans", lambda s: s["kind"] == F.lit(kind))).cast("bigint").alias(f"n_{kind}") for kind in KINDS]
     return found.select("doc_id", *counts, F.sha2(joined("base_spans"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+@query
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_loops(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic_runs(docs, min_words=24, min_exponent=3, keep=["doc_id"])
+    # Runs come by start, then period, so the first of those with the greatest exponent stays.
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda a, r: F.when(
+        r["length"] * a["period"] > a["length"] * r["period"], r).otherwise(a))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
