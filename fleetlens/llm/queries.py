@@ -14,6 +14,7 @@ from fleetlens.llm.imatch import compared_with_next, lexicon
 from fleetlens.llm.line_dedup import line_dedup
 from fleetlens.llm.periodic import periodic_runs, with_loops
 from fleetlens.llm.pii import KINDS, find_pii, fit as fit_tagger
+from fleetlens.llm.prefix_trie import prefix_trie, sequences, with_shared_heads
 from fleetlens.llm.token_counts import length_histogram
 from fleetlens.llm.url_filter import page_links, rule_table, url_verdicts
 from fleetlens.llm.weak_labels import classify
@@ -224,3 +225,45 @@ def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
         F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return prefix_trie(with_shared_heads(sequences(turns), group=5, most=8))
+
+
+# crc32 bit by bit: the byte is mixed in, then eight times the register moves right and the polynomial is mixed in.
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT)),
+    lambda r, b: list_reduce(list_prepend(xor(r, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))))"""
+ORACLE["op12_prefix_trie"] = """
+WITH own AS (
+    SELECT conv_id, list(struct_pack(k := concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')),
+                                     n := strlen(coalesce(text, ''))) ORDER BY turn NULLS FIRST, role, text) AS t
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+heads AS (SELECT conv_id, t, """ + _CRC32.format("CAST(conv_id AS VARCHAR)") + """ % 9 AS h FROM own),
+rebuilt AS (
+    SELECT a.conv_id, coalesce(b.t[1:a.h], []) || a.t[a.h + 1:] AS t
+    FROM heads a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 5),
+digests AS (SELECT conv_id, list_transform(t, lambda x: sha256(x.k)) AS k, list_transform(t, lambda x: x.n) AS n FROM rebuilt),
+members AS (
+    SELECT conv_id, len(k) AS turns, d, array_to_string(k[1:d], ',') AS prefix, array_to_string(k[1:d - 1], ',') AS above, n[d] AS bytes
+    FROM (SELECT *, unnest(generate_series(0, len(k))) AS d FROM digests)),
+nodes AS (
+    SELECT d, prefix, min(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs,
+           CASE WHEN d > 0 THEN (count(*) - 1) * min(bytes) ELSE 0 END AS saved, max(turns) = d AS childless,
+           sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE turns = d), '')) AS ends_sha256
+    FROM members GROUP BY d, prefix),
+children AS (SELECT d - 1 AS d, above AS prefix, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+sums AS (
+    SELECT m.d, m.prefix, count(*) FILTER (WHERE n.childless) AS n_leaves, sum(n.saved) AS saved
+    FROM members m JOIN (SELECT x.conv_id, y.d, y.prefix, y.saved, y.childless FROM members x
+                         JOIN nodes y ON y.conv_id = x.conv_id AND y.d = x.d AND y.prefix = x.prefix) n
+      ON n.conv_id = m.conv_id AND n.d >= m.d
+    GROUP BY m.d, m.prefix)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children, s.n_leaves,
+       CAST(s.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums s ON s.d = n.d AND s.prefix = n.prefix
+LEFT JOIN nodes p ON n.d > 0 AND p.d = n.d - 1 AND p.prefix = n.above
+LEFT JOIN children c ON c.d = n.d AND c.prefix = n.prefix
+"""
