@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from fleetlens.llm.adaptive_join import ngram_components
 from fleetlens.llm.bpe import bpe_count, bpe_decode, bpe_encode
 from fleetlens.llm.fm_index import contamination
 from fleetlens.llm.hyperminhash import near_duplicates
@@ -267,3 +268,27 @@ FROM nodes n JOIN sums s ON s.d = n.d AND s.prefix = n.prefix
 LEFT JOIN nodes p ON n.d > 0 AND p.d = n.d - 1 AND p.prefix = n.above
 LEFT JOIN children c ON c.d = n.d AND c.prefix = n.prefix
 """
+
+
+@query
+def op13_adaptive_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(_table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, percent=85)
+
+
+ORACLE["op13_adaptive_join"] = r"""
+WITH RECURSIVE cut AS (
+    SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                  '[ 	-]+'), lambda w: w <> '') AS w
+    FROM documents),
+grams AS (
+    SELECT DISTINCT doc_id, array_to_string(w[p:p + 3], ' ') AS g
+    FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 3, least(len(w), 1)))) AS p FROM cut)),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM grams a JOIN grams b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+    SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT a AS doc_id, a AS other FROM both_ways UNION SELECT r.doc_id, e.b FROM reach r JOIN both_ways e ON e.a = r.other)
+SELECT c.doc_id, coalesce(max(s.n), 0) AS n_shingles, coalesce(min(r.other), c.doc_id) AS component_id
+FROM cut c LEFT JOIN sizes s ON s.doc_id = c.doc_id LEFT JOIN reach r ON r.doc_id = c.doc_id GROUP BY c.doc_id
+"""
