@@ -3,8 +3,8 @@
 All sets are ordered alike (by hash). Two sets that share `o` tokens have at least l of
 them in common within their first n - o + l tokens, for any l: the longer the
 prefixes, the more they must share. Each document takes the l that makes its
-candidates cheapest, and two documents meet only if their prefixes share as many tokens as
-the smaller of their two l.
+candidates cheapest, and two documents are compared only if their prefixes share as many tokens
+as the smaller of their two l asks for, or more where their sizes ask for more.
 """
 
 from __future__ import annotations
@@ -24,15 +24,15 @@ from fleetlens.session import staged
 
 #: The largest l of a document is 1 + a twentieth of its tokens.
 SHARE = 20
-#: Documents in a block when the rest of a family is joined.
-BLOCK = 512
+#: Tokens and documents in a block, at most, when the rest of a family is joined; a document beyond that is a block.
+BLOCK_TOKENS, BLOCK = 2 ** 21, 2048
 
 
 def most(n: int) -> int:
     return 1 + n // SHARE
 
 
-def needed(n: int, percent: int) -> int:
+def needed(n, percent: int):
     """The tokens that any partner of a set of n shares with it at least."""
     return -(-percent * n // 100)
 
@@ -179,10 +179,11 @@ def across(posts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): links between different components, one at least for each two that have any.
 
     A family is what the lists hold together. Its documents are dealt by hash into blocks
-    within classes of size (sets two classes apart are too unlike); a task holds one pair of
-    blocks, counts the prefix tokens that two documents share, and verifies on whole
-    sets those that share enough. Pairs don't leave the task, links do. Documents of a family's
-    largest component are not compared with each other.
+    within classes of size (sets two classes apart are too unlike), as many to a block as
+    the largest of the class allow; a task holds one pair of blocks, counts the prefix tokens that
+    two documents share, and verifies on whole sets those that share enough. Pairs don't
+    leave the task, links do. Documents of a family's largest component are not compared with
+    each other.
     """
     first = posts.groupBy("token").agg(F.min("id").alias("b"))
     family = staged(components(posts.join(first, "token").select(F.col("id").alias("a"), "b")).toDF("id", "family"), "families")
@@ -192,8 +193,9 @@ def across(posts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     parts = own.groupBy("family", "component").agg(F.count("*").alias("k"))
     main = parts.groupBy("family").agg(F.max(F.struct("k", "component"))["component"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
     spots = own.join(main.drop("parts"), "family").withColumn("outer", F.col("component") != F.col("main"))
+    each = F.least(F.lit(BLOCK), F.greatest(F.lit(1), F.floor(BLOCK_TOKENS / F.max("n"))))
     counts = spots.groupBy("family", "size").agg(
-        F.ceil(F.count_if("outer") / BLOCK).alias("rows"), F.ceil(F.count("*") / BLOCK).alias("columns"))
+        F.ceil(F.count_if("outer") / each).alias("rows"), F.ceil(F.count("*") / each).alias("columns"))
     h = F.xxhash64(F.lit(13), "id")
     spots = spots.withColumn("h", h)
     span = lambda n: F.sequence(F.lit(0).cast("bigint"), n - 1)
@@ -240,13 +242,18 @@ def block_links(left: list[tuple], right: list[tuple], percent: int) -> list[tup
     order = np.argsort(place, kind="stable")
     place, owner = place[order], owner[order]
     common = np.zeros((len(left), len(right)), dtype=np.float32)
-    for at in range(0, int(place[-1]) + 1, 4096):
-        low, high = np.searchsorted(place, (at, at + 4096))
-        some = np.zeros((len(rows), 4096), dtype=np.float32)
+    step = 1024
+    for at in range(0, int(place[-1]) + 1, step):
+        low, high = np.searchsorted(place, (at, at + step))
+        some = np.zeros((len(rows), step), dtype=np.float32)
         some[owner[low:high], place[low:high] - at] = 1
         common += some[:len(left)] @ some[len(left):].T
-    level, part = (np.array([r[k] for r in rows]) for k in (1, 2))
-    enough = common >= np.minimum(level[:len(left), None], level[None, len(left):])
+    total, level, part = (np.array(v, dtype=np.int64) for v in ([len(r[4]) for r in rows], [r[1] for r in rows], [r[2] for r in rows]))
+    # The set whose prefix ends first has all but (its size - overlap) of that prefix in the other's prefix.
+    slack = (level - needed(total, percent)).astype(np.float32)
+    overlap = np.ceil(percent * (total[:len(left), None] + total[None, len(left):]) / (100 + percent) - 1e-9)
+    enough = common >= overlap + np.minimum(slack[:len(left), None], slack[None, len(left):])
+    del overlap
     enough &= part[:len(left), None] != part[None, len(left):]
     found, root = [], {}
 
