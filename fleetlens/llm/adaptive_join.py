@@ -178,36 +178,34 @@ def joined(posts: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, perc
 def across(posts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): links between different components, one at least for each two that have any.
 
-    A family is what the lists hold together. Its documents are dealt by hash into blocks
-    within classes of size (sets two classes apart are too unlike), as many to a block as
-    the largest of the class allow; a task holds one pair of blocks, counts the prefix tokens that
-    two documents share, and verifies on whole sets those that share enough. Pairs don't
-    leave the task, links do. Documents of a family's largest component are not compared with
-    each other.
+    A family is what the lists hold together, and falls into cells by size (sets two
+    classes of size apart are too unlike). A cell's documents are dealt by hash into blocks, as
+    many to a block as its largest allow; a task holds one pair of blocks, counts the
+    prefix tokens that two documents share, and verifies on whole sets those that share
+    enough. Pairs don't leave the task, links do. Documents of a family's largest component
+    are not compared with each other.
     """
     first = posts.groupBy("token").agg(F.min("id").alias("b"))
     family = staged(components(posts.join(first, "token").select(F.col("id").alias("a"), "b")).toDF("id", "family"), "families")
-    own = posts.groupBy("id").agg(F.max("n").alias("n"), F.max("l").alias("l"), F.max("component").alias("component"),
-                                  F.array_sort(F.collect_set("token")).alias("prefix")).join(family, "id")
+    own = posts.groupBy("id").agg(F.max("n").alias("n"), F.max("l").alias("l"), F.max("component").alias("component")).join(family, "id")
     own = staged(own.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / np.log(100 / percent))), "own")
     parts = own.groupBy("family", "component").agg(F.count("*").alias("k"))
     main = parts.groupBy("family").agg(F.max(F.struct("k", "component"))["component"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    spots = own.join(main.drop("parts"), "family").withColumn("outer", F.col("component") != F.col("main"))
-    each = F.least(F.lit(BLOCK), F.greatest(F.lit(1), F.floor(BLOCK_TOKENS / F.max("n"))))
-    counts = spots.groupBy("family", "size").agg(
-        F.ceil(F.count_if("outer") / each).alias("rows"), F.ceil(F.count("*") / each).alias("columns"))
-    h = F.xxhash64(F.lit(13), "id")
-    spots = spots.withColumn("h", h)
-    span = lambda n: F.sequence(F.lit(0).cast("bigint"), n - 1)
-    # Outer documents go down the left side of a grid (their size by the other's size), everyone along its top.
-    near = F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("other")
-    other = counts.select("family", F.col("size").alias("other"), F.col("rows").alias("other_rows"), F.col("columns").alias("other_columns"))
-    beside = spots.join(counts, ["family", "size"]).select("*", near).join(other, ["family", "other"])
-    down = beside.where("outer").select("family", F.col("size").alias("s"), F.col("other").alias("t"), F.lit(0).alias("side"), F.pmod("h", "rows").alias("i"),
-                                        F.explode(span(F.col("other_columns"))).alias("j"), "id", "l", "component", "prefix")
-    over = beside.where("other_rows > 0").select("family", F.col("other").alias("s"), F.col("size").alias("t"), F.lit(1).alias("side"),
-                                                 F.explode(span(F.col("other_rows"))).alias("i"), F.pmod("h", "columns").alias("j"), "id", "l", "component", "prefix")
-    place = ["family", "s", "t", "i", "j"]
+    spots = own.join(main.drop("parts"), "family").withColumns({"outer": F.col("component") != F.col("main"), "h": F.xxhash64(F.lit(13), "id")})
+    blocks = F.ceil(F.count("*") / F.least(F.lit(BLOCK), F.greatest(F.lit(1), F.floor(BLOCK_TOKENS / F.max("n")))))
+    # A cell has the outer documents of one size down its side; along its top those of that size and the next, and the main component's of all three.
+    cell = ["family", "cell"]
+    side = spots.where("outer").withColumn("cell", F.col("size"))
+    rows = side.groupBy(*cell).agg(blocks.alias("rows"))
+    sizes = F.when(F.col("outer"), F.array(F.col("size") - 1, F.col("size"))).otherwise(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1))
+    top = spots.withColumn("cell", F.explode(sizes)).join(rows, cell)
+    columns = top.groupBy(*cell).agg(blocks.alias("columns"))
+    span = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    own_columns = ["id", "n", "l", "component"]
+    down = side.join(rows, cell).join(columns, cell).select(
+        *cell, F.lit(0).alias("side"), F.pmod("h", "rows").alias("i"), span("columns").alias("j"), *own_columns)
+    over = top.join(columns, cell).select(*cell, F.lit(1).alias("side"), span("rows").alias("i"), F.pmod("h", "columns").alias("j"), *own_columns)
+    place = [*cell, "i", "j"]
     dealt = down.unionByName(over).join(sets, "id").repartition(*place).sortWithinPartitions(*place, "side", "id")
     fields = [StructField("a", LongType()), StructField("b", LongType())]
 
@@ -220,13 +218,13 @@ def across(posts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
         for batch in batches:
             small = [batch.column(c).to_pylist() for c in (*place, "side", "id", "l", "component")]
-            wide = batch.column("prefix"), batch.column("tokens")
+            tokens = batch.column("tokens")
             for at, (*here, side, ident, level, component) in enumerate(zip(*small, strict=True)):
                 if here != key:
                     if held[0] and held[1]:
                         yield give()
                     key, held = here, ([], [])
-                held[side].append((ident, level, component, *[w[at].values.to_numpy(zero_copy_only=False) for w in wide]))
+                held[side].append((ident, level, component, tokens[at].values.to_numpy(zero_copy_only=False)))
         if held[0] and held[1]:
             yield give()
 
@@ -234,21 +232,22 @@ def across(posts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def block_links(left: list[tuple], right: list[tuple], percent: int) -> list[tuple[int, int]]:
-    """Linked pairs of two blocks of (id, l, component, prefix, tokens), one for each two components."""
+    """Linked pairs of two blocks of (id, l, component, tokens), one for each two components."""
     rows = left + right
-    sizes = [len(r[3]) for r in rows]
-    _, place = np.unique(np.concatenate([r[3] for r in rows]), return_inverse=True)
-    owner = np.repeat(np.arange(len(rows)), sizes)
+    total, level, part = (np.array(v, dtype=np.int64) for v in ([len(r[3]) for r in rows], [r[1] for r in rows], [r[2] for r in rows]))
+    sizes = total - needed(total, percent) + level
+    _, place, seen = np.unique(np.concatenate([r[3][:k] for r, k in zip(rows, sizes.tolist(), strict=True)]), return_inverse=True, return_counts=True)
+    owner, shared = np.repeat(np.arange(len(rows)), sizes), seen[place] > 1
+    place, owner = (np.cumsum(seen > 1) - 1)[place[shared]], owner[shared]
     order = np.argsort(place, kind="stable")
     place, owner = place[order], owner[order]
     common = np.zeros((len(left), len(right)), dtype=np.float32)
     step = 1024
-    for at in range(0, int(place[-1]) + 1, step):
+    for at in range(0, int((seen > 1).sum()), step):
         low, high = np.searchsorted(place, (at, at + step))
         some = np.zeros((len(rows), step), dtype=np.float32)
         some[owner[low:high], place[low:high] - at] = 1
         common += some[:len(left)] @ some[len(left):].T
-    total, level, part = (np.array(v, dtype=np.int64) for v in ([len(r[4]) for r in rows], [r[1] for r in rows], [r[2] for r in rows]))
     # The set whose prefix ends first has all but (its size - overlap) of that prefix in the other's prefix.
     slack = (level - needed(total, percent)).astype(np.float32)
     overlap = np.ceil(percent * (total[:len(left), None] + total[None, len(left):]) / (100 + percent) - 1e-9)
@@ -263,7 +262,7 @@ def block_links(left: list[tuple], right: list[tuple], percent: int) -> list[tup
         return x
 
     for i, j in zip(*np.nonzero(enough), strict=True):
-        (a, _, ca, _, x), (b, _, cb, _, y) = left[i], right[j]
+        (a, _, ca, x), (b, _, cb, y) = left[i], right[j]
         ca, cb = find(ca), find(cb)
         if ca == cb or min(len(x), len(y)) * 100 < max(len(x), len(y)) * percent:
             continue
