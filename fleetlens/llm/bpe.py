@@ -16,8 +16,10 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField
 
 from fleetlens.llm.common import extend, read_file
 
-#: Distinct pre-tokens a task remembers; beyond that it starts over, so memory stays bounded.
-MEMO = 700_000
+#: Pre-tokens a worker remembers at most, in two generations: when the younger one is full, the older one goes.
+MEMO = 800_000
+#: A pre-token is remembered when it is seen a second time; first sights leave a mark at one of so many places.
+MARKS = 1 << 24
 #: Longer pre-tokens are encoded anew each time instead of being remembered.
 MEMO_CHARS = 64
 
@@ -128,18 +130,29 @@ class Codec:
 
 
 class Memo(dict):
-    """Ids by pre-token, filled as they are asked for."""
+    """Ids by pre-token, filled as they are asked for: about half of all distinct pre-tokens occur once and are never kept."""
 
     def __init__(self, encode) -> None:
         super().__init__()
         self.encode = encode
+        self.older: dict[str, tuple[int, ...]] = {}
+        self.marks = bytearray(MARKS)
 
     def __missing__(self, text: str) -> tuple[int, ...]:
-        ids = tuple(self.encode(text.encode()))
-        if len(text) <= MEMO_CHARS:
-            if len(self) >= MEMO:
-                self.clear()
-            self[text] = ids
+        ids = self.older.get(text)
+        if ids is None:
+            ids = tuple(self.encode(text.encode()))
+            if len(text) > MEMO_CHARS:
+                return ids
+            at = hash(text) % MARKS
+            if not self.marks[at]:
+                self.marks[at] = 1
+                return ids
+        if 2 * len(self) >= MEMO:
+            self.older = dict(self)
+            self.clear()
+            self.marks = bytearray(MARKS)
+        self[text] = ids
         return ids
 
 
