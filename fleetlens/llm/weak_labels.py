@@ -9,6 +9,7 @@ the posterior labels of a bounded sample and judges all documents.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from functools import lru_cache
@@ -18,9 +19,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructField
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StringType, StructField
 
-from fleetlens.llm.common import carried, extend, map_rows, quoted
+from fleetlens.llm.common import extend, map_rows, quoted
+from fleetlens.session import staged
 
 #: Most documents that the scorer is fitted on (drawn by a hash of their row).
 SAMPLE_ROWS = 8000
@@ -48,6 +50,8 @@ INSULTS = (
 )
 MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in ".,;:!?'\"()-")
 NOT_MARKS = bytes(b for b in range(256) if b not in MARKS)
+ASCII_UPPER, ASCII_LOWER = (bytes(range(ord(a), ord(a) + 26)) for a in "Aa")
+BEYOND_ASCII = re.compile(r"[^\x00-\x7f]")
 EDGES = ".,;:!?'\"()[]{}<>*#$%&|+-_/\\=~^@`…»«“”‘’"
 
 
@@ -58,6 +62,17 @@ def squeezed(data: bytes) -> float:
     return size / max(len(data), 1)
 
 
+def capitals(body: str, data: bytes) -> float:
+    """The share of upper-case letters among all letters; `data` is `body` in UTF-8."""
+    upper = len(data) - len(data.translate(None, ASCII_UPPER))
+    letters = upper + len(data) - len(data.translate(None, ASCII_LOWER))
+    if len(data) != len(body):
+        others = BEYOND_ASCII.findall(body)
+        upper += sum(map(str.isupper, others))
+        letters += sum(map(str.isalpha, others))
+    return upper / max(letters, 1)
+
+
 def measures(text: str | None) -> tuple[list[str], dict[str, float]]:
     """The words of a text (lower case, edge punctuation off) and what the labellers and the scorer look at."""
     body = text or ""
@@ -80,7 +95,7 @@ def measures(text: str | None) -> tuple[list[str], dict[str, float]]:
         "stops": sum(body.count(c) for c in ".!?") / n,
         "fresh": len(counts) / n,
         "upper": sum(map(str.isupper, tokens)) / n,
-        "capitals": sum(map(str.isupper, body)) / max(sum(map(str.isalpha, body)), 1),
+        "capitals": capitals(body, data),
         "shouts": body.count("!") / n,
         "squeeze": squeezed(data),
         **{f"insults{i}": sum(counts[w] for w in some if w in counts) for i, some in enumerate(INSULTS)},
@@ -234,23 +249,13 @@ class Scorer:
     def __init__(self) -> None:
         self.hashes, self.weights, self.bias = np.empty(0, np.int64), np.empty(0), -20.0
 
-    def fit(self, rows: list[np.ndarray], target: np.ndarray, penalty: float = 1e-4, rounds: int = 250, weight: np.ndarray | None = None) -> Scorer:
-        """Weights of rows are relative; by default all rows weigh the same."""
-        if not rows:
+    def fit(self, hashes: np.ndarray, row: np.ndarray, column: np.ndarray, target: np.ndarray, weight: np.ndarray,
+            penalty: float = 1e-4, rounds: int = 250) -> Scorer:
+        """Document row[i] has feature hashes[column[i]]; `target` is P(bad) and `weight` how much a document counts."""
+        if not len(target):
             return self
-        weight = np.ones(len(rows)) if weight is None else weight / weight.mean()
-        sizes = np.array([len(r) for r in rows])
-        known, column, seen = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
-        row = np.repeat(np.arange(len(rows)), sizes)
-        n, mean = len(rows), float(np.clip((weight * target).mean(), 1e-3, 1 - 1e-3))
-        # Features whose company is no better or worse than chance would only blur the fit.
-        lift = np.bincount(column, (weight * (target - mean))[row], minlength=len(known)) / np.sqrt(
-            np.bincount(column, (weight ** 2)[row], minlength=len(known)) * mean * (1 - mean))
-        common = (seen >= 3) & (np.abs(lift) >= MIN_LIFT)
-        number = np.cumsum(common) - 1
-        inside = common[column]
-        row, column = row[inside], number[column[inside]]
-        width = int(common.sum())
+        n, width, weight = len(target), len(hashes), weight / weight.mean()
+        mean = float(np.clip((weight * target).mean(), 1e-3, 1 - 1e-3))
         w, bias, past = np.zeros(width), float(np.log(mean / (1 - mean))), np.zeros(width)
         for _ in range(rounds):
             z = np.bincount(row, w[column], minlength=n) + bias
@@ -262,7 +267,7 @@ class Scorer:
             w = np.sign(w) * np.maximum(np.abs(w) - rate * penalty, 0)
             bias -= error.mean()
         used = w != 0
-        self.hashes, self.weights, self.bias = known[common][used], w[used], bias
+        self.hashes, self.weights, self.bias = hashes[used], w[used], bias
         return self
 
     def table(self) -> dict[int, float]:
@@ -299,12 +304,18 @@ def label_models(docs: DataFrame, text: str = "text") -> dict[str, LabelModel]:
 
 
 def drawn(docs: DataFrame, labels: DataFrame | None, rows: int, text: str = "text") -> DataFrame:
-    """(text, hand_bad, hand_toxic) of about `rows` documents drawn by a hash: labelled ones first, then others."""
+    """(text, hand_bad, hand_toxic, copies) of about `rows` documents drawn by a hash: labelled ones first, then others.
+
+    Equal texts with equal labels are one row that counts for its copies, so a text that
+    owns half of the table is drawn once or not at all.
+    """
     part = lambda value, n, total: F.pmod(F.xxhash64(F.lit(7), value), F.lit(2 ** 20)) < int(2 ** 20 * min(1.0, n / max(total, 1)))
     body = docs.select(quoted("doc_id").alias("doc_id"), quoted(text).alias("text"))
-    none = [F.lit(None).cast("double").alias(c) for c in ("hand_bad", "hand_toxic")]
+    hand = ["hand_bad", "hand_toxic"]
+    none = [F.lit(None).cast("double").alias(c) for c in hand]
     if labels is None:
-        return body.where(part(F.col("text"), rows, docs.count())).select("text", *none)
+        out = body.where(part(F.col("text"), rows, docs.count())).select("text", *none)
+        return out.groupBy("text", *hand).agg(F.count("*").alias("copies"))
     once = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     known = once.count()
     # About `rows` labels at most, so they are broadcast and the documents need no shuffle.
@@ -313,34 +324,83 @@ def drawn(docs: DataFrame, labels: DataFrame | None, rows: int, text: str = "tex
                                            F.col("toxic").cast("double").alias("hand_toxic"))
     if known < rows:
         out = out.union(body.join(some, "doc_id", "left_anti").where(part(F.col("text"), rows - known, docs.count())).select("text", *none))
-    return out
+    return out.groupBy("text", *hand).agg(F.count("*").alias("copies"))
 
 
-def fit(docs: DataFrame, labels: DataFrame | None = None, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> tuple[Scorer, Scorer]:
-    """(quality scorer, toxicity scorer).
+#: For each scorer its columns: posterior label and weight of a document.
+TARGETS = (("bad", "bad_weight"), ("toxic", "toxic_weight"))
 
-    The label models count the votes of all documents. The scorers are fitted on
-    about `sample_rows` documents, which bounds what reaches the driver: first those in
-    `labels` (doc_id, quality 0/1, toxic 0/1). A hand label is one vote more; for abuse
-    such a document counts HAND_WEIGHT times, since the word lists know few languages.
-    Labels without doc_id are ignored, of contradicting ones the worse counts.
-    """
-    models = label_models(docs, text)
+
+def learned_from(docs: DataFrame, labels: DataFrame | None, models: dict[str, LabelModel], text: str, sample_rows: int) -> DataFrame:
+    """(f, copies, bad, toxic, bad_weight, toxic_weight) per drawn text: features, posterior labels, and what the document counts for."""
+    fields = [StructField("f", ArrayType(LongType())), StructField("bad", DoubleType()), StructField("toxic", DoubleType())]
 
     def make():
         def run(batch: pa.RecordBatch) -> list:
             out = [measures(v.as_py()) for v in batch.column("text")]
-            return [[features(w, m) for w, m in out], [votes(m) for _, m in out]]
+            patterns = [votes(m) for _, m in out]
+            hand = [np.array([np.nan if x is None else x for x in batch.column(c).to_pylist()], dtype=float) for c in ("hand_bad", "hand_toxic")]
+            return [[features(w, m) for w, m in out], combined(models, patterns, hand[0], QUALITY).tolist(),
+                    combined(models, patterns, hand[1], ("abuse",)).tolist()]
 
         return run
 
-    fields = [StructField("f", ArrayType(LongType())), StructField("votes", ArrayType(StringType()))]
-    rows = extend(drawn(docs, labels, sample_rows, text), fields, make, ["hand_bad", "hand_toxic"]).toArrow()
-    found = [np.asarray(x.values.to_numpy(zero_copy_only=False)) for x in rows.column("f")]
-    patterns = rows.column("votes").to_pylist()
-    hand = [np.array([np.nan if x is None else x for x in rows.column(c).to_pylist()], dtype=float) for c in ("hand_bad", "hand_toxic")]
-    bad, toxic = combined(models, patterns, hand[0], QUALITY), combined(models, patterns, hand[1], ("abuse",))
-    return Scorer().fit(found, bad), Scorer().fit(found, toxic, weight=np.where(np.isnan(hand[1]), 1.0, HAND_WEIGHT))
+    found = extend(drawn(docs, labels, sample_rows, text), fields, make, ["hand_toxic", "copies"])
+    heft = F.when(F.col("hand_toxic").isNull(), 1.0).otherwise(HAND_WEIGHT)
+    return found.select("f", "copies", "bad", "toxic", F.col("copies").cast("double").alias("bad_weight"),
+                        (F.col("copies") * heft).alias("toxic_weight"))
+
+
+def telling(sample: DataFrame) -> list[np.ndarray]:
+    """For each scorer the sorted features that at least three documents have and whose company is better or worse than chance.
+
+    Counted by Spark; the driver gets the features that are left, at most those of the sample.
+    """
+    totals = sample.agg(*[x for p, w in TARGETS for x in (F.sum(F.col(w) * F.col(p)).alias(p), F.sum(w).alias(w))]).first()
+    counts = sample.select("copies", *[c for t in TARGETS for c in t], F.explode("f").alias("f")).groupBy("f").agg(
+        F.sum("copies").alias("n"), *[x for p, w in TARGETS for x in (
+            F.sum(F.col(w) * F.col(p)).alias(f"{p}_hits"), F.sum(w).alias(f"{p}_all"), F.sum(F.col(w) ** 2 / F.col("copies")).alias(f"{p}_squares"))])
+    lifted = []
+    for p, w in TARGETS:
+        mean = min(max((totals[p] or 0.0) / (totals[w] or 1.0), 1e-3), 1 - 1e-3)
+        lift = (F.col(f"{p}_hits") - mean * F.col(f"{p}_all")) / F.sqrt(F.col(f"{p}_squares") * mean * (1 - mean))
+        lifted.append((F.abs(lift) >= MIN_LIFT).alias(p))
+    kept = counts.where("n >= 3").select("f", *lifted).where(" OR ".join(p for p, _ in TARGETS)).toArrow()
+    hashes = kept.column("f").to_numpy()
+    return [np.sort(hashes[kept.column(p).to_numpy()]) for p, _ in TARGETS]
+
+
+def fit(docs: DataFrame, labels: DataFrame | None = None, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> tuple[Scorer, Scorer]:
+    """(quality scorer, toxicity scorer).
+
+    The label models count the votes of all documents. The scorers are fitted on
+    about `sample_rows` distinct documents: first those in `labels` (doc_id,
+    quality 0/1, toxic 0/1). A hand label is one vote more; for abuse such a document
+    counts HAND_WEIGHT times, since the word lists know few languages. Labels without
+    doc_id are ignored, of contradicting ones the worse counts. The driver gets the features that
+    can have a weight and, one scorer after the other, their numbers by document.
+    """
+    sample = staged(learned_from(docs, labels, label_models(docs, text), text, sample_rows), "sample")
+    scorers = []
+    for (p, w), hashes in zip(TARGETS, telling(sample), strict=True):
+        sent = sample.sparkSession.sparkContext.broadcast(hashes)
+
+        def make(sent=sent):
+            def run(batch: pa.RecordBatch) -> list:
+                known, out = sent.value, []
+                for f in batch.column("f"):
+                    f = f.values.to_numpy(zero_copy_only=False)
+                    at = np.searchsorted(known, f)
+                    out.append(at[(at < len(known)) & (np.append(known, -1)[at] == f)].astype(np.int32))
+                return [out]
+
+            return run
+
+        rows = extend(sample, [StructField("numbers", ArrayType(IntegerType()))], make, [p, w]).toArrow()
+        numbers = rows.column("numbers").combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.int32()))
+        row = np.repeat(np.arange(rows.num_rows, dtype=np.int32), np.diff(numbers.offsets.to_numpy()))
+        scorers.append(Scorer().fit(hashes, row, numbers.flatten().to_numpy(), rows.column(p).to_numpy(), rows.column(w).to_numpy()))
+    return scorers[0], scorers[1]
 
 
 def judged(docs: DataFrame, scorers: tuple[Scorer, Scorer], text: str = "text", limit: float = 0.5,
