@@ -96,6 +96,69 @@ def match_path(url: Column, unicode_form: bool = False) -> Column:
     return F.when(F.coalesce(url, F.lit("")) == "", F.lit("")).otherwise(full)
 
 
+#: The parts of a URL reference: scheme, authority, path, query. A backslash counts as a slash.
+REFERENCE = r"(?s)^(?:([a-zA-Z][a-zA-Z0-9+.-]*):)?([/\\\\]{2}[^/\\\\?#]*)?([^?#]*)(\?[^#]*)?"
+#: Printable characters that a path or query may not hold as they are.
+ESCAPED = {" ": "%20", '"': "%22", "<": "%3C", ">": "%3E", "`": "%60", "{": "%7B", "}": "%7D"}
+
+
+def _reference(text: Column) -> Column:
+    """struct<scheme, authority, path, query> of a reference; what is not there is ''."""
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", "")
+    part = lambda t, k: F.regexp_extract(t, REFERENCE, k)
+    return let(bare, lambda t: F.named_struct(
+        F.lit("scheme"), F.lower(part(t, 1)), F.lit("authority"), F.translate(part(t, 2), "\\", "/"),
+        F.lit("path"), F.translate(part(t, 3), "\\", "/"), F.lit("query"), part(t, 4)))
+
+
+def without_dots(path: Column) -> Column:
+    """A path that starts with '/', its `.` and `..` segments carried out; `..` stops at the root."""
+    is_dot = lambda s, *dots: F.replace(F.lower(s), F.lit("%2e"), F.lit(".")).isin(*dots)
+
+    def walked(segments: Column) -> Column:
+        kept = F.aggregate(segments, F.array().cast("array<string>"), lambda done, s: F.when(
+            is_dot(s, ".."), F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(is_dot(s, "."), done).otherwise(
+            F.array_append(done, s)))
+        open_end = F.when(is_dot(F.element_at(segments, -1), ".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+        return F.concat(F.lit("/"), F.array_join(F.concat(kept, open_end), "/"))
+
+    dotted = path.rlike(r"(?i)/(\.|%2e)")
+    return F.when(dotted, let(F.slice(F.split(path, "/"), F.lit(2), F.size(F.split(path, "/"))), walked)).otherwise(path)
+
+
+def escaped(text: Column) -> Column:
+    """A path or query with blanks, quotes, brackets and all that is not printable ASCII as UTF-8 percent escapes."""
+    for char, code in ESCAPED.items():
+        text = F.replace(text, F.lit(char), F.lit(code))
+    pieces = lambda t: F.transform(F.regexp_extract_all(t, F.lit("[!-~]+|[^!-~]+"), F.lit(0)),
+                                   lambda s: F.when(s.rlike("^[!-~]"), s).otherwise(F.url_encode(s)))
+    return let(text, lambda t: F.when(t.rlike("[^!-~]"), F.array_join(pieces(t), "")).otherwise(t))
+
+
+def resolve(base: Column, reference: Column) -> Column:
+    """The absolute http(s) URL, without fragment, that a reference on the page `base` stands for; null for others.
+
+    Paths are merged with the base's and their dot segments carried out; hosts become
+    lower case, default ports go, an empty path becomes '/'. An empty reference is the page itself.
+    Null when the outcome is not http(s) or names no host (`mailto:`, `data:`, a
+    relative reference on a relative base). Host names outside ASCII stay as written.
+    """
+    def joined(b: Column, r: Column) -> Column:
+        own = (r["scheme"] != "") & (r["scheme"] != b["scheme"])
+        placed = own | (r["authority"] != "")
+        scheme = F.when(r["scheme"] != "", r["scheme"]).otherwise(b["scheme"])
+        merged = (F.when(placed | r["path"].startswith("/"), r["path"]).when(r["path"] == "", b["path"])
+                  .otherwise(F.concat(rooted(F.regexp_extract(b["path"], r"(?s)^(.*/)?", 0)), r["path"])))
+        query = F.when(placed | (r["path"] != "") | (r["query"] != ""), r["query"]).otherwise(b["query"])
+        authority = F.substr(F.when(placed, r["authority"]).otherwise(b["authority"]), F.lit(3))
+        user, place = F.regexp_extract(authority, r"^(.*@)?", 0), F.lower(F.regexp_extract(authority, r"([^@]*)$", 1))
+        port = F.when(scheme == "http", F.regexp_replace(place, r":(80)?$", "")).otherwise(F.regexp_replace(place, r":(443)?$", ""))
+        known = scheme.isin("http", "https") & (place != "")
+        return F.when(known, F.concat(scheme, F.lit("://"), user, port, escaped(let(rooted(merged), without_dots)), escaped(query)))
+
+    return let(_reference(base), lambda b: let(_reference(reference), lambda r: joined(b, r)))
+
+
 def crawl_url(url: Column) -> Column:
     """Fragment dropped, host lower-cased, empty path kept as is."""
     bare = strip_fragment(F.trim(url))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fleetlens.functions import url as U
+from fleetlens.functions import html as H, url as U
 from fleetlens.operators.skew import lookup
 from fleetlens.session import staged
 
@@ -127,3 +127,20 @@ def broken_per_page(link_findings: DataFrame, max_broken: int) -> DataFrame:
         link_findings.where(F.col("rule").isin(*BROKEN_RULES)).groupBy("page_url")
         .agg(F.count("*").alias("broken")).where(F.col("broken") > max_broken)
     )
+
+
+def typed_links(pages: DataFrame, *keys: str) -> DataFrame:
+    """(*keys, type, url, raw): the distinct absolute http(s) links of each page by type, each as first written.
+
+    `pages` has `url` and `html`. References are resolved against the page's URL, or
+    against its <base href>. Only references are shuffled, once a page and
+    target; the HTML stays where it is read. A null html has no links; a page without url has
+    those that are absolute.
+    """
+    here = F.coalesce(F.col("url"), F.lit(""))
+    root = H.base_href(F.col("html"))
+    base = F.when(root.isNull(), here).otherwise(F.coalesce(U.resolve(here, root), here))
+    refs = pages.select(*keys, base.alias("base"), F.explode(H.references(F.col("html"))).alias("r"))
+    found = refs.select(*keys, "r.type", U.resolve(F.col("base"), F.col("r.raw")).alias("url"), F.struct("r.at", "r.raw").alias("r"))
+    first = found.where("url IS NOT NULL").groupBy(*keys, "type", "url").agg(F.min("r").alias("r"))
+    return first.select(*keys, "type", "url", "r.raw")

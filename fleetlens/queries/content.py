@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fleetlens.functions import html as H, text as X, url as U
 from fleetlens.operators.findings import by_priority
-from fleetlens.operators import duplicates, findings as FD, links
+from fleetlens.operators import blocks, dom, duplicates, findings as FD, links
 from fleetlens.plans import freshness
 from fleetlens.queries.registry import query, table
 
@@ -198,10 +198,10 @@ def thin_pages(spark: SparkSession, d: str) -> DataFrame:
         "words < thin_words").select("path", "words")
 
 
-@query("block_census", """
+@query("tag_census", """
 SELECT tag, count(*) AS n, count(DISTINCT page_id) AS pages FROM (
   SELECT page_id, lower(unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1))) AS tag FROM pages) GROUP BY tag""")
-def block_census(spark: SparkSession, d: str) -> DataFrame:
+def tag_census(spark: SparkSession, d: str) -> DataFrame:
     found = F.regexp_extract_all("html", F.lit("<([a-zA-Z][a-zA-Z0-9]*)"), F.lit(1))
     per_page = table(spark, d, "pages").select("page_id", F.explode(found).alias("tag")).groupBy(
         F.lower("tag").alias("tag"), "page_id").agg(F.count("*").alias("c"))
@@ -278,3 +278,167 @@ def link_findings(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.col("k") % 10 == 4, "reset").alias("error"),
         F.array_repeat(F.lit("https://hop.test/"), (F.col("k") % 3).cast("int")).alias("chain")).distinct()
     return links.check_links(found.drop("k"), statuses)
+
+
+# Every page gets references of each kind besides its own: up a folder with a query in character references, the query alone, another
+# host without scheme, dot segments, an escape, and some that are no links; every fourth has a <base>.
+EXTRA_LINKS = (
+    """<a class=x href="../up/{n}?a=1&amp;b={n}#x">u</a><a href='?q={k}'>q</a><a HREF=HTTP://WWW.Example.COM:80>w</a><a href="#top">t</a>"""
+    """<a href="mailto:a@b.example">m</a><a href="../../../../x/./y/..">d</a><img src=//cdn{k}.example.org/i.png alt=""><img src="a b.png">"""
+    """<script src="./js/../app.js?v=%7B"></script><link rel="alternate stylesheet" href="css/%2e%2E/s.css"><link rel=icon href="/i.ico">""")
+BASE_TAG = """<base href="/root/dir/index.html?z#f">"""
+
+
+def linked_pages(spark: SparkSession, d: str) -> DataFrame:
+    pid = F.col("page_id")
+    extra = F.lit(EXTRA_LINKS)
+    for name, value in (("{n}", pid), ("{k}", pid % 7)):
+        extra = F.replace(extra, F.lit(name), value.cast("string"))
+    base = F.when(pid % 4 == 0, F.lit(BASE_TAG)).otherwise("")
+    return table(spark, d, "pages").select("page_id", "url", F.concat(base, F.col("html"), extra).alias("html"))
+
+
+_SQL_EXTRA = EXTRA_LINKS.replace("'", "''")
+_ATTR = """regexp_replace(regexp_extract(t, '(?i)(?:^|[\\s"''])NAME\\s*=\\s*("[^"]*"|''[^'']*''|[^\\s"''>]+)', 1), '^["'']|["'']$', '', 'g')"""
+_TAGS = "SELECT page_id, base, '{0}' AS type, unnest(regexp_extract_all(html, '(?i)<{1}\\b([^>]*)>', 1)) AS t, " \
+        "generate_subscripts(regexp_extract_all(html, '(?i)<{1}\\b([^>]*)>', 1), 1) AS nr FROM p"
+
+
+@query("typed_links", """
+WITH p AS (
+  SELECT page_id, CASE WHEN page_id % 4 = 0 THEN regexp_extract(url, '^https?://[^/?#]*') || '/root/dir/index.html?z' ELSE regexp_replace(url, '#.*$', '') END AS base,
+         html || replace(replace('""" + _SQL_EXTRA + """', '{n}', CAST(page_id AS VARCHAR)), '{k}', CAST(page_id % 7 AS VARCHAR)) AS html FROM pages),
+found AS (
+  SELECT page_id, base, type, nr, """ + _ATTR.replace("NAME", "href") + """ AS raw FROM (""" + _TAGS.format("anchor", "a") + """)
+  UNION ALL SELECT page_id, base, type, nr, """ + _ATTR.replace("NAME", "src") + """ FROM (""" + _TAGS.format("image", "img") + """)
+  UNION ALL SELECT page_id, base, type, nr, """ + _ATTR.replace("NAME", "src") + """ FROM (""" + _TAGS.format("script", "script") + """)
+  UNION ALL SELECT page_id, base, type, nr, """ + _ATTR.replace("NAME", "href") + """ FROM (""" + _TAGS.format("stylesheet", "link") + """)
+            WHERE regexp_matches(t, '(?i)rel\\s*=\\s*["'']?[^"''>]*stylesheet')),
+refs AS (
+  SELECT page_id, base, type, nr, replace(raw, '&amp;', '&') AS raw, regexp_replace(replace(raw, '&amp;', '&'), '#.*$', '') AS ref
+  FROM found WHERE raw <> '' AND raw NOT LIKE '#%' AND raw NOT LIKE 'mailto:%'),
+cut AS (
+  SELECT *, regexp_extract(base, '^https?:') AS scheme, regexp_extract(base, '^https?://[^/?#]*') AS site,
+         regexp_extract(base, '^https?://[^/?#]*([^?]*)', 1) AS folder,
+         regexp_extract(ref, '^[^?]*') AS rp, regexp_extract(ref, '\\?.*$') AS rq FROM refs),
+joined AS (
+  SELECT page_id, type, nr, raw, rq,
+         CASE WHEN regexp_matches(rp, '(?i)^https?://') THEN regexp_replace(lower(regexp_extract(rp, '(?i)^https?://[^/]*')), ':80$', '')
+              WHEN rp LIKE '//%' THEN scheme || regexp_extract(rp, '^//[^/]*') ELSE lower(site) END AS origin,
+         CASE WHEN regexp_matches(rp, '(?i)^https?://') THEN regexp_replace(rp, '(?i)^https?://[^/]*', '')
+              WHEN rp LIKE '//%' THEN regexp_replace(rp, '^//[^/]*', '') WHEN rp LIKE '/%' THEN rp WHEN rp = '' THEN folder
+              ELSE regexp_extract(folder, '^(.*/)?') || rp END AS path FROM cut),
+walked AS (
+  SELECT *, list_transform(string_split(regexp_replace(path, '^/', ''), '/'), lambda s: replace(lower(s), '%2e', '.')) AS dots,
+         string_split(regexp_replace(path, '^/', ''), '/') AS segments FROM joined),
+kept AS (
+  SELECT *, list_reduce(list_prepend([]::VARCHAR[], list_transform(segments, lambda s: [s])), lambda done, s:
+    CASE WHEN replace(lower(s[1]), '%2e', '.') = '..' THEN done[1:len(done) - 1] WHEN replace(lower(s[1]), '%2e', '.') = '.' THEN done ELSE done || s END) AS done FROM walked),
+urls AS (
+  SELECT page_id, type, nr, raw, origin || list_aggregate(list_transform(regexp_extract_all(
+    '/' || array_to_string(CASE WHEN dots[-1] IN ('.', '..') THEN list_append(done, '') ELSE done END, '/') || rq, '[!-~]+|[^!-~]+'),
+    lambda s: CASE WHEN regexp_matches(s, '^[!-~]') THEN s ELSE url_encode(s) END), 'string_agg', '') AS url FROM kept)
+SELECT page_id, type, url, arg_min(raw, nr) AS raw FROM urls GROUP BY ALL""")
+def typed_links(spark: SparkSession, d: str) -> DataFrame:
+    return links.typed_links(linked_pages(spark, d), "page_id")
+
+
+# The lines of a supplier, in order, as block markup: openers, closers and whole blocks by quantity, so that some don't fit together.
+BLOCK_LINES = """<!-- wp:image {{"id":{0}}} /-->|<!-- wp:group {{"w":{0}}} -->|<!-- wp:my/columns -->|<!-- /wp:group -->|<!-- /wp:my/columns -->|<!-- wp:group {{w:{0}}} -->|<!-- /wp:group -->"""
+BLOCK_SQL = """
+WITH RECURSIVE texts AS (
+  SELECT l_suppkey AS doc, string_agg(CASE CAST(l_quantity AS INT) % 7 """ + " ".join(
+      f"WHEN {k} THEN " + "'" + line.format("' || l_partkey || '") + "'" for k, line in enumerate(BLOCK_LINES.split("|"))) + """ END,
+    ' <p>text</p> ' ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) AS markup FROM lineitem GROUP BY 1),
+found AS (
+  SELECT doc, unnest(regexp_extract_all(markup, '<!-- [^>]* /?-->')) AS t, generate_subscripts(regexp_extract_all(markup, '<!-- [^>]* /?-->'), 1) AS nr FROM texts),
+tokens AS (
+  SELECT doc, nr, CASE WHEN t LIKE '<!-- /%' THEN -1 WHEN t LIKE '%/-->' THEN 0 ELSE 1 END AS step, regexp_matches(t, '[{]w:') AS bad,
+         CASE WHEN t LIKE '%my/%' THEN 'my/columns' ELSE 'core/' || regexp_extract(t, 'wp:([a-z]+)', 1) END AS name FROM found),
+walk AS (
+  SELECT DISTINCT doc, 0::BIGINT AS nr, []::STRUCT(name VARCHAR, nr BIGINT)[] AS stack, []::STRUCT(name VARCHAR, nr BIGINT)[] AS around, 9 AS step,
+         NULL::VARCHAR AS name, FALSE AS bad FROM texts
+  UNION ALL
+  SELECT t.doc, t.nr, CASE WHEN t.step = 1 THEN list_append(w.stack, {'name': t.name, 'nr': t.nr})
+                           WHEN t.step = -1 THEN w.stack[1:len(w.stack) - 1] ELSE w.stack END, w.stack, t.step, t.name, t.bad
+  FROM walk w JOIN tokens t ON t.doc = w.doc AND t.nr = w.nr + 1)"""
+
+
+def marked_up(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.col("l_quantity").cast("int") % 7
+    line = F.coalesce(*[F.when(kind == k, F.concat(*[x for part in line.format("\0").split("\0") for x in (F.lit(part), F.col("l_partkey").cast("string"))][:-1]))
+                        for k, line in enumerate(BLOCK_LINES.split("|"))])
+    lines = F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", line.alias("line"))))
+    return table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("doc")).agg(
+        F.array_join(F.transform(lines, lambda x: x["line"]), " <p>text</p> ").alias("markup"))
+
+
+@query("block_census", BLOCK_SQL + """
+SELECT name, CAST(len(around) AS INT) AS depth, around[-1].name AS parent, count(*) AS n FROM walk WHERE step IN (0, 1) GROUP BY ALL""")
+def block_census(spark: SparkSession, d: str) -> DataFrame:
+    return blocks.census(blocks.blocks(marked_up(spark, d), "doc"))
+
+
+@query("block_errors", BLOCK_SQL + """
+SELECT doc, nr - 1 AS "at", 'unbalanced_closer' AS rule, name, NULL AS opened FROM walk WHERE step = -1 AND len(around) = 0
+UNION ALL SELECT doc, nr - 1, 'mismatched_closer', name, around[-1].name FROM walk WHERE step = -1 AND around[-1].name <> name
+UNION ALL SELECT doc, nr - 1, 'invalid_attributes', name, NULL FROM walk WHERE bad AND step IN (0, 1)
+UNION ALL SELECT doc, open_.nr - 1, 'unclosed_block', open_.name, NULL
+  FROM (SELECT doc, unnest(arg_max(stack, nr)) AS open_ FROM walk GROUP BY doc)""")
+def block_errors(spark: SparkSession, d: str) -> DataFrame:
+    return blocks.block_errors(marked_up(spark, d), "doc")
+
+
+# Inside the content of every page: headings, an image, links, a form that is stripped and some unclosed elements; every third page has no article.
+CONTENT_EXTRA = """<h2 class="x">Part <i>{k}</i></h2><a href="../n/{n}">next</a><form><h3>Search</h3><a href="/find">find</a></form><img alt="An &amp; image" src="pic {k}.png"><li><h3>Open end <a href="?more">more</a>"""
+CONTENT_META = """<head><meta name="description" content="About {n}"><link rel="canonical" href="/c/{n}">"""
+
+
+def content_pages(spark: SparkSession, d: str) -> DataFrame:
+    pid = F.col("page_id")
+    filled = lambda t: F.replace(F.replace(F.lit(t), F.lit("{n}"), pid.cast("string")), F.lit("{k}"), (pid % 7).cast("string"))
+    html = F.replace(F.replace("html", F.lit("</article>"), F.concat(filled(CONTENT_EXTRA), F.lit("</article>"))), F.lit("<head>"), filled(CONTENT_META))
+    bare = F.replace(F.replace(html, F.lit("<article>"), F.lit('<div id="content"><div>')), F.lit("</article>"), F.lit("</div></div>"))
+    return table(spark, d, "pages").select("page_id", "url", F.when(pid % 3 == 0, bare).otherwise(html).alias("html"))
+
+
+def _decoded(sql: str) -> str:
+    """The replacements that character references take, as SQL."""
+    for entity, char in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#039;", "''"), ("&apos;", "''"), ("&nbsp;", " ")):
+        sql = f"replace({sql}, '{entity}', '{char}')"
+    return sql
+
+
+_FILL = "replace(replace('{0}', '{{n}}', CAST(page_id AS VARCHAR)), '{{k}}', CAST(page_id % 7 AS VARCHAR))"
+
+
+@query("main_content", """
+WITH a AS (
+  SELECT page_id, url, replace(replace(html, '</article>', """ + _FILL.format(CONTENT_EXTRA) + """ || '</article>'), '<head>', """ + _FILL.format(CONTENT_META) + """) AS html FROM pages),
+p AS (
+  SELECT page_id, regexp_extract(url, '^https?://[^/?#]*') AS site, regexp_extract(url, '^https?://[^/?#]*([^?#]*/)?', 0) AS folder,
+         CASE WHEN regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) END AS path,
+         html, CASE WHEN page_id % 3 = 0 THEN 'content' ELSE 'article' END AS selector,
+         regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS body FROM a),
+c AS (
+  SELECT *, regexp_replace(regexp_replace(body, '(?s)<(nav|header|footer|aside)\\b.*?</(nav|header|footer|aside)>', '', 'g'), '(?s)<form>.*?</form>', '', 'g') AS content FROM p),
+cut AS (
+  SELECT *, regexp_extract_all(content, '(?s)<h[1-6][^>]*>.*?</h[1-6]>|<h3>Open.*$') AS hs, regexp_extract_all(content, '<a href="([^"]*)"', 1) AS hrefs,
+         regexp_extract_all(content, '<img[^>]*>') AS imgs FROM c)
+SELECT page_id, replace(trim(regexp_replace(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')), '&nbsp;', ' ') AS title,
+  trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>|&nbsp;', ' ', 'g'), '\\s+', ' ', 'g')) AS h1,
+  'About ' || page_id AS description, '/c/' || page_id AS canonical, selector,
+  array_to_string(list_transform(hs, lambda h: regexp_extract(h, '<(h[1-6])', 1) || ':' || """ + _decoded(r"trim(regexp_replace(regexp_replace(h, '<[^>]*>', '', 'g'), '\s+', ' ', 'g'))") + """), '|') AS headings,
+  array_to_string(list_transform(imgs, lambda i: folder || CASE WHEN folder = site THEN '/' ELSE '' END || replace(regexp_extract(i, 'src="([^"]*)"', 1), ' ', '%20') || ' ' || regexp_extract(i, 'alt="([^"]*)"', 1)), '|') AS images,
+  array_to_string(list_transform(hrefs, lambda h: CASE WHEN h LIKE '../%' THEN site || coalesce(nullif(regexp_extract(regexp_replace(path, '[^/]*$', ''), '^(.*/)[^/]+/$', 1), ''), '/') || substring(h, 4)
+    WHEN h LIKE '?%' THEN site || path || h ELSE h END), '|') AS links,
+  """ + _decoded(
+      r"trim(regexp_replace(regexp_replace(regexp_replace(content, '(?s)<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g'), '\s+', ' ', 'g'))") + """ AS text
+FROM cut""")
+def main_content(spark: SparkSession, d: str) -> DataFrame:
+    found = dom.main_content(content_pages(spark, d), "page_id")
+    return found.select(
+        "page_id", "title", "h1", "description", "canonical", "selector",
+        F.array_join(F.transform("headings", lambda h: F.concat_ws(":", h["tag"], h["text"])), "|").alias("headings"),
+        F.array_join(F.transform("images", lambda i: F.concat_ws(" ", i["src"], i["alt"])), "|").alias("images"),
+        F.array_join("links", "|").alias("links"), "text")
