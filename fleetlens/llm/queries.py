@@ -146,49 +146,68 @@ _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 ORACLE["op5_url_filter"] = (r"""
 WITH RECURSIVE rules(rh, rp, rv) AS (VALUES """ + _RULE_ROWS + r"""),
 pages_cut AS (
-    SELECT page_id, html, CASE WHEN url LIKE '%://%' THEN substring(url, strpos(url, '://') + 3) ELSE '' END AS rest,
+    SELECT page_id, html, url, CASE WHEN url LIKE '%://%' THEN substring(url, strpos(url, '://') + 3) ELSE '' END AS rest,
            url LIKE '%://%' AS named
     FROM pages),
 urls AS (
     SELECT page_id, html, """ + _LOWER.format(r"regexp_extract(rest, '^[^/?#]*')") + r""" AS host,
            regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
            CASE WHEN named THEN """ + _LOWER.format(r"regexp_extract(rest, '^[^/?#]*')") + r"""
-                || regexp_extract(rest, '^[^/?#]*([^#]*)', 1) END AS node
+                || regexp_extract(rest, '^[^/?#]*([^#]*)', 1) END AS plain, url
     FROM pages_cut),
 tags AS (
-    SELECT host, node, regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1) AS target
-    FROM (SELECT host, node, unnest(regexp_extract_all(coalesce(html, ''), '(?i)<link\b[^>]*>')) AS tag FROM urls)
+    SELECT page_id, url, html, regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1) AS target
+    FROM (SELECT page_id, url, html, unnest(regexp_extract_all(coalesce(html, ''), '(?i)<link\b[^>]*>')) AS tag FROM urls)
     WHERE regexp_matches(tag, '(?i)\brel\s*=\s*["'']?[^"''>]*\bcanonical\b')
     UNION ALL
-    SELECT host, node, regexp_extract(tag, '(?i)\burl\s*=\s*["'']?\s*([^"''\s>]+)', 1)
-    FROM (SELECT host, node, unnest(regexp_extract_all(coalesce(html, ''), '(?i)<meta\b[^>]*>')) AS tag FROM urls)
+    SELECT page_id, url, html, regexp_extract(tag, '(?i)\burl\s*=\s*["'']?\s*([^"''\s>]+)', 1)
+    FROM (SELECT page_id, url, html, unnest(regexp_extract_all(coalesce(html, ''), '(?i)<meta\b[^>]*>')) AS tag FROM urls)
     WHERE regexp_matches(tag, '(?i)\bhttp-equiv\s*=\s*["'']?refresh\b')),
-targets AS (
-    SELECT node AS a, CASE WHEN target LIKE '%://%' THEN substring(target, strpos(target, '://') + 3)
-                           WHEN target LIKE '//%' THEN substring(target, 3)
-                           WHEN target LIKE '/%' THEN host || target END AS rest
-    FROM tags WHERE node IS NOT NULL),
-edges AS (
-    SELECT a, """ + _LOWER.format(r"regexp_extract(rest, '^[^/?#]*')") + r""" || regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS b
-    FROM targets WHERE rest IS NOT NULL),
+asked AS (
+    SELECT DISTINCT url, url AS base, '' AS ref, '' AS target FROM urls WHERE plain IS NOT NULL
+    UNION SELECT DISTINCT url, url, replace(replace(target, '&amp;', '&'), '&quot;', '"'), target FROM tags WHERE target <> '' AND url IS NOT NULL),
+cut AS (
+    SELECT url, target, lower(regexp_extract(base, '^([a-zA-Z][a-zA-Z0-9+.-]*):', 1)) AS bs, regexp_extract(base, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(//[^/?#]*)', 1) AS ba,
+           regexp_extract(base, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1) AS bp, regexp_extract(base, '^[^?#]*([?][^#]*)', 1) AS bq,
+           lower(regexp_extract(ref, '^([a-zA-Z][a-zA-Z0-9+.-]*):', 1)) AS rs, regexp_extract(ref, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(//[^/?#]*)', 1) AS ra,
+           regexp_extract(ref, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1) AS rp, regexp_extract(ref, '^[^?#]*([?][^#]*)', 1) AS rq
+    FROM asked),
+joined AS (
+    SELECT url, target, CASE WHEN rs <> '' THEN rs ELSE bs END AS scheme, CASE WHEN ra <> '' OR rs NOT IN ('', bs) THEN ra ELSE ba END AS authority,
+           CASE WHEN ra <> '' OR rs NOT IN ('', bs) OR rp LIKE '/%' THEN rp WHEN rp = '' THEN bp
+                WHEN bp LIKE '%/%' THEN regexp_extract(bp, '^.*/') || rp ELSE '/' || rp END AS path,
+           CASE WHEN ra <> '' OR rs NOT IN ('', bs) OR rp <> '' OR rq <> '' THEN rq ELSE bq END AS query
+    FROM cut),
+walked AS (
+    SELECT *, string_split(regexp_replace(path, '^/', ''), '/') AS segments,
+           list_reduce(list_prepend([]::VARCHAR[], list_transform(string_split(regexp_replace(path, '^/', ''), '/'), lambda s: [s])), lambda done, s:
+               CASE replace(lower(s[1]), '%2e', '.') WHEN '..' THEN done[1:len(done) - 1] WHEN '.' THEN done ELSE done || s END) AS done
+    FROM joined WHERE scheme IN ('http', 'https') AND len(authority) > 2),
+nodes AS (
+    SELECT url, target, regexp_replace(lower(substring(authority, 3)), CASE scheme WHEN 'http' THEN ':(80)?$' ELSE ':(443)?$' END, '')
+           || coalesce(list_aggregate(list_transform(regexp_extract_all(
+               '/' || array_to_string(CASE WHEN replace(lower(segments[-1]), '%2e', '.') IN ('.', '..') THEN list_append(done, '') ELSE done END, '/') || query,
+               '[!#-;=?-_a-z|~]+|[^!#-;=?-_a-z|~]+'), lambda s: CASE WHEN regexp_matches(s, '^[!#-;=?-_a-z|~]') THEN s ELSE replace(url_encode(s), '+', '%20') END), 'string_agg', ''), '') AS node
+    FROM walked),
+named AS (SELECT u.*, coalesce(n.node, u.plain) AS node FROM urls u LEFT JOIN nodes n ON n.url = u.url AND n.target = ''),
+edges AS (SELECT DISTINCT a.node AS a, b.node AS b FROM named a JOIN nodes b ON b.url = a.url AND b.target <> '' WHERE a.node <> b.node),
 both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
 reach AS (
     SELECT a AS node, a AS other FROM both_ways
     UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON e.a = r.other),
 places AS (
-    SELECT DISTINCT node, host, path FROM urls WHERE host <> ''
-    UNION SELECT DISTINCT other, regexp_extract(other, '^[^/?#]*'), regexp_extract(other, '^[^/?#]*([^?#]*)', 1) FROM reach),
+    SELECT DISTINCT other AS node, regexp_extract(other, '^[^/?#]*') AS host, regexp_extract(other, '^[^/?#]*([^?#]*)', 1) AS path FROM reach),
 ruled AS (
     SELECT DISTINCT host, path, first(rh || rp ORDER BY length(rh || rp) DESC, rh || rp) AS rule,
            first(rv ORDER BY length(rh || rp) DESC, rh || rp, rv) AS rv
-    FROM (SELECT DISTINCT host, path FROM places) p
+    FROM (SELECT host, path FROM places UNION SELECT host, path FROM urls WHERE host <> '') p
     JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)
     GROUP BY host, path),
 shared AS (
     SELECT r.node, min(d.rv) AS rv FROM reach r JOIN places p ON p.node = r.other
     JOIN ruled d ON d.host = p.host AND d.path = p.path GROUP BY r.node)
 SELECT u.page_id, u.host, u.path, r.rule, coalesce(r.rv, s.rv, 'allow') AS verdict
-FROM urls u LEFT JOIN ruled r ON r.host = u.host AND r.path = u.path LEFT JOIN shared s ON s.node = u.node
+FROM named u LEFT JOIN ruled r ON r.host = u.host AND r.path = u.path LEFT JOIN shared s ON s.node = u.node
 """)
 
 
@@ -278,7 +297,8 @@ def op13_adaptive_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op13_adaptive_join"] = r"""
 WITH RECURSIVE cut AS (
     SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                                  '[ 	-]+'), lambda w: w <> '') AS w
+                                                  '[ 	-
+]+'), lambda w: w <> '') AS w
     FROM documents),
 grams AS (
     SELECT DISTINCT doc_id, array_to_string(w[p:p + 3], ' ') AS g

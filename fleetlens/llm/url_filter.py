@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from fleetlens.functions.html import base_href, decode_entities
+from fleetlens.functions.url import resolve
 from fleetlens.llm.common import carried, let, lower_ascii, quoted
 from fleetlens.llm.components import components
 from fleetlens.session import staged
@@ -29,9 +31,13 @@ def path_of(url: Column) -> Column:
 
 
 def node_of(url: Column) -> Column:
-    """What a URL names: host in lower case, path and query; scheme and fragment don't count. Null when it names nothing."""
+    """What a URL names: host in lower case, path and query; scheme and fragment don't count. Null when it names nothing.
+
+    Of http(s) URLs all spellings have one name: dot segments are carried out,
+    default ports go, an empty path is `/`, and what is not plain ASCII is escaped.
+    """
     tail = lambda u: F.regexp_extract(_rest(u), r"^[^/?#]*([^#]*)", 1)
-    return let(url, lambda u: F.when(F.instr(u, "://") > 0, F.concat(host_of(u), tail(u))))
+    return let(F.coalesce(resolve(url, F.lit("")), url), lambda u: F.when(F.instr(u, "://") > 0, F.concat(host_of(u), tail(u))))
 
 
 def rule_table(spark: SparkSession, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
@@ -45,8 +51,10 @@ def rule_table(spark: SparkSession, rules: Sequence[tuple[str, str, str]]) -> Da
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(a, b): nodes that a page's canonical link or refresh redirect declares to be the same resource.
 
-    Absolute targets, those without a scheme (//host/path) and those without a host
-    (/path) are resolved; other relative ones are ignored. Pages without url or html give none.
+    Targets are decoded (`&amp;`) and resolved against the page's URL, or against its <base
+    href>: absolute ones, `//host/path`, `/path`, `page`, `../page`, `?query`. What is not http(s)
+    is no link. Pages without url or html give none; very long pages are read whole, and
+    only their targets are handed on.
     """
     body, here = F.coalesce(quoted(html), F.lit("")), quoted(url)
     canonical = F.transform(
@@ -57,11 +65,11 @@ def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
         F.filter(F.regexp_extract_all(body, F.lit(r"(?i)<meta\b[^>]*>"), F.lit(0)),
                  lambda t: t.rlike(r"""(?i)\bhttp-equiv\s*=\s*["']?refresh\b""")),
         lambda t: F.regexp_extract(t, r"""(?i)\burl\s*=\s*["']?\s*([^"'\s>]+)""", 1))
-    found = pages.select(here.alias("url"), F.explode(F.concat(canonical, refresh)).alias("to"))
-    target = (F.when(F.col("to").contains("://"), F.col("to"))
-              .when(F.col("to").startswith("//"), F.concat(F.lit("x:"), F.col("to")))
-              .when(F.col("to").startswith("/"), F.concat(F.lit("x://"), host_of(F.col("url")), F.col("to"))))
-    return found.select(node_of(F.col("url")).alias("a"), node_of(target).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
+    root = base_href(body)
+    base = F.when(root.isNull(), here).otherwise(F.coalesce(resolve(here, root), here))
+    found = pages.where(here.isNotNull()).select(here.alias("url"), base.alias("base"), F.explode(F.concat(canonical, refresh)).alias("to"))
+    found = found.where("to <> ''").select("url", resolve(F.col("base"), decode_entities(F.col("to"))).alias("to")).where("to IS NOT NULL")
+    return found.select(node_of(F.col("url")).alias("a"), node_of(F.col("to")).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:

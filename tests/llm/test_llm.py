@@ -280,14 +280,19 @@ def test_url_verdicts(spark, tmp_path):
         (4, "https://alias.org/", '<META http-equiv=refresh content="0; URL=https://example.org/q#frag">'),
         (5, "https://far.org/z", link.format("/y")), (6, "https://far.org/y", link.format("//alias.org/")),
         (7, "http://ok.org/1", link.format("http://x.com/p")), (8, "http://both.org/1", link.format("http://ok.org/1") + link.format("http://q.net/es/")),
-        (9, None, None), (10, "no scheme", "<link>"), (11, "http://x.com", ""), (12, "http://notexample.com/en/", ""), (12, "http://notexample.com/en/", "")]
+        (9, None, None), (10, "no scheme", "<link>"), (11, "http://x.com", ""), (12, "http://notexample.com/en/", ""), (12, "http://notexample.com/en/", ""),
+        # Aliases of a blocked page by references of all kinds.
+        (20, "http://rel.org/a/b", link.format("http://x.net/es/1")), (21, "http://rel.org/a/c?d", link.format("b")), (22, "http://rel.org/a/d/e", link.format("../b")),
+        (23, "http://rel.org/a/b?id=2", link.format("?id=1&amp;k=2")), (24, "http://REL.org:80/a/./b?id=1&k=2", link.format("./b")),
+        (25, "http://rel.org/f", link.format("/a/%2E/b")), (26, "http://rel.org/g", link.format("mailto:a@rel.org")), (27, "http://rel.org/é h", link.format("/a/b")),
+        (28, "http://rel.org/%C3%A9%20h", ""), (29, "http://rel.org", link.format("a/b"))]
     df = spark.createDataFrame([(*p, "r", "v") for p in pages], "page_id long, url string, html string, rule string, verdict string")
     out = url_filter.url_verdicts(df, url_filter.rule_table(spark, RULES), url_filter.page_links(df))
     got = {r.page_id: (r.rule, r.verdict) for r in out.collect()}
     assert out.count() == len(pages)
     assert got == {1: ("www.example.com/en/", "allow"), 2: ("example.com/en/", "block"), 3: (None, "block"), 4: (None, "block"),
                    5: (None, "block"), 6: (None, "block"), 7: (None, "allow"), 8: (None, "allow"), 9: (None, "allow"), 10: (None, "allow"),
-                   11: (None, "allow"), 12: ("com/", "allow")}
+                   11: (None, "allow"), 12: ("com/", "allow"), 26: (None, "allow"), **{k: (None, "block") for k in (*range(20, 26), 27, 28, 29)}}
     none = url_filter.url_verdicts(df.limit(0), url_filter.rule_table(spark, []), url_filter.page_links(df.limit(0)))
     assert none.collect() == []
     # The SQL twin sees the same.
