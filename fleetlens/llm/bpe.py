@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import gc
-from functools import lru_cache
 from heapq import heappop, heappush
 from itertools import chain
 
@@ -14,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField
 
-from fleetlens.llm.common import extend, read_file
+from fleetlens.llm.common import extend, held, read_file
 
 #: Pre-tokens a worker remembers at most, in two generations: when the younger one is full, the older one goes.
 MEMO = 800_000
@@ -22,7 +21,8 @@ MEMO = 800_000
 MARKS = 1 << 24
 #: Longer pre-tokens are encoded anew each time instead of being remembered.
 MEMO_CHARS = 64
-
+#: What a worker keeps goes by this name.
+HOLDS = "bpe"
 
 BITS = [1 << i for i in range(256)]
 
@@ -156,7 +156,6 @@ class Memo(dict):
         return ids
 
 
-@lru_cache(maxsize=2)
 def codec(table: bytes, pattern: str) -> Codec:
     """One codec per Python worker: the tasks that a worker runs in turn share what it remembers.
 
@@ -164,7 +163,7 @@ def codec(table: bytes, pattern: str) -> Codec:
     over and over, so it is called less often.
     """
     gc.set_threshold(100_000, 50, 100)
-    return Codec(table, pattern)
+    return held(HOLDS, (table, pattern), lambda: Codec(table, pattern))
 
 
 def _table(docs: DataFrame, path: str):
@@ -197,7 +196,7 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids
 
         return encode
 
-    return extend(docs, [StructField(ids, ArrayType(IntegerType()))], make, keep)
+    return extend(docs, [StructField(ids, ArrayType(IntegerType()))], make, keep, holds=HOLDS)
 
 
 def bpe_count(docs: DataFrame, path: str, pattern: str, text: str = "text", count: str = "n_tokens",
@@ -211,7 +210,7 @@ def bpe_count(docs: DataFrame, path: str, pattern: str, text: str = "text", coun
         own = codec(table.value, pattern)
         return lambda batch: [[own.count(value.as_py()) for value in batch.column(text)]]
 
-    return extend(docs, [StructField(count, LongType())], make, keep)
+    return extend(docs, [StructField(count, LongType())], make, keep, holds=HOLDS)
 
 
 def bpe_decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "decoded", keep: list[str] | None = None) -> DataFrame:
@@ -232,4 +231,4 @@ def bpe_decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "decoded
 
         return decode
 
-    return extend(rows, [StructField(out, BinaryType())], make, keep)
+    return extend(rows, [StructField(out, BinaryType())], make, keep, holds=HOLDS)

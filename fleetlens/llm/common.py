@@ -57,9 +57,31 @@ def two_way_join(rows: DataFrame, dim: DataFrame, keys: list[str], weight: str)
     return near.unionByName(rest)
 
 
+#: What a Python worker keeps from task to task, by the name of the operator that made it.
+HELD: dict[str, object] = {}
+
+
+def held(name: str, key: object, build: Callable[[], object]) -> object:
+    """`build()`, kept for later tasks of the same worker as long as it works for operators that hold `name`."""
+    if HELD.get(name, (None,))[0] != key:
+        HELD[name] = (key, build())
+    return HELD[name][1]
+
+
+def let_go(but: str | None) -> None:
+    """Drops what operators other than `but` have kept in this worker."""
+    for name in [n for n in HELD if n != but]:
+        del HELD[name]
+
+
 def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-             fields: list[StructField]) -> DataFrame:
-    return df.mapInArrow(fn, StructType(fields))
+             fields: list[StructField], holds: str | None = None) -> DataFrame:
+    """`fn` over the batches of each task; a worker that turns to it lets go of what operators other than `holds` have kept."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(holds)
+        yield from fn(batches)
+
+    return df.mapInArrow(run, StructType(fields))
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
@@ -76,7 +98,7 @@ def read_file(path: str) -> bytes:
 
 
 def extend(df: DataFrame, new: list[StructField], make: Callable[[], Callable[[pa.RecordBatch], list]],
-           keep: list[str] | None = None, rows: int = 256) -> DataFrame:
+           keep: list[str] | None = None, rows: int = 256, holds: str | None = None) -> DataFrame:
     """`df` with new columns computed in Arrow batches of at most `rows` rows.
 
     `make` runs once per task and returns a function from a batch to the arrays
@@ -97,4 +119,4 @@ def extend(df: DataFrame, new: list[StructField], make: Callable[[], Callable[[p
             made = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(fn(batch), types, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + made, [f.name for f in fields])
 
-    return map_rows(df, run, fields)
+    return map_rows(df, run, fields, holds)

@@ -166,7 +166,7 @@ def _hash(name: str) -> int:
     return xxhash.xxh3_64_intdigest(name) >> 16
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=50_000)
 def _word_hashes(word: str) -> tuple[int, ...]:
     return tuple(_hash(x) for x in (word, f"\x01{word[:4]}", f"\x02{word[:6]}"))
 
@@ -216,7 +216,7 @@ def features(words: list[str], m: dict[str, float]) -> np.ndarray:
 class Weighty(dict):
     """For each word asked for, its features that have a weight: (hash of the word or 0, hashes of its beginnings)."""
 
-    LIMIT = 500_000
+    LIMIT = 300_000
 
     def __init__(self, weighted: set[int]) -> None:
         super().__init__()

@@ -56,3 +56,22 @@ def test_capitals_in_any_script():
     for body in ("", "abc", "ABC def", "ÄÖü straße ΑΒγ 日本 Ǆ", "1 2 !"):
         want = sum(map(str.isupper, body)) / max(sum(map(str.isalpha, body)), 1)
         assert weak_labels.capitals(body, body.encode()) == want
+
+
+def test_workers_hold_one_operators_memory(spark):
+    from fleetlens.llm import common
+    from pyspark.sql.types import LongType, StructField
+
+    def built(name):
+        def make():
+            own = common.held(name, 1, lambda: [0]) if name else [0]
+
+            def run(batch):
+                own[0] += 1
+                return [[own[0] + 1000 * len(common.HELD)] * batch.num_rows]
+            return run
+        return common.extend(spark.range(1).coalesce(1), [StructField("n", LongType())], make, holds=name).first()["n"]
+
+    spark.range(8).repartition(8).mapInArrow(lambda b: b, "id long").count()
+    seen = [built("a") // 1000, built(None) // 1000, built("b") // 1000]
+    assert seen == [1, 0, 1]
