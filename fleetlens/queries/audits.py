@@ -200,14 +200,14 @@ p AS (SELECT p_brand AS project, 'npm' AS type, 'pkg' || p_partkey AS package, p
    p_size % 5 AS ma, p_partkey % 10 AS mi, p_size % 5 + CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS la, p_partkey % 10 + CASE WHEN p_partkey % 4 = 0 THEN 3 ELSE 0 END AS li FROM part),
 v AS (SELECT *, CASE WHEN k % 12 = 0 THEN NULL WHEN k % 12 = 1 THEN 'dev-main' ELSE 'v' || ma || '.' || mi || '.3-beta' END AS current, CASE WHEN nolat THEN NULL ELSE 'v' || la || '.' || li || '.3-beta' END AS latest,
    CASE WHEN badcur OR nolat THEN 'unknown' WHEN la > ma THEN 'major' WHEN li > mi THEN 'minor' ELSE 'none' END AS jump FROM p),
-adv AS (SELECT 'pkg' || l_partkey AS package, l_suppkey % 4 = 0 AS open, l_linenumber AS b FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-06-01'),
+adv AS (SELECT 'pkg' || l_partkey AS package, l_suppkey % 4 = 0 AS open, l_linenumber AS b FROM lineitem),
 vc AS (SELECT v.*, (SELECT count(*) FROM adv a WHERE a.package = v.package AND (a.open OR v.nocur OR (NOT v.badcur AND (v.ma < a.b OR (v.ma = a.b AND FALSE))))) AS advisories FROM v),
 cl AS (SELECT *, advisories > 0 AS security, CASE WHEN advisories > 0 THEN 'security' WHEN jump = 'unknown' THEN 'minor' WHEN jump <> 'none' THEN jump END AS severity FROM vc)
 """
 
 
 def advisories(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").where("l_shipdate >= timestamp_ntz'1998-06-01'").select(
+    return table(spark, d, "lineitem").select(
         F.concat(F.lit("pkg"), "l_partkey").alias("package"),
         F.when(F.col("l_suppkey") % 4 != 0, F.concat("l_linenumber", F.lit(".0"))).alias("affected_below"))
 
@@ -312,7 +312,7 @@ def media_files(spark: SparkSession, d: str) -> DataFrame:
 
 def media_refs(spark: SparkSession, d: str) -> DataFrame:
     k, o = F.col("l_partkey"), F.col("l_orderkey")
-    return table(spark, d, "lineitem").where("l_shipdate >= timestamp_ntz'1998-08-01'").select(
+    return table(spark, d, "lineitem").select(
         (o * 10 + F.col("l_linenumber")).alias("ref_id"),
         F.concat(F.lit("20"), (k + F.when(o % 3 == 0, 1).otherwise(0)) % 20 + 10, F.lit("/img"), k, F.when(o % 5 == 0, "-200x100").otherwise(""), F.lit(".jpg")).alias("path"))
 
@@ -322,11 +322,12 @@ files AS (SELECT path, lower(path) AS low, lower(regexp_extract(path, '[^/]*$'))
   SELECT '20' || (p_partkey % 20 + 10) || '/' || CASE WHEN p_partkey % 9 = 0 THEN 'Img' ELSE 'img' END || (p_partkey - p_partkey % 4) ||
     CASE WHEN p_partkey % 4 = 0 THEN '' ELSE '-' || p_partkey % 4 || '00x100' END || '.jpg' AS path FROM part)),
 refs AS (SELECT DISTINCT '20' || ((l_partkey + CASE WHEN l_orderkey % 3 = 0 THEN 1 ELSE 0 END) % 20 + 10) || '/img' || l_partkey || CASE WHEN l_orderkey % 5 = 0 THEN '-200x100' ELSE '' END || '.jpg' AS path
-  FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-08-01'),
+  FROM lineitem),
 casc AS (SELECT r.path, e.path AS exact, (SELECT max(f.path) FROM files f WHERE f.low = lower(r.path)) AS other, (SELECT count(*) FROM files f WHERE f.name = lower(regexp_extract(r.path, '[^/]*$'))) AS copies
   FROM refs r LEFT JOIN files e ON e.path = r.path),
 st AS (SELECT *, CASE WHEN exact IS NOT NULL THEN 'exact' WHEN other IS NOT NULL THEN 'case' WHEN copies > 0 THEN 'name' ELSE 'missing' END AS step FROM casc),
-used AS (SELECT DISTINCT f.parent FROM files f JOIN st ON (step = 'exact' AND f.path = exact) OR (step = 'case' AND f.path = other) OR (step = 'name' AND f.name = lower(regexp_extract(st.path, '[^/]*$'))))
+used AS (SELECT f.parent FROM files f JOIN st ON step = 'exact' AND f.path = exact UNION SELECT f.parent FROM files f JOIN st ON step = 'case' AND f.path = other
+  UNION SELECT f.parent FROM files f JOIN st ON step = 'name' AND f.name = lower(regexp_extract(st.path, '[^/]*$')))
 """
 
 

@@ -10,7 +10,6 @@ from fleetlens.operators import blocks, dom, duplicates, findings as FD, links
 from fleetlens.plans import freshness
 from fleetlens.queries.registry import query, table
 
-MODULUS = 7
 
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
@@ -27,7 +26,7 @@ def pages(spark: SparkSession, d: str) -> DataFrame:
             F.date_format(F.date_add(F.lit("2023-01-01").cast("date"), (pid % 700).cast("int")), "yyyy-MM-dd")).alias("date"),
         F.when(pid % 9 == 0, F.array().cast("array<string>")).otherwise(F.array(level(1), level(4), level(16))).alias("headings"),
         F.col("html").alias("content"),
-        F.array(F.concat(F.lit("/p/"), (pid * MODULUS) % 97), F.concat(F.lit("https://site.test/p/"), pid, F.lit("#top"))).alias("links"),
+        F.array(F.concat(F.lit("/p/"), F.floor(pid * 7 / 10)), F.concat(F.lit("https://site.test/p/"), pid, F.lit("#top"))).alias("links"),
         F.lit("").alias("slug"), pid.alias("page_id"),
     )
 
@@ -52,7 +51,7 @@ pg AS (SELECT *, CASE WHEN bare = '' THEN 0 ELSE len(string_split(bare, ' ')) EN
   CASE WHEN regexp_matches(path, '^/p/\\d$') THEN 5 ELSE 60 END AS thin,
   (epoch_ms(TIMESTAMP '2024-06-01 12:00:00') - epoch_ms(CAST(date AS TIMESTAMP))) / 86400000.0 AS age
   FROM raw WHERE NOT regexp_matches(path, '5$')),
-edges AS (SELECT DISTINCT src, dst FROM (SELECT path AS src, '/p/' || (pid * 7) % 97 AS dst FROM pg) WHERE src <> dst AND dst IN (SELECT path FROM pg)),
+edges AS (SELECT DISTINCT src, dst FROM (SELECT path AS src, '/p/' || (pid * 7) // 10 AS dst FROM pg) WHERE src <> dst AND dst IN (SELECT path FROM pg)),
 found AS (
   SELECT path, 'unknown_date' AS rule, 10 AS score FROM pg WHERE age IS NULL
   UNION ALL SELECT path, 'stale_content', 50 FROM pg WHERE age > fresh
@@ -132,7 +131,7 @@ def inbound_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("link_adjacency", """
-SELECT DISTINCT '/p/' || page_id AS src, '/p/' || (page_id * 7) % 97 AS dst FROM pages WHERE page_id <> (page_id * 7) % 97""")
+SELECT DISTINCT '/p/' || page_id AS src, '/p/' || (page_id * 7) // 10 AS dst FROM pages WHERE page_id <> (page_id * 7) // 10""")
 def link_adjacency(spark: SparkSession, d: str) -> DataFrame:
     return links.adjacency(pages(spark, d), F.col("link").rlike("^(/|https://site.test)"))
 
@@ -231,12 +230,12 @@ def host_domain(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("frontier_next", """
-WITH f AS (SELECT 'https://site.test/p/' || (page_id * 7) % 997 AS url, 1 + page_id % 3 AS depth FROM pages),
+WITH f AS (SELECT 'https://site.test/p/' || (page_id * 7) // 10 AS url, 1 + page_id % 3 AS depth FROM pages),
 seen AS (SELECT 'https://site.test/p/' || page_id AS url FROM pages WHERE page_id % 2 = 0)
 SELECT url, min(depth) AS depth FROM f WHERE depth <= 2 AND url NOT IN (SELECT url FROM seen) AND NOT starts_with(url, 'https://site.test/p/9') GROUP BY 1""")
 def frontier_next(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "pages")
-    found = p.select(F.concat(F.lit("https://SITE.test/p/"), (F.col("page_id") * 7) % 997, F.lit("#x")).alias("url"),
+    found = p.select(F.concat(F.lit("https://SITE.test/p/"), F.floor(F.col("page_id") * 7 / 10), F.lit("#x")).alias("url"),
                      (F.col("page_id") % 3).alias("depth"))
     seen = p.where("page_id % 2 = 0").select(F.concat(F.lit("https://site.test/p/"), "page_id").alias("url"))
     ok = links.admitted(F.col("url"), ["https://site.test"], ["/p/"], ["session"], ["/p/9"])

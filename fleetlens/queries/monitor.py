@@ -55,7 +55,7 @@ HOUR = 3_600_000
 
 @query("alert_suppress", f"""
 WITH RECURSIVE alerts AS (
-  SELECT user_id || '|' || event_type AS key, epoch_us(ts) // 1000 AS ts, event_id FROM events WHERE event_type IN ('error', 'view')),
+  SELECT user_id || '|' || event_type AS key, epoch_us(ts) // 1000 AS ts, event_id FROM events),
 fired AS (
   SELECT key, min(ts) AS ts FROM alerts GROUP BY key
   UNION ALL
@@ -65,8 +65,7 @@ fired AS (
 SELECT a.key, a.ts, a.event_id, f.key IS NOT NULL AS fired
 FROM alerts a LEFT JOIN fired f ON a.key = f.key AND a.ts = f.ts""")
 def alert_suppress(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").where(F.col("event_type").isin("error", "view"))
-    alerts = e.select(
+    alerts = table(spark, d, "events").select(
         F.concat_ws("|", "user_id", "event_type").alias("key"),
         F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"), "event_id",
     )

@@ -35,7 +35,7 @@ def run_folder(spark: SparkSession) -> str:
 
 @query("stream_alerts", f"""
 WITH RECURSIVE alerts AS (
-  SELECT user_id || '|' || event_type AS key, epoch_us(ts) // 1000 AS ts FROM events WHERE event_type IN ('error', 'view')),
+  SELECT user_id || '|' || event_type AS key, epoch_us(ts) // 1000 AS ts FROM events),
 fired AS (
   SELECT key, min(ts) AS ts FROM alerts GROUP BY key
   UNION ALL
@@ -44,7 +44,7 @@ fired AS (
   WHERE ts IS NOT NULL)
 SELECT a.key, a.ts, f.key IS NOT NULL AS fired FROM alerts a LEFT JOIN fired f ON a.key = f.key AND a.ts = f.ts""")
 def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
-    alerts = event_stream(spark, d).where(F.col("event_type").isin("error", "view")).select(
+    alerts = event_stream(spark, d).select(
         F.concat_ws("|", "user_id", "event_type").alias("key"), F.unix_millis("event_time").alias("ts"))
     root = run_folder(spark)
     S.suppress_alerts(alerts, 6 * HOUR, root).awaitTermination()
