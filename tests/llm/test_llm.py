@@ -321,11 +321,9 @@ def test_wrapper_learns_template():
     body = ("<div class=top><p>Welcome to our site</p></div><div class=x><div><p>Text {0} about thing {0}, long enough to be the content."
             "<p>More {0} words here</div></div><div class=y><span>All rights of everyone</span></div>")
     pages = [f"<html><body>{body.format(i)}</body></html>" for i in range(6)]
-    held = None
-    for page in pages:
-        held = wrapper.grown(held, wrapper.slots(wrapper.parse(page)))
+    held = wrapper.Template([wrapper.slots(wrapper.parse(page)) for page in pages])
     constant, slot = wrapper.wrapper_of(held)
-    assert wrapper.main_text(pages[2], set(constant), slot) == "Text 2 about thing 2, long enough to be the content.\nMore 2 words here"
+    assert wrapper.main_text(pages[2], set(constant), slot, held.wrapper) == "Text 2 about thing 2, long enough to be the content.\nMore 2 words here"
     assert slot.startswith("html/body/div.x")
 
 
@@ -362,11 +360,9 @@ def test_names_never_take_the_article():
     assert wrapper.main_text(page.format("<main>A<div class=comments-area><article>c</article></div></main>"), set(), "") == "A"
     # The host's content slot has a name that speaks against it.
     pages = [page.format(f"<div class=top>Welcome</div><div class='story-page widget'>{'text of page ' + str(i) * 200}</div>") for i in range(4)]
-    held = None
-    for x in pages:
-        held = wrapper.grown(held, wrapper.slots(wrapper.parse(x)))
+    held = wrapper.Template([wrapper.slots(wrapper.parse(x)) for x in pages])
     constant, slot = wrapper.wrapper_of(held)
-    assert wrapper.main_text(pages[1], set(constant), slot) == "text of page " + "1" * 200
+    assert wrapper.main_text(pages[1], set(constant), slot, held.wrapper) == "text of page " + "1" * 200
 
 
 def test_one_odd_page_does_not_save_the_boilerplate(spark):
@@ -379,13 +375,11 @@ def test_one_odd_page_does_not_save_the_boilerplate(spark):
         got = {r.page_id: r.text for r in wrapper.main_texts(rows).collect()}
         assert got == {i: f"Text {i} is long enough to be the content." for i in range(40)}
     for host in range(2):
-        held = None
-        for _, url, html in pages[host::2]:
-            held = wrapper.grown(held, wrapper.slots(wrapper.parse(html)))
+        held = wrapper.Template([wrapper.slots(wrapper.parse(html)) for _, url, html in pages[host::2]])
         constant, slot = wrapper.wrapper_of(held)
         learned = {r.host: r for r in wrapper.wrappers(df.selectExpr("split(url, '/')[2] AS _llm_host", "html")).collect()}[f"h{host}.org"]
         assert (set(learned.constant), learned.slot, learned.pages) == (set(constant), slot, 20)
-        assert wrapper.key_of("#root/html/body/div.top", wrapper.slots(wrapper.parse(pages[host][2])).children[0].children[0].children[0].text) in constant
+        assert wrapper.key_of(wrapper.hash_of("#root/html/body/div.top"), wrapper.slots(wrapper.parse(pages[host][2])).children[0].children[0].children[0].text) in constant
 
 
 def test_main_texts_odd(spark):
