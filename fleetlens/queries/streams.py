@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from fleetlens.queries.monitor import HOUR, PROBES
 from fleetlens.queries.registry import query, table
 from fleetlens.session import run_root
-from fleetlens.streaming import monitor as S
+from fleetlens.streaming import committed as C, monitor as S
 
 
 SLICES = 3
@@ -87,3 +87,64 @@ def stream_once_per_url(spark: SparkSession, d: str) -> DataFrame:
     (S.once_per_url(records, "60 days").select("url").writeStream.format("parquet").option("path", f"{root}/out")
      .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination())
     return spark.read.schema("url string").parquet(f"{root}/out").agg(F.count("*").alias("urls"))
+
+
+# --- exactly-once tables ------------------------------------------------------------------
+
+GAP = 6 * 3600
+
+
+def _latency(spark: SparkSession, d: str) -> str:
+    requests = event_stream(spark, d).select(F.concat(F.lit("host"), "user_id").alias("host"), "event_time", F.col("value").alias("ms"), (F.col("event_type") == "error").alias("failed"))
+    root = run_folder(spark)
+    C.latency_stream(requests, root, length="1 day", gap=GAP).awaitTermination()
+    return root
+
+
+@query("stream_latency", """
+SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, 'host' || user_id AS host, count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors,
+  round(count(*) FILTER (event_type = 'error') * 100.0 / count(*), 3) AS error_pct, quantile_disc(value, 0.95) AS p95
+FROM events GROUP BY 1, 2""")
+def stream_latency(spark: SparkSession, d: str) -> DataFrame:
+    """p95 equals the SQL while a host has 400 requests a day or fewer; beyond that it is within the sketch's rank error."""
+    return C.latency(spark, _latency(spark, d)).select(
+        F.date_format("window_start", "yyyy-MM-dd").alias("day"), "host", "requests", "errors",
+        F.round(F.col("errors") * 100.0 / F.col("requests"), 3).cast("double").alias("error_pct"), "p95")
+
+
+@query("stream_sessions", f"""
+WITH e AS (SELECT user_id, epoch_us(ts) AS t, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS since, event_id FROM events),
+s AS (SELECT *, sum(CASE WHEN since < {GAP * 1_000_000} THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY t, event_id) AS number FROM e)
+SELECT 'host' || user_id AS host, min(t) AS start, max(t) AS "end", count(*) AS requests FROM s GROUP BY user_id, number""")
+def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
+    return C.sessions(spark, _latency(spark, d), GAP)
+
+
+RUNS = """
+run AS (SELECT r, p_brand AS project, 'pkg' || p_partkey AS package, 'v' || (p_size + CASE WHEN p_partkey % 5 < r THEN 1 ELSE 0 END) AS latest, p_partkey % 11 = r AS security
+  FROM part, (SELECT unnest([0, 1, 2]) AS r) WHERE (p_partkey + r) % 7 <> 0)"""
+
+
+def _runs(spark: SparkSession, d: str) -> str:
+    """Three runs over all parts, one after the other, each read by the same stream as a cron job would."""
+    k = F.col("p_partkey")
+    root, source = run_folder(spark), os.path.join(run_root(spark), f"runs-{uuid.uuid4().hex}")
+    for r in range(SLICES):
+        table(spark, d, "part").where((k + r) % 7 != 0).select(
+            F.lit(f"run{r}").alias("run"), F.col("p_brand").alias("project"), F.lit("npm").alias("type"), F.concat(F.lit("pkg"), k).alias("package"),
+            F.concat(F.lit("v"), F.col("p_size") + F.when(k % 5 < r, 1).otherwise(0)).alias("latest"), (k % 11 == r).alias("security")).write.mode("append").parquet(source)
+        C.run_history(spark.readStream.schema(C.RUN).parquet(source), root).awaitTermination()
+    return root
+
+
+@query("stream_history", f"WITH {RUNS} SELECT 'run' || r AS run, project, package, latest, security FROM run")
+def stream_history(spark: SparkSession, d: str) -> DataFrame:
+    return C.committed(spark, _runs(spark, d), "runs", C.RUN).select("run", "project", "package", "latest", "security")
+
+
+@query("stream_new_since", f"""
+WITH {RUNS}
+SELECT 'run' || n.r AS run, n.project, n.package, n.latest FROM run n LEFT JOIN run b ON b.r = n.r - 1 AND b.project = n.project AND b.package = n.package
+WHERE b.package IS NULL OR b.latest <> n.latest OR (n.security AND NOT b.security)""")
+def stream_new_since(spark: SparkSession, d: str) -> DataFrame:
+    return C.committed(spark, _runs(spark, d), "new", C.RUN).select("run", "project", "package", "latest")
