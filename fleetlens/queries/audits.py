@@ -301,6 +301,24 @@ def inventory_counts(spark: SparkSession, d: str) -> DataFrame:
     return packages.inventory_counts(inventory(spark, d))
 
 
+# --- nested records -----------------------------------------------------------------------
+
+DEPTH = 50
+
+
+@query("redact_nested", r"""
+SELECT c_custkey AS id, repeat('{"n": [', 50) || '{"api_token": "[REDACTED]", "name": "' || c_name || '", "note": "see https://bob:[REDACTED]@h.test/' || c_custkey ||
+  '", "Secret": {"count": ' || c_custkey || ', "pwd": "[REDACTED]"}, "list": ["\"token\": \"kept\"", {"auth": ["plain", 1]}, "[REDACTED] and [REDACTED]"], ' ||
+  '"password": "[REDACTED]", "password": "[REDACTED]", "k\u0065y": "[REDACTED]", "note2": null}' || repeat(']}', 50) AS record FROM customer""")
+def redact_nested(spark: SparkSession, d: str) -> DataFrame:
+    """A record per customer, fifty levels deep, with arrays, repeated and escaped names, and quotes within strings."""
+    k = F.col("c_custkey").cast("string")
+    record = F.concat(
+        F.lit('{"n": [' * DEPTH + '{"api_token": "t-'), k, F.lit('", "name": "'), "c_name", F.lit('", "note": "see https://bob:hunter2@h.test/'), k, F.lit('", "Secret": {"count": '), k,
+        F.lit(', "pwd": "p\\"w"}, "list": ["\\"token\\": \\"kept\\"", {"auth": ["plain", 1]}, "s3cr3t-value and tok/en"], "password": "a", "password": "b\\\\", "k\\u0065y": "x", "note2": null}' + "]}" * DEPTH))
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), M.redact_json(record, ["s3cr3t-value", "tok/en", "x"]).alias("record"))
+
+
 # --- media --------------------------------------------------------------------------------
 
 def media_files(spark: SparkSession, d: str) -> DataFrame:
