@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlens.operators.skew import lookup
+from fleetlens.operators.strong import condensed_levels
 
 
 def row_counts(named: dict[str, DataFrame]) -> DataFrame:
@@ -107,3 +108,43 @@ def conversion_ddl(levels: DataFrame, charset: str = "utf8mb4", collation: str =
     return levels.select(
         F.coalesce("level", F.lit(2 ** 31)).alias("step"), F.col("node").alias("tbl"),
         F.concat(F.lit("ALTER TABLE `"), "node", F.lit(f"` CONVERT TO CHARACTER SET {charset} COLLATE {collation};")).alias("statement"))
+
+
+def conversion_plan(
+    tables: DataFrame, columns: DataFrame, foreign_keys: DataFrame, charset: str = "utf8mb4", collation: str = "utf8mb4_unicode_ci",
+) -> DataFrame:
+    """(step, unit, n_tables, tbl, statement): the tables off the target charset in the order of their foreign keys.
+
+    A table follows the tables that its foreign keys (tbl, ref_tbl) name. Tables that
+    refer to each other in a ring are one unit, called after its smallest table, and
+    convert in one step; n_tables is the unit's size. Keys to tables that need no
+    conversion, to unknown tables and to the table itself make no order.
+    """
+    todo = tables_to_convert(tables, columns, charset).select(F.col("tbl").alias("node"))
+    keys = foreign_keys.select(F.col("ref_tbl").alias("src"), F.col("tbl").alias("dst"))
+    levels = condensed_levels(todo, keys).select(F.col("level").alias("step"), F.col("component").alias("unit"), F.col("node").alias("tbl"))
+    sizes = levels.groupBy("unit").agg(F.count("*").alias("n_tables"))
+    name = F.replace("tbl", F.lit("`"), F.lit("``"))
+    return levels.join(sizes, "unit").select(
+        "step", "unit", "n_tables", "tbl",
+        F.concat(F.lit("ALTER TABLE `"), name, F.lit(f"` CONVERT TO CHARACTER SET {charset} COLLATE {collation}")).alias("statement"))
+
+
+def conversion_script(plan: DataFrame, databases: DataFrame | None = None, charset: str = "utf8mb4", collation: str = "utf8mb4_unicode_ci") -> DataFrame:
+    """(phase, step, unit, tbl, statement) to be run in the order of the first four columns.
+
+    Key checks go off (phase 0), databases (name, charset) off the target get it as
+    their default (1), tables convert (2), key checks come back (3). The checks are
+    left alone when no table converts.
+    """
+    none, zero = F.lit("").alias("unit"), F.lit(0).cast("bigint").alias("step")
+    some = plan.limit(1)
+    switch = lambda phase, on: some.select(
+        F.lit(phase).alias("phase"), zero, none, F.lit("").alias("tbl"), F.lit(f"SET FOREIGN_KEY_CHECKS={on}").alias("statement"))
+    out = plan.select(F.lit(2).alias("phase"), "step", "unit", "tbl", "statement").unionByName(switch(0, 0)).unionByName(switch(3, 1))
+    if databases is None:
+        return out
+    name = F.replace("name", F.lit("`"), F.lit("``"))
+    return out.unionByName(databases.where(_wrong(F.col("charset"), charset)).select(
+        F.lit(1).alias("phase"), zero, none, F.col("name").alias("tbl"),
+        F.concat(F.lit("ALTER DATABASE `"), name, F.lit(f"` CHARACTER SET {charset} COLLATE {collation}")).alias("statement")))

@@ -153,6 +153,38 @@ def findings_by_table(spark: SparkSession, d: str) -> DataFrame:
         "tbl", F.col("charset").cast("int").alias("charset"), F.col("collation").cast("int").alias("collation"))
 
 
+def foreign_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Keys between the catalog's tables: every tenth third-numbered table starts a ring of three with a tail and a diamond behind it."""
+    k = F.col("s_suppkey")
+    supplier = table(spark, d, "supplier")
+    m = F.floor(k / 3).cast("bigint")
+    steps = F.when(k % 3 != 0, F.when(k % 5 == 1, F.array(F.lit(-1)))).otherwise(
+        F.when(m % 10 == 1, F.array(F.lit(3), F.lit(-6))).when(m % 10 == 2, F.array(F.lit(3))).when(m % 10 == 3, F.array(F.lit(-6)))
+        .when(m % 10 == 6, F.array(F.lit(-3), F.lit(-15))).when(m % 20 == 17, F.array(F.lit(-33))).when(m % 10 == 9, F.array(F.lit(0)))
+        .when(m % 10 == 0, F.array(F.lit(-6), F.lit(-9))).when(m % 10 != 7, F.array(F.lit(-3))))
+    names = supplier.select(k.alias("ref"), F.concat(F.when(k % 4 == 0, "wp_posts_").otherwise("log_"), k).alias("ref_tbl"))
+    keys = supplier.select(F.concat(F.when(k % 4 == 0, "wp_posts_").otherwise("log_"), k).alias("tbl"), F.explode(F.transform(steps, lambda s: k + s)).alias("ref"))
+    return keys.join(names, "ref").select("tbl", "ref_tbl")
+
+
+@query("conversion_plan", """
+WITH RECURSIVE s AS (SELECT CAST(s_suppkey AS BIGINT) AS k, s_suppkey // 3 AS m, CASE WHEN s_suppkey % 4 = 0 THEN 'wp_posts_' ELSE 'log_' END || s_suppkey AS tbl FROM supplier),
+conv AS (SELECT k, m, tbl FROM s WHERE k % 3 = 0 OR k IN (SELECT p_partkey % (SELECT count(*) FROM supplier) + 1 FROM part WHERE p_partkey % 5 = 0 AND p_partkey % 3 <> 0)),
+ref AS (SELECT k AS child, k + unnest(CASE WHEN k % 3 <> 0 THEN CASE WHEN k % 5 = 1 THEN [-1] ELSE [] END WHEN m % 10 = 1 THEN [3, -6] WHEN m % 10 = 2 THEN [3] WHEN m % 10 = 3 THEN [-6]
+    WHEN m % 10 = 6 THEN [-3, -15] WHEN m % 20 = 17 THEN [-33] WHEN m % 10 = 9 THEN [0] WHEN m % 10 = 0 THEN [-6, -9] WHEN m % 10 = 7 THEN [] ELSE [-3] END) AS parent FROM s),
+e AS (SELECT DISTINCT r.parent AS src, r.child AS dst FROM ref r JOIN conv a ON a.k = r.parent JOIN conv b ON b.k = r.child WHERE r.parent <> r.child),
+reach AS (SELECT src AS a, dst AS b FROM e UNION SELECT r.a, e.dst FROM reach r JOIN e ON e.src = r.b),
+part_of AS (SELECT c.k, c.tbl, coalesce(min(least(c.tbl, t.tbl)), c.tbl) AS unit FROM conv c LEFT JOIN (SELECT x.a, x.b FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a) z ON z.a = c.k
+    LEFT JOIN conv t ON t.k = z.b GROUP BY c.k, c.tbl),
+links AS (SELECT DISTINCT a.unit AS src, b.unit AS dst FROM e JOIN part_of a ON a.k = e.src JOIN part_of b ON b.k = e.dst WHERE a.unit <> b.unit),
+deep AS (SELECT unit, 0 AS level FROM part_of UNION SELECT l.dst, d.level + 1 FROM deep d JOIN links l ON l.src = d.unit),
+top AS (SELECT unit, max(level) AS step FROM deep GROUP BY unit)
+SELECT CAST(t.step AS BIGINT) AS step, p.unit, count(*) OVER (PARTITION BY p.unit) AS n_tables, p.tbl, 'ALTER TABLE `' || p.tbl || '` CONVERT TO CHARACTER SET utf8mb4 COLLATE utf8mb4_unicode_ci' AS statement
+FROM part_of p JOIN top t ON t.unit = p.unit""")
+def conversion_plan(spark: SparkSession, d: str) -> DataFrame:
+    return T.conversion_plan(*catalog(spark, d), foreign_keys(spark, d))
+
+
 @query("schedule_overlap", """
 SELECT schedule, count(*) AS n_jobs, min(c_name) AS first_job FROM (
   SELECT c_name, CASE c_custkey % 6 WHEN 0 THEN '0 0 * * *' WHEN 1 THEN '0 0 * * *' WHEN 2 THEN '0 * * * *' WHEN 3 THEN '' ELSE c_custkey % 60 || ' ' || c_nationkey || ' * * *' END AS schedule FROM customer)
