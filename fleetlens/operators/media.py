@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlens.functions import url as U
+from fleetlens.operators.nested import json_values
 from fleetlens.operators.skew import lookup
 from fleetlens.session import staged
 
@@ -95,11 +100,100 @@ def html_references(pages: DataFrame, bases: tuple[str, ...] = ()) -> DataFrame:
         "path", U.upload_path(F.col("raw"), bases))
 
 
+def serialized_strings(text: Column) -> Column:
+    """array<struct<start, stop, value>> of the strings in length-prefixed data (s:5:"hello"), in order; places count bytes.
+
+    A string is as long in bytes as its prefix says, so what looks like a string
+    inside one is its text. Where no quote closes it there, it ends at the next
+    quote with a semicolon; without one the prefix is passed over. Null gives null.
+    """
+    prefix = re.compile(rb's:(\d{1,10}):"')
+
+    def strings(texts: pd.Series) -> pd.Series:
+        def read(t: str) -> list[dict]:
+            raw, at, out = t.encode(), 0, []
+            while m := prefix.search(raw, at):
+                stop = m.end() + int(m[1])
+                if raw[stop:stop + 1] != b'"':
+                    stop = raw.find(b'";', m.end())
+                at = m.end() if stop < 0 else stop + 1
+                if stop >= 0:
+                    out.append({"start": m.start(), "stop": at, "value": raw[m.end():stop].decode(errors="replace")})
+            return out
+        return texts.map(read, na_action="ignore")
+
+    return F.pandas_udf(strings, "array<struct<start:bigint,stop:bigint,value:string>>")(text)
+
+
+def _file_names(strings: Column) -> Column:
+    """The strings that stand right behind the key "file"."""
+    def named(s: Column, i: Column) -> Column:
+        before = F.get(strings, i - 1)
+        return F.coalesce((F.lower(before["value"]) == "file") & (before["stop"] + 1 == s["start"]), F.lit(False))
+    return F.transform(F.filter(strings, named), lambda s: s["value"])
+
+
 def thumbnail_references(attachments: DataFrame) -> DataFrame:
     """Sizes named in serialized attachment metadata (source, path, metadata), placed beside their parent."""
-    names = F.regexp_extract_all("metadata", F.lit(r"(?i)\"file\";s:\d+:\"([^\"]+)\""), F.lit(1))
+    read = attachments.select("source", "path", serialized_strings(F.col("metadata")).alias("strings"))
     folder = F.regexp_extract("path", r"^(.*/)?", 0)
     name = F.replace("raw", F.lit("\\"), F.lit("/"))
-    return attachments.select("source", "path", F.explode(names).alias("raw")).select(
+    return read.select("source", "path", F.explode(_file_names(F.col("strings"))).alias("raw")).where("raw <> ''").select(
         "source", "raw", F.lit("thumbnail").alias("context"),
         F.when(name.contains("/"), name).otherwise(F.concat(folder, name)).alias("path"))
+
+
+def _kind(text: Column) -> Column:
+    """json, serialized, markup, broken (JSON that can't be read) or text."""
+    opened = text.rlike(r"^\s*[{\[]")
+    return (F.when(opened & F.try_parse_json(text).isNotNull(), "json").when(text.rlike(r"^\s*[aO]:\d+:"), "serialized")
+            .when(text.rlike(r"(?i)<img|(src|href|srcset)=|url\("), "markup").when(opened, "broken").otherwise("text"))
+
+
+def media_references(payloads: DataFrame, bases: tuple[str, ...] = ()) -> DataFrame:
+    """(source, place, context, raw, path) of the media named at any depth in payloads (source, path, text).
+
+    A payload is JSON, serialized metadata, markup (HTML or CSS) or one bare path, and
+    can hold others: strings of JSON, JSON in block comments of markup, strings of
+    metadata. Each round reads what the last one found inside, so nesting costs rounds;
+    what is inside is shorter than what holds it. `place` leads to the payload that
+    names the file (a.b[0], block[i], string[i]); `path` of a payload is the attachment
+    whose sizes its metadata lists. Null and empty texts name nothing; repeated
+    references stay.
+    """
+    level = payloads.select("source", F.col("path").alias("beside"), F.lit("").alias("place"), "text")
+    parts = []
+    keys = ["source", "beside", "place"]
+    inside = lambda step: F.concat_ws(".", F.nullif("place", F.lit("")), step).alias("place")
+    while True:
+        level = staged(level.where("text <> ''").withColumn("kind", _kind(F.col("text"))), "payloads")
+        kinds = {r.kind for r in level.select("kind").distinct().collect()}
+        of = {k: level.where(F.col("kind") == k) for k in kinds}
+        inner = []
+        bare = lambda df, raw, context: df.select("source", "place", raw.alias("raw"), F.lit(context).alias("context")).where(
+            is_media(F.col("raw"))).withColumn("path", U.upload_path(F.col("raw"), bases))
+        if "text" in of:
+            parts.append(bare(of["text"], F.col("text"), "text"))
+        if "broken" in of:
+            parts.append(bare(of["broken"], F.explode(F.regexp_extract_all("text", F.lit(r"(?i)(https?://[^\s'\"\\<>]+)"), F.lit(1))), "address"))
+        if "json" in of:
+            values, _ = json_values(of["json"].select(F.struct(*keys).alias("holder"), "text"), ["holder"])
+            strings = values.where("kind = 'string'").select("holder.*", "path", F.variant_get("value", "$", "string").alias("text"))
+            inner.append(strings.select("source", "beside", inside(F.col("path")), "text"))
+        if "markup" in of:
+            packed = of["markup"].select(F.struct("source", "place").alias("source"), F.col("text").alias("html"))
+            parts.append(html_references(packed, bases).select("source.source", "source.place", "raw", "context", "path"))
+            blocks = F.regexp_extract_all("text", F.lit(r"(?s)<!--\s*wp:[^{>]*(\{.*?\})\s*/?-->"), F.lit(1))
+            inner.append(of["markup"].select(*keys, F.posexplode(blocks).alias("pos", "text")).select(
+                "source", "beside", inside(F.concat(F.lit("block["), "pos", F.lit("]"))), "text"))
+        if "serialized" in of:
+            packed = of["serialized"].select(F.struct("source", "place").alias("source"), F.col("beside").alias("path"), F.col("text").alias("metadata"))
+            parts.append(thumbnail_references(packed).select("source.source", "source.place", "raw", "context", "path"))
+            strings = F.transform(serialized_strings(F.col("text")), lambda s: s["value"])
+            inner.append(of["serialized"].select(*keys, F.posexplode(strings).alias("pos", "text")).select(
+                "source", "beside", inside(F.concat(F.lit("string["), "pos", F.lit("]"))), "text").where(_kind(F.col("text")) != "text"))
+        if not inner:
+            out = reduce(DataFrame.unionByName, parts) if parts else html_references(
+                level.select("source", F.col("text").alias("html"))).withColumn("place", F.lit(""))
+            return out.select("source", "place", "context", "raw", "path")
+        level = reduce(DataFrame.unionByName, inner)

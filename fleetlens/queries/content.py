@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fleetlens.functions import html as H, text as X, url as U
 from fleetlens.operators.findings import by_priority
-from fleetlens.operators import blocks, dom, duplicates, findings as FD, links
+from fleetlens.operators import blocks, dom, duplicates, findings as FD, links, media
 from fleetlens.plans import freshness
 from fleetlens.queries.registry import query, table
 
@@ -441,3 +441,39 @@ def main_content(spark: SparkSession, d: str) -> DataFrame:
         F.array_join(F.transform("headings", lambda h: F.concat_ws(":", h["tag"], h["text"])), "|").alias("headings"),
         F.array_join(F.transform("images", lambda i: F.concat_ws(" ", i["src"], i["alt"])), "|").alias("images"),
         F.array_join("links", "|").alias("links"), "text")
+
+
+def post_payloads(spark: SparkSession, d: str) -> DataFrame:
+    """Every page as an exported post: JSON around its HTML, a block comment with JSON and HTML inside it, and serialized metadata."""
+    page = F.col("page_id").cast("string")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    content = text(
+        F.coalesce("html", F.lit("")), '<img src="/wp-content/uploads/p/', page, '.jpg?w=9" srcset="a-', page, '.png 1x, https://cdn.test/wp-content/uploads/b-', page,
+        '-300x200.png 2x"><div style="background:url(\'/bg/', page, '.webp\')"></div><!-- wp:image {"id":', page, ',"url":"https://cdn.test/wp-content/uploads/w-', page,
+        '.gif?x=1","deep":[{"html":"<img src=\\"n-', page, '.svg\\">"}]} -->')
+    name = text("füß-", page, ".jpg")
+    meta = text('a:2:{s:4:"file";s:', F.octet_length(name).cast("string"), ':"', name, '";s:4:"note";s:26:"s:4:"file";s:8:"fake.jpg";";}')
+    post = F.to_json(F.struct(F.struct(content.alias("content"), F.array(text("files/", page, ".pdf"), F.lit("no media")).alias("list"), meta.alias("meta")).alias("post")))
+    return table(spark, d, "pages").select(F.col("page_id").alias("source"), text("2024/", (F.col("page_id") % 12).cast("string"), "/orig.jpg").alias("path"), post.alias("text"))
+
+
+_MEDIA = r"\.(jpg|jpeg|png|gif|webp|heic|pdf|mp3|mp4|mov|wav|ogg|zip|svg|avif)$"
+
+
+@query("media_references", rf"""
+WITH p AS (SELECT page_id AS source, CAST(page_id AS VARCHAR) AS k, coalesce(html, '') AS html FROM pages),
+named AS (SELECT source, 'post.content' AS place, 'attribute' AS context, unnest(regexp_extract_all(html, '(?i)(?:src|href)=[''"]([^''"]+)[''"]', 1)) AS raw FROM p
+  UNION ALL SELECT source, 'post.content', 'srcset', regexp_extract(unnest(string_split(unnest(regexp_extract_all(html, '(?i)srcset=[''"]([^''"]+)[''"]', 1)), ',')), '^\s*(\S+)', 1) FROM p
+  UNION ALL SELECT source, 'post.content', 'style', unnest(regexp_extract_all(html, '(?i)url\([''"]?([^''")]+)[''"]?\)', 1)) FROM p
+  UNION ALL SELECT source, 'post.content', 'attribute', '/wp-content/uploads/p/' || k || '.jpg?w=9' FROM p
+  UNION ALL SELECT source, 'post.content', 'srcset', 'a-' || k || '.png' FROM p
+  UNION ALL SELECT source, 'post.content', 'srcset', 'https://cdn.test/wp-content/uploads/b-' || k || '-300x200.png' FROM p
+  UNION ALL SELECT source, 'post.content', 'style', '/bg/' || k || '.webp' FROM p
+  UNION ALL SELECT source, 'post.content.block[0].url', 'text', 'https://cdn.test/wp-content/uploads/w-' || k || '.gif?x=1' FROM p
+  UNION ALL SELECT source, 'post.content.block[0].deep[0].html', 'attribute', 'n-' || k || '.svg' FROM p
+  UNION ALL SELECT source, 'post.list[0]', 'text', 'files/' || k || '.pdf' FROM p)
+SELECT source, place, context, raw, ltrim(regexp_extract(regexp_replace(regexp_replace(url_decode(trim(raw)), '^.*?wp-content/uploads/', ''), '^([a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*', ''), '^[^?#]*'), '/') AS path
+FROM named WHERE regexp_matches(lower(regexp_extract(raw, '^[^?#]*')), '{_MEDIA}')
+UNION ALL SELECT source, 'post.meta', 'thumbnail', 'füß-' || k || '.jpg', '2024/' || source % 12 || '/füß-' || k || '.jpg' FROM p""")
+def media_references(spark: SparkSession, d: str) -> DataFrame:
+    return media.media_references(post_payloads(spark, d))
