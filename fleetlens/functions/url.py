@@ -73,15 +73,23 @@ def nfc(col: Column) -> Column:
     return F.pandas_udf(normalize, "string")(col)
 
 
-def match_path(url: Column, unicode_form: bool = False) -> Column:
+def _local(url: Column) -> Column:
+    return F.regexp_replace(F.trim(F.coalesce(url, F.lit(""))), r"(?s)^https?://[^/?#]*([^#]*).*$", "$1")
+
+
+def decoded_path(url: Column) -> Column:
+    """The path of a URL, percent-decoded; '' without one."""
+    return let(F.regexp_extract(_local(url), r"^[^?]*", 0), percent_decode)
+
+
+def match_path(url: Column, unicode_form: bool = False, path: Column | None = None) -> Column:
     """Key used to match redirects: decoded, lower-case, one trailing slash stripped, query sorted.
 
-    `unicode_form` adds NFC through a Python worker; leave it off for ASCII data.
+    `unicode_form` adds NFC through a Python worker, row by row; tables compose their
+    few other paths with `operators.redirects.composed` and hand them in as `path`.
     """
-    text = F.trim(F.coalesce(url, F.lit("")))
-    bare = F.regexp_replace(text, r"(?s)^https?://[^/?#]*([^#]*).*$", "$1")
-    path = let(F.regexp_extract(bare, r"^[^?]*", 0), percent_decode)
-    query = F.regexp_extract(bare, r"^[^?]*\?([^?]*)", 1)
+    path = decoded_path(url) if path is None else path
+    query = F.regexp_extract(_local(url), r"^[^?]*\?([^?]*)", 1)
     if unicode_form:
         path = nfc(path)
     path = rooted(F.regexp_replace(F.lower(path), r"(?s)^(.+)/$", "$1"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -17,27 +18,48 @@ from fleetlens.session import staged
 STRATEGIES = (("exact_path", 100), ("canonical", 90), ("slug", 80), ("title", 70))
 
 
-def _keys(df: DataFrame, unicode_form: bool) -> DataFrame:
+def composed(df: DataFrame, columns: list[str]) -> DataFrame:
+    """`df` with these text columns in Unicode NFC.
+
+    The distinct texts outside ASCII are a dictionary of their own; Python composes
+    these only, and just the rows that hold such a text are joined with those that
+    change. Null stays null.
+    """
+    df = staged(df, "texts")
+    odd = lambda c: F.coalesce(F.col(c).rlike(r"[^\x00-\x7F]"), F.lit(False))
+    words = reduce(DataFrame.unionByName, [df.where(odd(c)).select(F.col(c).alias("text")) for c in columns]).distinct()
+    changed = staged(words.select("text", U.nfc(F.col("text")).alias("_nfc")).where("text <> _nfc"), "dictionary")
+    for c in columns:
+        some = df.where(odd(c))
+        found = lookup(some, changed.withColumnRenamed("text", c), c, [x for x in df.columns if x != c] or [c])
+        df = df.where(~odd(c)).unionByName(found.withColumn(c, F.coalesce("_nfc", c)).drop("_nfc"))
+    return df
+
+
+def _keys(df: DataFrame) -> DataFrame:
     """Add one key column per strategy; blank keys are null."""
     null = U.blank_to_null
+    if "canonical" not in df.columns:
+        df = df.withColumn("canonical", F.lit(None).cast("string"))
+    df = composed(df.select(*[c for c in ("url", "canonical", "slug", "title") if c in df.columns], U.decoded_path(F.col("url")).alias("_path"),
+                            U.decoded_path(F.col("canonical")).alias("_canonical")), ["_path", "_canonical"])
     has = set(df.columns)
-    canonical = F.col("canonical") if "canonical" in has else F.lit(None).cast("string")
     slug = U.first_filled(F.col("slug"), U.slug(F.col("url"))) if "slug" in has else U.slug(F.col("url"))
     title = U.first_filled(F.col("title"), U.title_from_url(F.col("url"))) if "title" in has else U.title_from_url(F.col("url"))
     return df.select(
-        "url", null(U.match_path(F.col("url"), unicode_form)).alias("exact_path"),
-        null(U.match_path(canonical, unicode_form)).alias("canonical"), null(slug).alias("slug"),
+        "url", null(U.match_path(F.col("url"), path=F.col("_path"))).alias("exact_path"),
+        null(U.match_path(F.col("canonical"), path=F.col("_canonical"))).alias("canonical"), null(slug).alias("slug"),
         null(X.clean_title(title)).alias("title"),
     )
 
 
-def candidate_keys(destinations: DataFrame, unicode_form: bool = False) -> DataFrame:
+def candidate_keys(destinations: DataFrame) -> DataFrame:
     """Distinct (strategy, key, url): which destinations a key stands for.
 
     This table lists the candidates of ambiguous matches, one row per candidate
     of a key rather than one per pair of source and candidate.
     """
-    keyed = _keys(destinations, unicode_form)
+    keyed = _keys(destinations)
     pairs = F.array(
         F.struct(F.lit("exact_path").alias("strategy"), F.col("exact_path").alias("key")),
         F.struct(F.lit("slug").alias("strategy"), F.col("slug").alias("key")),
@@ -47,18 +69,17 @@ def candidate_keys(destinations: DataFrame, unicode_form: bool = False) -> DataF
         "p.strategy", "p.key", "url").distinct()
 
 
-def match(
-    sources: DataFrame, destinations: DataFrame, overrides: DataFrame | None = None, unicode_form: bool = False
-) -> DataFrame:
+def match(sources: DataFrame, destinations: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
     """One row per source: target, status, classification, strategy, candidates, match_key.
 
     The best strategy that knows the source's key decides; one destination url
     is a match, several are ambiguous. Only the number of urls and the smallest
-    one are needed per key, so no source-candidate pairs are built.
+    one are needed per key, so no source-candidate pairs are built. Paths and the
+    keys of overrides match in Unicode NFC, however they are written.
     """
-    cands = candidate_keys(destinations, unicode_form).groupBy("strategy", "key").agg(
+    cands = candidate_keys(destinations).groupBy("strategy", "key").agg(
         F.count("*").alias("n"), F.min("url").alias("target"))
-    keyed = staged(_keys(sources, unicode_form), "sources")
+    keyed = staged(_keys(sources), "sources")
     cands = staged(cands, "candidates")
     out = keyed
     for strategy, _ in STRATEGIES:
@@ -75,8 +96,9 @@ def match(
     if overrides is None:
         chosen = matched.withColumn("o", F.lit(None).cast("struct<target:string,status:int>"))
     else:
-        chosen = lookup(matched, overrides.select(
-            F.col("key").alias("exact_path"), F.struct("target", "status").alias("o")), "exact_path", ["url"], base=keyed)
+        manual = composed(overrides.select("key", "target", "status"), ["key"]).groupBy(F.col("key").alias("exact_path")).agg(
+            F.max(F.struct("target", "status")).alias("o"))
+        chosen = lookup(matched, manual, "exact_path", ["url"], base=keyed)
     gone = F.col("o.target").isin("gone", "410")
     manual, none, tie = F.col("o").isNotNull(), F.col("b").isNull(), F.col("b.n") > 1
     return chosen.select(

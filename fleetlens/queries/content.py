@@ -463,7 +463,7 @@ _MEDIA = r"\.(jpg|jpeg|png|gif|webp|heic|pdf|mp3|mp4|mov|wav|ogg|zip|svg|avif)$"
 @query("media_references", rf"""
 WITH p AS (SELECT page_id AS source, CAST(page_id AS VARCHAR) AS k, coalesce(html, '') AS html FROM pages),
 named AS (SELECT source, 'post.content' AS place, 'attribute' AS context, unnest(regexp_extract_all(html, '(?i)(?:src|href)=[''"]([^''"]+)[''"]', 1)) AS raw FROM p
-  UNION ALL SELECT source, 'post.content', 'srcset', regexp_extract(unnest(string_split(unnest(regexp_extract_all(html, '(?i)srcset=[''"]([^''"]+)[''"]', 1)), ',')), '^\s*(\S+)', 1) FROM p
+  UNION ALL SELECT source, 'post.content', 'srcset', regexp_extract(unnest(string_split(array_to_string(regexp_extract_all(html, '(?i)srcset=[''"]([^''"]+)[''"]', 1), ','), ',')), '^\s*(\S+)', 1) FROM p
   UNION ALL SELECT source, 'post.content', 'style', unnest(regexp_extract_all(html, '(?i)url\([''"]?([^''")]+)[''"]?\)', 1)) FROM p
   UNION ALL SELECT source, 'post.content', 'attribute', '/wp-content/uploads/p/' || k || '.jpg?w=9' FROM p
   UNION ALL SELECT source, 'post.content', 'srcset', 'a-' || k || '.png' FROM p

@@ -66,6 +66,28 @@ def redirect_match(spark: SparkSession, d: str) -> DataFrame:
     return R.match(sources(spark, d), destinations(spark, d), overrides(spark, d))
 
 
+@query("redirect_match_unicode", """
+WITH c AS (SELECT c_custkey AS k FROM customer),
+src AS (SELECT k, 'https://old.test/' || CASE WHEN k % 2 = 0 THEN 'Cafe' || chr(769) WHEN k % 3 = 0 THEN 'CAF%C3%89' ELSE 'Cafe' END || '/' || k || '/?q=' || k AS source FROM c),
+dst AS (SELECT k, 'https://new.test/' || CASE WHEN k % 5 = 0 THEN 'cafe%CC%81' WHEN k % 7 = 0 THEN 'cafe' ELSE 'caf' || chr(233) END || '/' || k || '?q=' || k AS url,
+   CASE WHEN k % 5 <> 0 AND k % 7 = 0 THEN 'cafe' ELSE 'caf' || chr(233) END AS word FROM c),
+both_ AS (SELECT s.k, s.source, d.url, CASE WHEN s.k % 2 = 0 OR s.k % 3 = 0 THEN 'caf' || chr(233) ELSE 'cafe' END AS word, d.word AS to_word FROM src s JOIN dst d ON s.k = d.k)
+SELECT source, CASE WHEN k % 13 = 0 THEN '/manual' ELSE url END AS target,
+  CASE WHEN k % 13 = 0 THEN 'override' WHEN word = to_word THEN 'exact_path' ELSE 'slug' END AS strategy,
+  CASE WHEN k % 13 = 0 THEN NULL WHEN word = to_word THEN '/' || word || '/' || k || '?q=' || k ELSE CAST(k AS VARCHAR) END AS match_key FROM both_""")
+def redirect_match_unicode(spark: SparkSession, d: str) -> DataFrame:
+    """Old and new paths that differ in how an accent is written: composed, decomposed or percent-encoded; what differs by more is found by slug."""
+    k = F.col("c_custkey")
+    customers = table(spark, d, "customer")
+    accent = F.when(k % 2 == 0, "Cafe\u0301").when(k % 3 == 0, "CAF%C3%89").otherwise("Cafe")
+    old = customers.select(F.concat(F.lit("https://old.test/"), accent, F.lit("/"), k, F.lit("/?q="), k).alias("url"))
+    new = customers.select(F.concat(
+        F.lit("https://new.test/"), F.when(k % 5 == 0, "cafe%CC%81").when(k % 7 == 0, "cafe").otherwise("caf\u00e9"), F.lit("/"), k, F.lit("?q="), k).alias("url"))
+    word = F.when((k % 2 == 0) | (k % 3 == 0), "cafe\u0301").otherwise("cafe")
+    manual = customers.where(k % 13 == 0).select(F.concat(F.lit("/"), word, F.lit("/"), k, F.lit("?q="), k).alias("key"), F.lit("/manual").alias("target"), F.lit(301).alias("status"))
+    return R.match(old, new, manual).select("source", "target", "strategy", "match_key")
+
+
 @query("redirect_stats", f"""
 WITH {MATCH} SELECT count(*) AS total, count(*) FILTER (classification = 'exact') AS exact, count(*) FILTER (classification = 'confident') AS confident,
   count(*) FILTER (classification = 'ambiguous') AS ambiguous, count(*) FILTER (classification = 'missing') AS missing,
