@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from fleetlens.functions.text import round_half_up
@@ -60,15 +63,44 @@ def incidents(probes: DataFrame, weight: str | None = None) -> DataFrame:
     )
 
 
-def fired_instants(alerts: DataFrame, window: int) -> DataFrame:
+#: The instants of a key that a task walks, at most.
+WALK = 1_000_000
+
+
+def fired_instants(alerts: DataFrame, window: int, walk: int = WALK) -> DataFrame:
     """(key, ts) instants that fire when a key stays silent for `window` after each firing.
 
     The silence counts from the last *fired* instant, so it is no lag: firing
     instants are those on the path of 'next instant at least `window` later' from a
-    key's first one. The path is found by pointer doubling, which no single task
-    has to hold, whatever a key's share of the alerts.
+    key's first one. A key of at most `walk` instants is walked in order, in one pass
+    over its task. The path of a longer one is found by pointer doubling, which no single
+    task has to hold, whatever a key's share of the alerts.
     """
-    return _double(staged(alerts.select("key", "ts").distinct(), "instants"), window)
+    times = staged(alerts.select("key", "ts").distinct(), "instants")
+    # At most one in `walk` rows.
+    long = staged(times.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > walk).select("key"), "long")
+    if long.isEmpty():
+        return _walked(times, window)
+    short = _walked(times.join(F.broadcast(long), "key", "left_anti"), window)
+    return short.unionByName(_double(staged(times.join(F.broadcast(long), "key", "left_semi"), "instants"), window))
+
+
+def _walked(times: DataFrame, window: int) -> DataFrame:
+    """Instants on the path, by going through each key's in order; only the last one fired is held."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, key, last = False, None, None
+        for batch in batches:
+            fires = []
+            for k, ts in zip(batch.column("key").to_pylist(), batch.column("ts").to_pylist(), strict=True):
+                first = not begun or k != key
+                fire = first or (k is not None and ts is not None and ts - last >= window)
+                if fire:
+                    begun, key, last = True, k, ts
+                fires.append(fire)
+            yield batch.filter(pa.array(fires, pa.bool_()))
+
+    in_order = times.repartition("key").sortWithinPartitions("key", F.asc_nulls_last("ts"))
+    return in_order.mapInArrow(run, times.schema)
 
 
 def _double(times: DataFrame, window: int) -> DataFrame:
