@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fleetlens.operators.brackets import paired
+from fleetlens.operators.parts import dealt, tasks
+from fleetlens.session import staged
 
 # The grammar of a block comment (closer, name, attributes, self-closing).
 BLOCK = r"(?s)<!--\s+(/?)wp:([a-z][a-z0-9_-]*(?:/[a-z][a-z0-9_-]*)?)(?:\s+(\{.*?\}))?\s+(/?)-->"
@@ -24,6 +26,12 @@ def block_tokens(docs: DataFrame, key: str, markup: str = "markup") -> DataFrame
     return found.select(key, "at", _full(part(2)).alias("name"), step.alias("step"), F.nullif(part(3), F.lit("")).alias("attrs"))
 
 
+def _paired(docs: DataFrame, key: str, markup: str) -> DataFrame:
+    """The block comments of `docs`, paired; they are dealt out by their number, as every step sorts what a task has of them."""
+    tokens = staged(block_tokens(docs, key, markup), "tokens")
+    return paired(dealt(tokens, tasks(tokens, tokens.count()), key), key)
+
+
 def blocks(docs: DataFrame, key: str, markup: str = "markup") -> DataFrame:
     """(key, at, name, depth, parent, closed, attrs) of every block.
 
@@ -31,7 +39,7 @@ def blocks(docs: DataFrame, key: str, markup: str = "markup") -> DataFrame:
     one opened a level above. A self-closing block is closed; an opener without a closer
     is not. Null markup has no blocks.
     """
-    found = paired(block_tokens(docs, key, markup), key).where("step >= 0")
+    found = _paired(docs, key, markup).where("step >= 0")
     own = found.select(key, "at", "name", "level", "attrs", F.col("level").alias("_row"), F.lit(None).cast("string").alias("_opened"),
                        ((F.col("step") == 0) | F.col("partner").isNotNull()).alias("closed"))
     # A block reads the openers one level up: they are listed there under their own level.
@@ -55,7 +63,7 @@ def block_errors(docs: DataFrame, key: str, markup: str = "markup") -> DataFrame
     unbalanced_closer: nothing is open; mismatched_closer: `opened` is what it ends;
     unclosed_block: no closer follows; invalid_attributes: not JSON.
     """
-    found = paired(block_tokens(docs, key, markup), key)
+    found = _paired(docs, key, markup)
     beside = Window.partitionBy(key, "level", (F.col("stray") | (F.col("step") == 0))).orderBy("at")
     found = found.withColumn("opened", F.when((F.col("step") == -1) & ~F.col("stray"), F.lag("name").over(beside)))
     rules = F.array_compact(F.array(

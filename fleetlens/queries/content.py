@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from fleetlens.functions import html as H, text as X, url as U
 from fleetlens.operators.findings import by_priority
 from fleetlens.operators import blocks, dom, duplicates, findings as FD, links, media
+from fleetlens.operators.parts import dealt, tasks
 from fleetlens.plans import freshness
 from fleetlens.queries.registry import query, table
 
@@ -368,7 +369,8 @@ def marked_up(spark: SparkSession, d: str) -> DataFrame:
     line = F.coalesce(*[F.when(kind == k, F.concat(*[x for part in line.format("\0").split("\0") for x in (F.lit(part), F.col("l_partkey").cast("string"))][:-1]))
                         for k, line in enumerate(BLOCK_LINES.split("|"))])
     lines = F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", line.alias("line"))))
-    return table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("doc")).agg(
+    rows = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    return dealt(rows, tasks(rows, rows.count()), "l_suppkey").groupBy(F.col("l_suppkey").alias("doc")).agg(
         F.array_join(F.transform(lines, lambda x: x["line"]), " <p>text</p> ").alias("markup"))
 
 

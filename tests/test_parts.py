@@ -2,7 +2,23 @@
 
 import random
 
-from fleetlens.operators import history
+import pytest
+
+from fleetlens.operators import blocks, history, parts
+
+
+@pytest.fixture
+def small_tasks(monkeypatch):
+    monkeypatch.setattr(parts, "ROWS", 5)
+
+
+def test_blocks_are_dealt_by_their_number(spark, small_tasks):
+    docs = [(i, "<!-- wp:a --><!-- /wp:b --><!-- wp:c -->") for i in range(30)] + [(None, "<!-- /wp:a -->")]
+    got = blocks.block_errors(spark.createDataFrame(docs, "doc int, markup string"), "doc")
+    assert got.rdd.getNumPartitions() > 8
+    want = [(i, *x) for i in range(30) for x in ((1, "mismatched_closer", "core/b", "core/a"), (2, "unclosed_block", "core/c", None))]
+    assert sorted((tuple(r) for r in got.collect() if r.doc is not None), key=str) == sorted(want, key=str)
+    assert [tuple(r) for r in got.where("doc IS NULL").collect()] == [(None, 0, "unbalanced_closer", "core/a", None)]
 
 
 def plain_fired(data, window):
