@@ -10,9 +10,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlens.functions import url as U
 from fleetlens.operators.nested import json_values
+from fleetlens.operators.parts import tasks
 from fleetlens.operators.skew import lookup
 from fleetlens.session import staged
 
+#: Paths that a task gets: it sorts them and the files, with all their keys, for each step of the cascade.
+PATHS = 50_000
+
 
 def visible_files(files: DataFrame) -> DataFrame:
     """(path, size) without hidden and server files, plus the keys the cascade uses."""
@@ -36,9 +40,10 @@ def cascade(refs: DataFrame, files: DataFrame) -> DataFrame:
     """
     paths = staged(refs.where(F.coalesce("path", F.lit("")) != "").groupBy("path").agg(F.count("*").alias("n_refs")).select(
         "path", "n_refs", F.lower("path").alias("low"), F.lower(U.basename(F.col("path"))).alias("name")), "refs")
-    out = lookup(paths, files.select("path", F.col("path").alias("exact")), "path", ["n_refs"], base=paths)
-    out = lookup(out, files.groupBy("low").agg(F.max("path").alias("other_case")), "low", ["path"], base=paths)
-    out = lookup(out, files.groupBy("name").agg(F.count("*").alias("copies")), "name", ["path"], base=paths)
+    n = tasks(paths, max(paths.count(), files.count()), PATHS)
+    out = lookup(paths, files.select("path", F.col("path").alias("exact")), "path", ["n_refs"], base=paths, tasks=n)
+    out = lookup(out, files.groupBy("low").agg(F.max("path").alias("other_case")), "low", ["path"], base=paths, tasks=n)
+    out = lookup(out, files.groupBy("name").agg(F.count("*").alias("copies")), "name", ["path"], base=paths, tasks=n)
     step = (F.when(F.col("exact").isNotNull(), "exact").when(F.col("other_case").isNotNull(), "case")
             .when(F.col("copies").isNotNull(), "name").otherwise("missing"))
     return out.select(

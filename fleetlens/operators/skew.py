@@ -26,6 +26,7 @@ def lookup(
     base: DataFrame | None = None,
     weight: str | None = None,
     hot: DataFrame | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Join `rows` to `dim` (at most one row per `key`) when `key` may be skewed in `rows`.
 
@@ -35,7 +36,8 @@ def lookup(
 
     `base`, a staged table with the same rows, answers how often keys occur without
     running `rows` twice. `hot` hands in hot keys found before. `weight` names a dim
-    column that already holds the row counts. The result has the columns of `rows`,
+    column that already holds the row counts. `tasks` is the number of tasks of the
+    shuffle, by default as many as any has. The result has the columns of `rows`,
     then those of `dim`, at every size.
     """
     if how not in ("left", "inner"):
@@ -60,6 +62,8 @@ def lookup(
         F.col(key).alias("_jk"), F.lit(0).cast("bigint").alias("_sp"),
         F.struct(F.lit(True).alias("_hit"), *extra).alias("_cold"),
     )
+    if tasks:
+        left, right = left.repartition(tasks, "_jk", "_sp"), right.repartition(tasks, "_jk", "_sp")
     joined = left.join(right, ["_jk", "_sp"], "left").withColumn(
         "_got", F.coalesce("_hot", "_cold")
     )

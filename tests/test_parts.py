@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from fleetlens.operators import blocks, history, parts
+from fleetlens.operators import blocks, history, media, parts
 
 
 @pytest.fixture
@@ -21,6 +21,16 @@ def test_blocks_are_dealt_by_their_number(spark, small_tasks):
     assert [tuple(r) for r in got.where("doc IS NULL").collect()] == [(None, 0, "unbalanced_closer", "core/a", None)]
 
 
+def test_cascade_is_dealt_by_its_rows(spark, monkeypatch):
+    files = media.visible_files(spark.createDataFrame([(f"a/{'F' if i % 2 else 'f'}{i}.jpg", 1) for i in range(40)] + [("b/f0.jpg", 1)], "path string, size long"))
+    refs = spark.createDataFrame([(f"{'a' if i % 3 else 'c'}/f{i}.jpg",) for i in range(60)], "path string")
+    whole = {tuple(r) for r in media.cascade(refs, files).collect()}
+    monkeypatch.setattr(media, "PATHS", 5)
+    got = media.cascade(refs, files)
+    assert got.rdd.getNumPartitions() > 8
+    assert {tuple(r) for r in got.collect()} == whole and {r[2] for r in whole} == {"exact", "case", "name", "missing"}
+
+
 def plain_fired(data, window):
     out = set()
     for key in {k for k, _ in data}:
