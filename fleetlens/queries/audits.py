@@ -304,6 +304,8 @@ def inventory_counts(spark: SparkSession, d: str) -> DataFrame:
 # --- nested records -----------------------------------------------------------------------
 
 DEPTH = 50
+#: Records that a task gets: they are made and cut there, and the file they come from may be one task's.
+RECORDS = 10_000
 
 
 @query("redact_nested", r"""
@@ -316,7 +318,9 @@ def redact_nested(spark: SparkSession, d: str) -> DataFrame:
     record = F.concat(
         F.lit('{"n": [' * DEPTH + '{"api_token": "t-'), k, F.lit('", "name": "'), "c_name", F.lit('", "note": "see https://bob:hunter2@h.test/'), k, F.lit('", "Secret": {"count": '), k,
         F.lit(', "pwd": "p\\"w"}, "list": ["\\"token\\": \\"kept\\"", {"auth": ["plain", 1]}, "s3cr3t-value and tok/en"], "password": "a", "password": "b\\\\", "k\\u0065y": "x", "note2": null}' + "]}" * DEPTH))
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), M.redact_json(record, ["s3cr3t-value", "tok/en", "x"]).alias("record"))
+    customers = table(spark, d, "customer").select("c_custkey", "c_name")
+    spread = customers.repartition(max(1, -(-customers.count() // RECORDS)))
+    return spread.select(F.col("c_custkey").alias("id"), M.redact_json(record, ["s3cr3t-value", "tok/en", "x"]).alias("record"))
 
 
 # --- media --------------------------------------------------------------------------------

@@ -3,8 +3,19 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from fleetlens.operators import blocks, history, media, parts
+from fleetlens.queries import QUERIES
+
+
+def test_records_are_spread(spark, tmp_path):
+    spark.range(25_000).select(F.col("id").alias("c_custkey"), F.concat(F.lit("c"), "id").alias("c_name")).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    got = QUERIES["redact_nested"](spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() >= 3
+    assert got.agg(F.count_distinct("id"), F.min(F.col("record").contains("[REDACTED]"))).first()[:] == (25_000, True)
+    spark.range(0).select(F.col("id").alias("c_custkey"), F.lit("").alias("c_name")).write.parquet(f"{tmp_path}/none/customer.parquet")
+    assert QUERIES["redact_nested"](spark, f"{tmp_path}/none").count() == 0
 
 
 @pytest.fixture
