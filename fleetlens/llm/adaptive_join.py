@@ -48,9 +48,15 @@ def set_key(tokens: np.ndarray) -> tuple[int, int]:
     return int(a), int(b)
 
 
+def texts(docs: DataFrame, text: str) -> DataFrame:
+    """(doc, h, text): every row with a digest of its text."""
+    return docs.select(F.coalesce(quoted("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc"),
+                       F.unhex(F.md5(quoted(text).cast("binary"))).alias("h"), quoted(text).alias("text"))
+
+
 def heads(docs: DataFrame, words: int, percent: int, text: str = "text") -> DataFrame:
-    """(doc, n, a, b, head) per row: the set's size, a 128-bit key of it, and the longest prefix that it may need."""
-    rows = docs.select(F.coalesce(quoted("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc"), quoted(text).alias("text"))
+    """(doc, h, n, a, b, head) per row: the text's digest, the set's size, a 128-bit key of it, and the longest prefix that it may need."""
+    rows = texts(docs, text)
     fields = [StructField("n", LongType()), StructField("a", LongType()), StructField("b", LongType()), StructField("head", ArrayType(LongType()))]
     least = smallest_linked(percent)
 
@@ -67,7 +73,7 @@ def heads(docs: DataFrame, words: int, percent: int, text: str = "text") -> Data
 
         return run
 
-    return extend(rows, fields, make, ["doc"])
+    return extend(rows, fields, make, ["doc", "h"])
 
 
 def screened(posts: DataFrame, percent: int) -> DataFrame:
@@ -115,19 +121,16 @@ def fitted(posts: DataFrame, percent: int) -> DataFrame:
 
 
 def token_sets(docs: DataFrame, nodes: DataFrame, words: int, text: str = "text") -> DataFrame:
-    """(id, tokens): the whole set of each of `nodes` (id, doc, a, b), made from a text of document `doc` that has it."""
-    rows = docs.select(F.coalesce(quoted("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc"), quoted(text).alias("text"))
+    """(id, tokens): the whole set of each of `nodes` (id, doc, h), made from the text of document `doc` with digest `h`.
 
-    def make():
-        def run(batch: pa.RecordBatch) -> list:
-            sets = [shingles(v.as_py(), words) for v in batch.column("text")]
-            return [*zip(*map(set_key, sets), strict=True), [s.view(np.int64) for s in sets]]
+    Texts are dealt out once, and repeated rows go where they meet; sets are made behind that and not dealt.
+    """
+    chosen = texts(docs, text).join(nodes.select("id", "doc", "h"), ["doc", "h"]).dropDuplicates(["doc", "h"])
 
-        return run
+    def make():
+        return lambda batch: [[shingles(v.as_py(), words).view(np.int64) for v in batch.column("text")]]
 
-    fields = [StructField("a", LongType()), StructField("b", LongType()), StructField("tokens", ArrayType(LongType()))]
-    made = extend(rows.join(nodes.select("doc").distinct(), "doc", "left_semi"), fields, make, ["doc", "a", "b", "tokens"])
-    return made.join(nodes, ["doc", "a", "b"]).select("id", "tokens").dropDuplicates(["id"])
+    return extend(chosen.select("id", "text"), [StructField("tokens", ArrayType(LongType()))], make, ["id"])
 
 
 def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -288,13 +291,13 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, text: s
     empty result; other columns are not looked at.
     """
     rows = staged(heads(docs, words, percent, text), "heads")
-    sets = rows.where("n > 0").groupBy("a", "b").agg(F.min("doc").alias("doc"), F.count("*").alias("copies"))
-    sets = staged(sets, "sets")
+    sets = rows.where("n > 0").groupBy("a", "b").agg(F.min(F.struct("doc", "h")).alias("least"), F.count("*").alias("copies"))
+    sets = staged(sets.select("a", "b", "least.*", "copies"), "sets")
     # A set goes by its smallest doc_id, but for further sets of one doc_id, which get numbers of their own.
     firsts = sets.groupBy("doc").agg(F.min(F.struct("a", "b")).alias("first"))
     own = F.when(F.struct("a", "b") == F.col("first"), F.col("doc")).otherwise(-1 - F.pmod(F.xxhash64("a", "b"), F.lit(2 ** 62)))
-    nodes = staged(sets.join(firsts, "doc").select(own.alias("id"), "doc", "a", "b", "copies"), "nodes")
-    prefixes = rows.where(F.size("head") > 0).join(nodes, ["doc", "a", "b"]).dropDuplicates(["id"])
+    nodes = staged(sets.join(firsts, "doc").select(own.alias("id"), "doc", "h", "a", "b", "copies"), "nodes")
+    prefixes = rows.where(F.size("head") > 0).drop("h").join(nodes.drop("h"), ["doc", "a", "b"]).dropDuplicates(["doc", "a", "b"])
     posts = prefixes.select("id", "n", F.posexplode("head").alias("at", "token"))
     able = staged(screened(posts, percent), "able")
     linked = staged(joined(staged(fitted(able, percent), "fitted"), nodes.drop("copies"), docs, words, percent, text), "linked")

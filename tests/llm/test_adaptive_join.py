@@ -5,6 +5,7 @@ import random
 import numpy as np
 import oracle
 import pytest
+from pyspark.sql import functions as F
 
 from fleetlens.llm import adaptive_join
 from fleetlens.llm.adaptive_join import block_links, most, needed, ngram_components
@@ -115,3 +116,32 @@ def test_block_gives_one_link_for_two_components():
 def test_query_matches_sql(spark):
     ok, note = oracle.compare(spark, oracle.connect(SF), QUERIES["op13_adaptive_join"], ORACLE["op13_adaptive_join"], SF)
     assert ok, note
+
+
+def test_a_staged_table_leaves_no_shuffle_files(spark):
+    import time
+
+    from fleetlens.session import staged
+
+    def shuffles():
+        files = spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    before = shuffles()
+    staged(spark.range(1000).repartition(4, "id").groupBy((F.col("id") % 10).alias("k")).count(), "s")
+    for _ in range(50):
+        if not shuffles() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffles() - before
+
+
+def test_texts_of_one_id_and_repeated_rows_have_a_set_each(spark):
+    draw = random.Random(4)
+    base = [" ".join(draw.choices("abcdefghij", k=40)) for _ in range(6)]
+    rows = [(k % 2 or None, t) for k, t in enumerate(base)] * 3 + [(9, base[0]), (8, base[1] + " z"), (7, None), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    nodes = adaptive_join.texts(docs, "text").where("text <> ''").select(F.xxhash64("doc", "h").alias("id"), "doc", "h").distinct()
+    sets = adaptive_join.token_sets(docs, nodes, 4).collect()
+    assert len(sets) == len({r.id for r in sets}) == nodes.count() == 8
+    assert sorted(len(r.tokens) for r in sets) == sorted(len(plain_set(t, 4)) for t in [*base, base[0], base[1] + " z"])
