@@ -21,28 +21,23 @@ MEMO = 800_000
 MARKS = 1 << 24
 #: Longer pre-tokens are encoded anew each time instead of being remembered.
 MEMO_CHARS = 64
-#: What a worker keeps goes by this name.
-HOLDS = "bpe"
+#: What a worker keeps goes by these names: to encode, to decode.
+HOLDS, HOLDS_TOKENS = "bpe", "bpe_tokens"
 
 BITS = [1 << i for i in range(256)]
 
 
-class Codec:
-    """Encoder and decoder over a table of ranks in tiktoken's file format."""
+def read_ranks(table: bytes) -> dict[bytes, int]:
+    """Tokens and their ranks from tiktoken's file format."""
+    return {base64.b64decode(a): int(b) for a, b in (line.split() for line in table.splitlines() if line)}
 
-    def __init__(self, table: bytes, pattern: str) -> None:
-        self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in table.splitlines() if line)}
-        # White space as Unicode has it, whatever the regex library takes \s to be.
-        self.split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
-        size = max(self.ranks.values(), default=-1) + 1
-        self.words = [0] * ((size >> 8) + 1)
-        self.memo = Memo(self.piece)
-        tokens = [b""] * size
-        for raw, rank in self.ranks.items():
-            tokens[rank] = raw
-        self.lengths = np.array([len(t) for t in tokens], dtype=np.int64)
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        self.bytes = np.frombuffer(b"".join(tokens), dtype=np.uint8)
+
+class Merger:
+    """Merges of one pre-token by a table of ranks."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.ranks = ranks
+        self.words = [0] * ((max(ranks.values(), default=-1) + 1 >> 8) + 1)
 
     def piece(self, raw: bytes) -> list[int]:
         """The ids of one pre-token: the leftmost pair of lowest rank merges until none is left.
@@ -117,12 +112,37 @@ class Codec:
             at = after[at]
         return out
 
+
+class Codec:
+    """Encoder over a table of ranks. Nothing in it refers back to it, so all of it goes as soon as it is let go."""
+
+    def __init__(self, table: bytes, pattern: str) -> None:
+        self.ranks = read_ranks(table)
+        # White space as Unicode has it, whatever the regex library takes \s to be.
+        self.split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
+        self.memo = Memo(Merger(self.ranks).piece)
+
     def encode(self, text: str | None) -> np.ndarray:
         return np.fromiter(chain.from_iterable(map(self.memo.__getitem__, self.split(text or ""))), dtype=np.int32)
 
     def count(self, text: str | None) -> int:
         return sum(map(len, map(self.memo.__getitem__, self.split(text or ""))))
 
+    def decode(self, ids: np.ndarray) -> bytes:
+        return Tokens(self.ranks).decode(ids)
+
+
+class Tokens:
+    """The bytes of every token, one behind the other: all that decoding needs."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+        for raw, rank in ranks.items():
+            tokens[rank] = raw
+        self.lengths = np.array([len(t) for t in tokens], dtype=np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.bytes = np.frombuffer(b"".join(tokens), dtype=np.uint8)
+
     def decode(self, ids: np.ndarray) -> bytes:
         sizes = self.lengths[ids]
         begins = np.cumsum(sizes) - sizes
@@ -221,7 +241,7 @@ def bpe_decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "decoded
     table = _table(rows, path)
 
     def make():
-        own = codec(table.value, "")
+        own = held(HOLDS_TOKENS, table.value, lambda: Tokens(read_ranks(table.value)))
 
         def decode(batch: pa.RecordBatch) -> list:
             column = batch.column(ids)
@@ -231,4 +251,4 @@ def bpe_decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "decoded
 
         return decode
 
-    return extend(rows, [StructField(out, BinaryType())], make, keep, holds=HOLDS)
+    return extend(rows, [StructField(out, BinaryType())], make, keep, holds=HOLDS_TOKENS)

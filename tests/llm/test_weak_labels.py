@@ -75,3 +75,21 @@ def test_workers_hold_one_operators_memory(spark):
     spark.range(8).repartition(8).mapInArrow(lambda b: b, "id long").count()
     seen = [built("a") // 1000, built(None) // 1000, built("b") // 1000]
     assert seen == [1, 0, 1]
+
+
+def test_an_encoder_goes_as_soon_as_it_is_let_go():
+    import gc
+    import weakref
+
+    from fleetlens.llm import bpe, common
+
+    table = b"YQ== 0\nYg== 1\nYWI= 2\n"
+    gc.disable()
+    try:
+        own = common.held(bpe.HOLDS, (table, "."), lambda: bpe.Codec(table, r"\S+"))
+        assert own.encode("ab ab ab b").tolist() == [2, 2, 2, 1] and own.decode(np.array([2, 1])) == b"abb"
+        memo = weakref.ref(own.memo)
+        del own, common.HELD[bpe.HOLDS]
+        assert memo() is None
+    finally:
+        gc.enable()
