@@ -211,14 +211,19 @@ def with_loops(docs: DataFrame, text: str = "text") -> DataFrame:
     h = F.crc32(quoted("doc_id").cast("string"))
     g = F.floor(h / 10)
 
-    def loop(words):
-        def looped(n):
-            def turned(a):
-                period = 1 + F.floor((n - a) / (3 + g % 8))
-                return let(period, lambda p: F.transform(
-                    F.sequence(F.lit(0).cast("bigint"), n - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))))
-            return let(g % n, turned)
-        return let(F.size(words).cast("bigint"), lambda n: F.when(n > 0, F.array_join(looped(n), " ")))
-
-    words = F.filter(F.split(quoted(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    return docs.withColumn(text, F.when(h % 10 == 0, F.coalesce(let(words, loop), quoted(text))).otherwise(quoted(text)))
+    def loop(line):
+        # Stretches of the line are copied whole: words in arrays, and a lambda for each, leave hundreds of bytes a word on the heap.
+        first = lambda s, k: F.call_function("substring_index", s, F.lit(" "), k.cast("int"))
+
+        def looped(n, a, p):
+            rest = (n - a) % p
+            return let(first(line, a + p), lambda head: let(first(head, -p), lambda turn: F.concat(
+                head, F.repeat(F.concat(F.lit(" "), turn), (F.floor((n - a) / p) - 1).cast("int")),
+                F.when(rest > 0, F.concat(F.lit(" "), first(turn, rest))).otherwise(""))))
+
+        count = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+        return F.when(line != "", let(count.cast("bigint"), lambda n: let(g % n, lambda a: let(
+            1 + F.floor((n - a) / (3 + g % 8)), lambda p: looped(n, a, p)))))
+
+    line = F.trim(F.regexp_replace(quoted(text), r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " "))
+    return docs.withColumn(text, F.when(h % 10 == 0, F.coalesce(let(line, loop), quoted(text))).otherwise(quoted(text)))

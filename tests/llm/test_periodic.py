@@ -85,6 +85,33 @@ def test_loops_leave_rows_without_words(spark):
     assert sorted((r.doc_id or -1, r.text or "") for r in with_loops(rows).collect()) == sorted([(zero, ""), (zero, " "), (-1, "a b")])
 
 
+def test_loops_of_any_white_space(spark):
+    draw = random.Random(5)
+    idents = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 10 == 0]
+    rows = [(i, draw.choice(["", " ", "\n\t"]) + "".join(draw.choice(["a", "bé", "日本", "$1\\"]) + draw.choice([" ", "  ", "\t", "\x0b", "\r\n"])
+                                                        for _ in range(draw.choice([1, 2, 3, 9, 60])))) for i in idents]
+    got = {r.doc_id: r.text for r in with_loops(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: b" ".join(plain_loop(i, t.encode().split())).decode() for i, t in rows}
+
+
+def test_loops_leave_little_on_the_heap(spark):
+    """Executors' heaps grew by what the loops left there, so what a word leaves is bounded."""
+    java = spark._jvm.java.lang
+    threads = spark._jvm.javax.management.JMX.newMXBeanProxy(
+        java.management.ManagementFactory.getPlatformMBeanServer(), spark._jvm.javax.management.ObjectName("java.lang:type=Threading"),
+        java.Class.forName("com.sun.management.ThreadMXBean"))
+    words, zero = 400_000, next(i for i in range(1000) if zlib.crc32(str(i).encode()) % 10 == 0)
+    rows = spark.createDataFrame([(zero, "word " * words)], "doc_id bigint, text string")
+
+    def left(df):
+        df.selectExpr("max(length(text))").collect()  # the second run finds its code compiled
+        before = sum(threads.getThreadAllocatedBytes(threads.getAllThreadIds()))
+        df.selectExpr("max(length(text))").collect()
+        return sum(threads.getThreadAllocatedBytes(threads.getAllThreadIds())) - before
+
+    assert (left(with_loops(rows)) - left(rows)) / words < 300
+
+
 def test_query(spark):
     got = {r.doc_id: r for r in QUERIES["op11_periodic"](spark, SF).collect()}
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
