@@ -5,12 +5,15 @@ them in common within their first n - o + l tokens, for any l: the longer the
 prefixes, the more they must share. Each document takes the l that makes its
 candidates cheapest, and two documents are compared only if their prefixes share as many tokens
 as the smaller of their two l asks for, or more where their sizes ask for more.
+A token that one set alone has is missing from any partner, so a set with too many of them has none, whatever its prefix meets.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +23,14 @@ from pyspark.sql.types import ArrayType, LongType, StructField
 from fleetlens.llm.common import NO_ID, extend, map_rows, quoted, two_way_join
 from fleetlens.llm.components import components
 from fleetlens.llm.hyperminhash import shingles
-from fleetlens.session import staged
+from fleetlens.session import discard, staged
 
 #: The largest l of a document is 1 + a twentieth of its tokens.
 SHARE = 20
 #: Tokens and documents in a block, at most, when the rest of a family is joined; a document beyond that is a block.
 BLOCK_TOKENS, BLOCK = 2 ** 21, 2048
+#: All tokens of prefixes or sets are dealt in so many parts, one after the other; a part's shuffle files go before the next.
+SLICES = 4
 
 
 def most(n: int) -> int:
@@ -76,17 +81,30 @@ def heads(docs: DataFrame, words: int, percent: int, text: str = "text") -> Data
     return extend(rows, fields, make, ["doc", "h"])
 
 
-def screened(posts: DataFrame, percent: int) -> DataFrame:
-    """The rows of `posts` (id, n, at, token) whose token another document has, of documents that have enough of them.
+def slices(tokens: DataFrame) -> list[DataFrame]:
+    """`tokens` in parts, by token."""
+    return [tokens.where(F.pmod("token", F.lit(SLICES)) == k) for k in range(SLICES)]
+
+
+def shared(posts: DataFrame) -> DataFrame:
+    """The rows of `posts` whose token another row has, with the `size` of its list."""
+    return posts.join(posts.groupBy("token").agg(F.count("*").alias("size")).where("size > 1"), "token")
+
+
+def screened(prefixes: DataFrame, percent: int) -> DataFrame:
+    """(id, token, n, at) of `prefixes` (id, n, head): the tokens that another document has, of documents that have enough of them.
 
     In its longest prefix a document shares with any partner at least what the
     smallest possible partner asks for.
     """
-    lists = posts.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
-    met = staged(posts.join(lists.select("token"), "token"), "met")
+    posts = prefixes.select("id", "n", F.posexplode("head").alias("at", "token"))
+    parts = [staged(shared(part).drop("size"), "met") for part in slices(posts)]
+    met = reduce(DataFrame.union, parts)
     asked = 1 + F.floor(F.ceil(F.lit(percent) * F.col("n") / 100) / SHARE)
     able = met.groupBy("id").agg(F.count("*").alias("c"), F.max("n").alias("n")).where(F.col("c") >= asked)
-    return met.join(able.select("id"), "id")
+    out = staged(met.join(able.select("id"), "id"), "able")
+    discard(*parts)
+    return out
 
 
 def fitted(posts: DataFrame, percent: int) -> DataFrame:
@@ -133,6 +151,40 @@ def token_sets(docs: DataFrame, nodes: DataFrame, words: int, text: str = "text"
     return extend(chosen.select("id", "text"), [StructField("tokens", ArrayType(LongType()))], make, ["id"])
 
 
+def partnered(sets: DataFrame, percent: int) -> DataFrame:
+    """The rows of `sets` (id, tokens) without those that have more tokens of their own than any partner may lack.
+
+    All tokens are looked at, not those of the prefix only. Passages that many documents share make a family
+    of what has no partner in it; most of such documents go here.
+    """
+    tokens = sets.select("id", F.explode("tokens").alias("token"))
+    parts = []
+    for part in slices(tokens):
+        own = part.groupBy("token").agg(F.count("*").alias("size"), F.min("id").alias("id")).where("size = 1")
+        parts.append(staged(own.groupBy("id").agg(F.count("*").alias("own")), "own"))
+    own = reduce(DataFrame.union, parts).groupBy("id").agg(F.sum("own").alias("own"))
+    n = F.size("tokens")
+    lone = sets.select("id", (n - F.ceil(F.lit(percent) * n / 100)).alias("may_lack")).join(own, "id").where("own > may_lack")
+    out = staged(sets.join(lone.select("id"), "id", "left_anti"), "sets")
+    discard(*parts)
+    return out
+
+
+def rarest(sets: DataFrame, percent: int) -> DataFrame:
+    """(id, token): of each of `sets` (id, tokens) so many tokens that any partner has one of them, those that the fewest sets have.
+
+    Tokens without another set come first of all, but meet nobody.
+    """
+    tokens = sets.select("id", F.explode("tokens").alias("token"))
+    parts = [staged(shared(part), "ranked") for part in slices(tokens)]
+    met = reduce(DataFrame.union, parts).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("size", "token"))).alias("met"))
+    asked = F.ceil(F.lit(percent) * F.size("tokens") / 100).cast("int")
+    both = met.join(sets.select("id", asked.alias("asked")), "id").where(F.size("met") >= F.col("asked"))
+    out = staged(both.select("id", F.explode(F.slice(F.col("met.token"), F.lit(1), F.size("met") - F.col("asked") + 1)).alias("token")), "rare")
+    discard(*parts)
+    return out
+
+
 def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose whole sets reach the similarity."""
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(
@@ -155,13 +207,15 @@ def pivots(members: DataFrame) -> DataFrame:
 def joined(posts: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int, text: str) -> DataFrame:
     """(node, component) of linked sets; `posts` (id, n, l, token) are the fitted prefixes of `nodes`.
 
-    First each list compares its members with its pivot, and most families are one
+    Sets that are too much their own go first. Then each list compares its members with its pivot, and most families are one
     component at the cost of about one comparison a member. Lists whose other
     members are still in several components are joined in blocks.
     """
-    lists = posts.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
-    members = staged(posts.join(lists, "token"), "members")
-    sets = staged(token_sets(docs, nodes.join(members.select("id").distinct(), "id", "left_semi"), words, text), "sets")
+    able = shared(posts).select("id").distinct()
+    whole = staged(token_sets(docs, nodes.join(able, "id", "left_semi"), words, text), "whole")
+    sets = partnered(whole, percent)
+    discard(whole)
+    members = staged(shared(posts.join(sets.select("id"), "id", "left_semi")), "members")
     leads = staged(pivots(members), "pivots")
     met = members.join(leads, "token").where((F.col("id") != F.col("p")) & close_sizes(F.col("n"), F.col("pn"), percent))
     pairs = met.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
@@ -171,26 +225,36 @@ def joined(posts: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, perc
     named = members.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     rest = named.join(leads, "token").where(F.col("id") != F.col("p"))
     mixed = rest.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    left = staged(rest.join(mixed.select("token"), "token").select("id", "n", "l", "token", "component"), "mixed")
+    left = rest.join(mixed.select("token"), "token").groupBy("id").agg(*(F.max(c).alias(c) for c in ("n", "l", "component")))
+    left = staged(left, "mixed")
+    discard(members, leads)
     more = staged(across(left, sets, percent), "links")
+    discard(sets, left)
     if more.isEmpty():
         return label
     return staged(components(found.union(more)), "labels")
 
 
-def across(posts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links between different components, one at least for each two that have any.
+def across(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between different components of `nodes` (id, n, l, component), one at least for each two that have any.
 
-    A family is what the lists hold together, and falls into cells by size (sets two
+    Two sets that are linked share one of the tokens that are the rarest in each. A family is what lists of these
+    over several components hold together, and falls into cells by size (sets two
     classes of size apart are too unlike). A cell's documents are dealt by hash into blocks, as
     many to a block as its largest allow; a task holds one pair of blocks, counts the
     prefix tokens that two documents share, and verifies on whole sets those that share
     enough. Pairs don't leave the task, links do. Documents of a family's largest component
-    are not compared with each other.
+    are not compared with each other. Pairs of blocks are dealt in rounds, each about as large as all the sets,
+    so what lies on disk at once doesn't grow with the number of pairs.
     """
-    first = posts.groupBy("token").agg(F.min("id").alias("b"))
-    family = staged(components(posts.join(first, "token").select(F.col("id").alias("a"), "b")).toDF("id", "family"), "families")
-    own = posts.groupBy("id").agg(F.max("n").alias("n"), F.max("l").alias("l"), F.max("component").alias("component")).join(family, "id")
+    chosen = staged(sets.join(nodes.select("id"), "id", "left_semi"), "chosen")
+    rare = rarest(chosen, percent)
+    posts = rare.join(nodes.select("id", "component"), "id")
+    lists = posts.groupBy("token").agg(F.min("id").alias("b"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    edges = staged(posts.join(lists.select("token", "b"), "token").select(F.col("id").alias("a"), "b").distinct(), "met")
+    discard(rare)
+    family = staged(components(edges).toDF("id", "family"), "families")
+    own = nodes.join(family, "id")
     own = staged(own.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / np.log(100 / percent))), "own")
     parts = own.groupBy("family", "component").agg(F.count("*").alias("k"))
     main = parts.groupBy("family").agg(F.max(F.struct("k", "component"))["component"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
@@ -209,7 +273,9 @@ def across(posts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         *cell, F.lit(0).alias("side"), F.pmod("h", "rows").alias("i"), span("columns").alias("j"), *own_columns)
     over = top.join(columns, cell).select(*cell, F.lit(1).alias("side"), span("rows").alias("i"), F.pmod("h", "columns").alias("j"), *own_columns)
     place = [*cell, "i", "j"]
-    dealt = down.unionByName(over).join(sets, "id").repartition(*place).sortWithinPartitions(*place, "side", "id")
+    places = down.unionByName(over)
+    held = chosen.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    rounds = max(1, math.ceil((places.agg(F.sum("n")).first()[0] or 0) / max(1, held)))
     fields = [StructField("a", LongType()), StructField("b", LongType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +297,12 @@ def across(posts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         if held[0] and held[1]:
             yield give()
 
-    return map_rows(dealt, run, fields).distinct()
+    found = []
+    for k in range(rounds):
+        now = places.where(F.pmod(F.xxhash64(F.lit(17), *place), F.lit(rounds)) == k).join(chosen, "id")
+        found.append(staged(map_rows(now.repartition(*place).sortWithinPartitions(*place, "side", "id"), run, fields), "links"))
+    discard(chosen)
+    return reduce(DataFrame.union, found).distinct()
 
 
 def block_links(left: list[tuple], right: list[tuple], percent: int) -> list[tuple[int, int]]:
@@ -290,17 +361,23 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, text: s
     judged each by its own text. Very long texts are read whole. An empty table gives an
     empty result; other columns are not looked at.
     """
-    rows = staged(heads(docs, words, percent, text), "heads")
+    full = staged(heads(docs, words, percent, text), "heads")
+    rows = staged(full.drop("head"), "rows")
     sets = rows.where("n > 0").groupBy("a", "b").agg(F.min(F.struct("doc", "h")).alias("least"), F.count("*").alias("copies"))
     sets = staged(sets.select("a", "b", "least.*", "copies"), "sets")
     # A set goes by its smallest doc_id, but for further sets of one doc_id, which get numbers of their own.
     firsts = sets.groupBy("doc").agg(F.min(F.struct("a", "b")).alias("first"))
     own = F.when(F.struct("a", "b") == F.col("first"), F.col("doc")).otherwise(-1 - F.pmod(F.xxhash64("a", "b"), F.lit(2 ** 62)))
     nodes = staged(sets.join(firsts, "doc").select(own.alias("id"), "doc", "h", "a", "b", "copies"), "nodes")
-    prefixes = rows.where(F.size("head") > 0).drop("h").join(nodes.drop("h"), ["doc", "a", "b"]).dropDuplicates(["doc", "a", "b"])
-    posts = prefixes.select("id", "n", F.posexplode("head").alias("at", "token"))
-    able = staged(screened(posts, percent), "able")
-    linked = staged(joined(staged(fitted(able, percent), "fitted"), nodes.drop("copies"), docs, words, percent, text), "linked")
+    prefixes = full.where(F.size("head") > 0).drop("h").join(nodes.drop("h"), ["doc", "a", "b"]).dropDuplicates(["doc", "a", "b"])
+    prefixes = staged(prefixes.select("id", "n", "head"), "prefixes")
+    discard(full)
+    able = screened(prefixes, percent)
+    discard(prefixes)
+    posts = staged(fitted(able, percent), "fitted")
+    discard(able)
+    linked = staged(joined(posts, nodes.drop("copies"), docs, words, percent, text), "linked")
+    discard(posts)
     named = nodes.join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = named.groupBy("component").agg(F.min("doc").alias("smallest"))
     classes = staged(named.join(least, "component").select("a", "b", "smallest", "copies"), "classes")

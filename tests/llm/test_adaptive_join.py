@@ -145,3 +145,75 @@ def test_texts_of_one_id_and_repeated_rows_have_a_set_each(spark):
     sets = adaptive_join.token_sets(docs, nodes, 4).collect()
     assert len(sets) == len({r.id for r in sets}) == nodes.count() == 8
     assert sorted(len(r.tokens) for r in sets) == sorted(len(plain_set(t, 4)) for t in [*base, base[0], base[1] + " z"])
+
+
+@pytest.fixture
+def dealt(monkeypatch):
+    """Per call, the (documents, tokens) that are dealt to pairs of blocks."""
+    seen, real = [], adaptive_join.map_rows
+
+    def spy(df, *rest):
+        seen.append(tuple(df.agg(F.count("*"), F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()))
+        return real(df, *rest)
+
+    monkeypatch.setattr(adaptive_join, "map_rows", spy)
+    return seen
+
+
+def test_a_shared_passage_deals_no_set(spark, monkeypatch, dealt):
+    monkeypatch.setattr(adaptive_join, "BLOCK", 4)
+    draw = random.Random(5)
+    passage = [f"p{i}" for i in range(60)]
+    texts = [passage + [f"u{draw.random()}" for _ in range(draw.randint(40, 60))] for _ in range(40)]
+    texts += [edited(draw, texts[0], 1), edited(draw, texts[3], 2)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    assert found(spark, rows, 4, 85) == plain_components(rows, 4, 85)
+    assert sum(n for n, _ in dealt) <= 4  # at most the linked ones, not each of 40 once for each block of 4
+
+
+def test_pairs_of_blocks_are_dealt_in_rounds(spark, monkeypatch, dealt):
+    monkeypatch.setattr(adaptive_join, "BLOCK", 3)
+    draw = random.Random(6)
+    slots = [[f"s{i}v{k}" for k in range(3)] for i in range(20)]
+    rows = [(i, " ".join(w for s in slots for w in (draw.choice(s), "and", "then", "so"))) for i in range(60)]
+    assert found(spark, rows, 4, 85) == plain_components(rows, 4, 85)
+    sets = sum(len(plain_set(t, 4)) for _, t in rows)
+    assert len(dealt) > 4 and sum(t for _, t in dealt) > 4 * sets
+    assert max(t for _, t in dealt) <= 2 * sets
+
+
+def test_linked_sets_stay_and_share_a_rarest_token(spark):
+    draw = random.Random(7)
+    common = list(range(-30, 30))  # of many documents
+    sets = []
+    for k in range(30):
+        base = draw.sample(common, draw.randint(0, 60)) + [1000 * k + i for i in range(draw.randint(8, 60))]
+        sets += [base] + [[t for t in base if draw.random() > 0.05] + [10 ** 6 * (k + 1) + i for i in range(draw.randint(0, 3))] for _ in range(4)]
+    lone = [list(range(-30, 30)) + list(range(10 ** 9 + 100 * k, 10 ** 9 + 100 * k + 11)) for k in range(3)]  # 11 of 71 are their own
+    sets += lone
+    df = spark.createDataFrame(list(enumerate(sets)), "id bigint, tokens array<bigint>")
+    kept = {r.id for r in adaptive_join.partnered(df, 85).collect()}
+    rare = {}
+    for r in adaptive_join.rarest(df, 85).collect():
+        rare.setdefault(r.id, set()).add(r.token)
+    linked = 0
+    for i, x in enumerate(map(set, sets)):
+        for j in range(i):
+            y = set(sets[j])
+            if 100 * len(x & y) >= 85 * len(x | y):
+                linked += 1
+                assert {i, j} <= kept and rare[i] & rare[j]
+    assert linked > 100
+    assert not kept & set(range(len(sets) - 3, len(sets)))
+
+
+def test_tables_go_when_nothing_reads_them_any_more(spark, monkeypatch):
+    import os
+
+    made, real = [], adaptive_join.staged
+    monkeypatch.setattr(adaptive_join, "staged", lambda df, label="stage": made.append(real(df, label)) or made[-1])
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*base, f"x{i}"])) for i in range(20)]
+    assert found(spark, rows, 4, 85) == plain_components(rows, 4, 85)
+    left = [t for t in made if os.path.exists(t.staged_path)]
+    assert len(made) > 20 and not [t.staged_path for t in left if {"head", "tokens", "token"} & set(t.columns)]
